@@ -28,14 +28,16 @@ from larkspur.llm.workspace import stage
 #: log2 of the number of buckets of hashed n-grams.
 BITS = 20
 BLOCK = 1 << 12
+#: Bytes of the word beginnings that are n-grams of their own, for words of two bytes more.
+STEM = 5
 #: Labelled documents in the fit, three of four, and the held-out rest: those with the least hash.
 SAMPLE = 40_000
 #: Pseudo-count of each bucket, in documents.
 PRIOR = 1.0
 #: A ratio counts if it is below exp(-LEAST) and its count is SIGMAS standard deviations low.
-LEAST, SIGMAS = 1.0, 3.5
-#: Share of the good held-out documents that may lie below the limit.
-LOSS = 0.005
+LEAST, SIGMAS = 2.0, 7.5
+#: What it costs to reject a share of the good documents, against keeping the same share of the bad.
+COST = 8.0
 TEMPERATURE = 0.02
 
 _KIND = np.full(256, 1, np.int8)  # 0 white space, 1 word, 2 other
@@ -46,18 +48,21 @@ _LOWER[65:91] += 32
 
 
 def grams(text: bytes) -> np.ndarray:
-    """Distinct buckets of a text: its words and marks, their bigrams, and whether many tokens repeat the one before."""
+    """Distinct buckets of a text: its words and marks, their bigrams, the beginnings of long words, and whether many tokens repeat the one before."""
     if not text:
         return np.zeros(0, np.int64)
     codes = np.frombuffer(text, np.uint8)
     kind = np.concatenate([[0], _KIND[codes], [0]])
     start = np.flatnonzero((kind[1:-1] == 2) | ((kind[1:-1] == 1) & (kind[:-2] != 1)))
     end = np.flatnonzero((kind[1:-1] == 2) | ((kind[1:-1] == 1) & (kind[2:] != 1))) + 1
-    h = spans(prefix(_LOWER[codes]), start, end)
+    pre = prefix(_LOWER[codes])
+    h = spans(pre, start, end)
     pairs = mix(h[:-1] * U64(3) + h[1:])
+    long = end - start >= STEM + 2
+    stems = mix(spans(pre, start[long], start[long] + STEM) ^ U64(STEM))
     repeats = int((h[1:] == h[:-1]).sum()) * 8 // max(1, len(h))
     marks = mix(np.arange(1, repeats + 1, dtype=U64))
-    return np.unique(np.concatenate([h, pairs, marks]) >> U64(64 - BITS)).astype(np.int64)
+    return np.unique(np.concatenate([h, pairs, stems, marks]) >> U64(64 - BITS)).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +161,18 @@ def kth_largest(keys: DataFrame, k: int) -> int:
     return found - (1 << 63)
 
 
-def limit_of(keys: DataFrame, chosen: DataFrame) -> tuple[float, int]:
-    """The least log weight that passes for good, from held-out labels; and how many rows have it."""
-    held = keys.join(F.broadcast(chosen.filter("fit = 2")), F.col("doc_id") == F.col("_id"))
-    found = held.agg(F.percentile("log_weight", LOSS).alias("q")).first()["q"]
-    limit = -LEAST if found is None else min(-LEAST, found)
-    return limit, keys.filter(F.col("log_weight") >= limit).count()
+def limit_of(keys: DataFrame, chosen: DataFrame) -> float:
+    """The log weight below which held-out bad documents outweigh held-out good ones most, COST for a good one."""
+    held = keys.join(F.broadcast(chosen.filter("fit > 1")), F.col("doc_id") == F.col("_id")).select("log_weight", "fit")
+    found = held.limit(4 * SAMPLE).toPandas().sort_values("log_weight")  # labels are for single documents
+    good, bad = (found["fit"] == 2).to_numpy(), (found["fit"] == 3).to_numpy()
+    if not good.any() or not bad.any():
+        return -LEAST
+    gain = np.cumsum(bad) / bad.sum() - COST * np.cumsum(good) / good.sum()
+    w = found["log_weight"].to_numpy()
+    last = np.append(w[1:] > w[:-1], True)  # equal weights pass or fail together
+    at = int(np.argmax(np.where(last, gain, -np.inf)))
+    return min(-LEAST, w[at] + 1e-9) if gain[at] > 0 else -np.inf
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, int]:
@@ -171,7 +182,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Da
     model = spark.sparkContext.broadcast(ratios(docs, chosen))  # 4 MB
     out = docs.withColumn("_s", _score(model)).select(*docs.columns, F.col("_s.log_weight").alias("_weight"), F.col("_s.key").alias("_key"))
     keys = stage(out.select("doc_id", F.col("_weight").alias("log_weight"), F.col("_key").alias("key")))
-    _, k = limit_of(keys, chosen)
+    k = keys.filter(F.col("log_weight") >= limit_of(keys, chosen)).count()
     return out, keys, kth_largest(keys, k) if k else (1 << 63) - 1
 
 
