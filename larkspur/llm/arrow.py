@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -21,7 +22,7 @@ def texts(column: pa.Array) -> list[str]:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each has about ``most`` bytes of text, or one row."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             total += n or 0
