@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,24 +110,36 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Agreeing coordinates of all rows of a with all rows of b, 8 bits each."""
+    if len(a) * len(b) <= 2048:
+        return (a[:, None, :] == b[None, :, :]).sum(axis=2)
     out = np.zeros((len(a), len(b)), np.int16)
     for k in range(SKETCH):
         out += a[:, k, None] == b[None, :, k]
     return out
 
 
+def _lists(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+    """For each list of members: ids, components and small sketches; None for a null."""
+    flat = column.flatten()
+    rep, comp = flat.field("rep").to_numpy(zero_copy_only=False), flat.field("comp").to_numpy(zero_copy_only=False)
+    small = np.frombuffer(b"".join(flat.field("small").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return [(rep[i:j], comp[i:j], small[i:j]) if ok else None for i, j, ok in zip(np.concatenate([[0], ends[:-1]]), ends, column.is_valid().to_pylist(), strict=True)]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a node's members, or of two of its blocks, that lie in two components and have like sketches."""
-    for batch in batches:
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for members, others in zip(batch["members"].to_pylist(), batch["others"].to_pylist(), strict=True):
-            x, y = (None if m is None else (np.array([r["rep"] for r in m]), np.array([r["comp"] for r in m]), np.frombuffer(b"".join(r["small"] for r in m), np.uint8).reshape(-1, SKETCH)) for m in (members, others))
-            y = x if y is None else y
-            i, j = np.nonzero((_alike(x[2], y[2]) >= AGREE) & (x[1][:, None] != y[1][None, :]))
-            a, b = x[0][i], y[0][j]
-            left.append(np.maximum(a, b)), right.append(np.minimum(a, b))
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in zip(_lists(batch["members"]), _lists(batch["others"]), strict=True):
+                y = x if y is None else y
+                i, j = np.nonzero((_alike(x[2], y[2]) >= AGREE) & (x[1][:, None] != y[1][None, :]))
+                a, b = x[0][i], y[0][j]
+                left.append(np.maximum(a, b)), right.append(np.minimum(a, b))
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
 def _sets(shingle: int):

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,9 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps the Arrow batches of this session's Python operators small, unless its configuration states a size."""
+    if spark.sparkContext.getConf().get(_BATCH) is None:
+        spark.conf.set(_BATCH, "8m")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet, and read back."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/larkspur/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
