@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,12 @@ for _key, _names, _ in cat.BRANDS:
 
 
 def _map(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
+    """Entries without commas and colons, from one literal."""
+    return F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in entries.items())), F.lit(","), F.lit(":"))
+
+
+def _first(items: Column) -> Column:
+    return F.try_element_at(items, F.lit(1))
 
 
 def _under(host: Column, entry: str) -> Column:
@@ -31,28 +38,51 @@ def _under(host: Column, entry: str) -> Column:
 
 def regional_brand(domain: Column) -> Column:
     """A brand's key directly under a country suffix."""
-    suffix = urls.public_suffix(domain)
-    label = F.regexp_extract(domain, r"^([^.]+)\.", 1)
-    tld = F.substring_index(suffix, ".", -1)
-    fits = (F.concat(label, F.lit("."), suffix) == domain) & ~suffix.isin(list(cat.FREE_HOSTING)) & (F.length(tld) == 2) & ~tld.isin(list(cat.SUSPICIOUS_TLDS))
-    return F.when(fits & label.isin(_REGIONAL), label)
+
+    def test(d: Column, suffix: Column) -> Column:
+        label, tld = F.regexp_extract(d, r"^([^.]+)\.", 1), F.substring_index(suffix, ".", -1)
+        fits = (F.concat(label, F.lit("."), suffix) == d) & ~urls.listed(suffix, cat.FREE_HOSTING) & (F.length(tld) == 2) & ~urls.listed(tld, cat.SUSPICIOUS_TLDS)
+        return F.when(fits & urls.listed(label, _REGIONAL), label)
+
+    return urls.let(domain, lambda d: urls.let(urls.public_suffix(d), lambda s: test(d, s)))
 
 
 def owner(domain: Column) -> Column:
     """The brand that a registrable domain belongs to; null for none."""
-    d = urls.normal_host(domain)
-    return F.coalesce(F.try_element_at(_map(_OWNER), d), regional_brand(d))
+    return urls.let(urls.normal_host(domain), lambda d: F.coalesce(F.try_element_at(_map(_OWNER), d), regional_brand(d)))
+
+
+def _public(host: Column) -> Column:
+    """Under a public suffix that is a brand's own."""
+    out = F.lit(False)
+    for d in _SUFFIX_DOMAINS:
+        out = out | _under(host, d)
+    return out
+
+
+def legitimate_for(host: Column) -> Column:
+    """Keys of the brands, one or more, to whose domains the host belongs; an empty array for none."""
+    listed: dict[str, list[str]] = {}
+    for key, _, domains in cat.BRANDS:
+        for d in domains:
+            listed.setdefault(d, []).append(key)
+    public = {d: listed[d] for d in _SUFFIX_DOMAINS}
+    joined = _map({d: ";".join(k) for d, k in listed.items()})
+
+    def keys(h: Column) -> Column:
+        own = urls.let(urls.registrable(h), lambda r: F.concat_ws(";", F.try_element_at(joined, r), regional_brand(r)))
+        return F.split(F.concat_ws(";", own, *[F.when(_under(h, d), ";".join(k)) for d, k in public.items()]), ";")
+
+    return urls.let(urls.normal_host(host), keys)
 
 
 def is_brand_host(host: Column) -> Column:
     """On a domain of any brand, tenants of shared hosting excluded."""
-    h = urls.normal_host(host)
-    r = urls.registrable(h)
-    public = F.lit(False)
-    for d in _SUFFIX_DOMAINS:
-        public = public | _under(h, d)
-    tenant = r.isin(list(cat.MULTI_TENANT)) & (h != r)
-    return F.when(owner(r).isNotNull(), ~tenant).otherwise(public)
+
+    def test(h: Column, r: Column) -> Column:
+        return F.when(owner(r).isNotNull(), ~(urls.listed(r, cat.MULTI_TENANT) & (h != r))).otherwise(_public(h))
+
+    return urls.let(urls.normal_host(host), lambda h: urls.let(urls.registrable(h), lambda r: test(h, r)))
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
@@ -77,12 +107,12 @@ def lookalikes(hosts: DataFrame) -> DataFrame:
     base = hosts.filter((h != "") & (F.length(h) <= 253) & ~urls.is_ip(h)).select("host", parts.alias("parts"), r.alias("r"), owner(r).alias("own"), urls.suffix_size(h).alias("s"))
     tenant = F.col("own").isNotNull()
     keep = F.when(tenant, F.size("parts") - F.size(urls.labels(F.col("r")))).otherwise(F.size("parts") - F.least(F.col("s"), F.greatest(F.size("parts") - 1, F.lit(0))))
-    base = base.filter(F.col("own").isNull() | F.col("r").isin(list(cat.MULTI_TENANT))).select("host", tenant.alias("tenant"), F.slice("parts", 1, F.greatest(keep, F.lit(0))).alias("labels")).filter(F.size("labels") > 0)
+    base = base.filter(F.col("own").isNull() | urls.listed(F.col("r"), cat.MULTI_TENANT)).select("host", tenant.alias("tenant"), F.slice("parts", 1, F.greatest(keep, F.lit(0))).alias("labels")).filter(F.size("labels") > 0)
     tokens = F.filter(F.flatten(F.transform("labels", lambda x: F.split(x, "[-_]"))), lambda x: x != "")
     own = F.element_at("labels", -1)
     base = base.withColumns({
         "tokens": tokens,
-        "companion": F.exists(tokens, lambda t: t.isin(list(cat.COMPANIONS)) | t.rlike("^[0-9]+$")),
+        "companion": F.exists(tokens, lambda t: urls.listed(t, cat.COMPANIONS) | t.rlike("^[0-9]+$")),
         "typed": F.array_sort(F.array_distinct(F.concat(F.array(own), F.split(own, "-")))),
     })
     brand = F.broadcast(catalogue(hosts.sparkSession).select("ord", "key", "dictionary", "embedded"))  # a fixed table
@@ -90,10 +120,10 @@ def lookalikes(hosts: DataFrame) -> DataFrame:
     key, n = F.col("key"), F.length("key")
     needs = F.col("tenant") | F.col("dictionary")
     exact = F.array_contains("tokens", key) & (~needs | F.col("companion"))
-    glued = F.element_at(F.filter("tokens", lambda t: (F.length(t) > n) & (F.regexp_replace(t, "^[0-9]+|[0-9]+$", "") == key)), 1)
-    alike = F.element_at(F.filter("tokens", lambda t: (F.length(t) >= 4) & (urls.homoglyphs(t) != t) & (urls.homoglyphs(t) == key)), 1)
+    glued = _first(F.filter("tokens", lambda t: (F.length(t) > n) & (F.regexp_replace(t, "^[0-9]+|[0-9]+$", "") == key)))
+    alike = _first(F.filter("tokens", lambda t: (F.length(t) >= 4) & (urls.homoglyphs(t) != t) & (urls.homoglyphs(t) == key)))
     limit = F.when(n >= 8, 2).otherwise(1)
-    near = F.element_at(F.filter("typed", lambda t: (F.length(t) >= 5) & (t != key) & (F.abs(F.length(t) - n) <= limit) & (F.levenshtein(t, key) <= limit)), 1)
+    near = _first(F.filter("typed", lambda t: (F.length(t) >= 5) & (t != key) & (F.abs(F.length(t) - n) <= limit) & (F.levenshtein(t, key) <= limit)))
 
     def squashed(x: Column) -> Column:
         return urls.homoglyphs(F.replace(x, F.lit("-"), F.lit("")))
@@ -103,7 +133,7 @@ def lookalikes(hosts: DataFrame) -> DataFrame:
         at = F.position(key, s)
         return (F.length(x) >= 7) & (F.length(s) > n) & (at > 0) & F.substr(s, F.lit(1), at - 1).rlike(_REMAINDER) & F.substr(s, at + n).rlike(_REMAINDER)
 
-    within = F.element_at(F.filter("labels", inside), 1)
+    within = _first(F.filter("labels", inside))
     found = F.coalesce(
         F.when(exact, F.struct(F.lit(1).alias("rank"), F.lit("brand_token").alias("kind"), key.alias("label"))),
         F.when((n >= 4) & ~needs & glued.isNotNull(), F.struct(F.lit(1).alias("rank"), F.lit("brand_token").alias("kind"), glued.alias("label"))),
@@ -117,16 +147,15 @@ def lookalikes(hosts: DataFrame) -> DataFrame:
 
 def subdomain_brand(host: Column) -> Column:
     """The first label below a foreign registrable domain that is a brand's key or one-word name."""
-    h = urls.normal_host(host)
-    r = urls.registrable(h)
-    parts = urls.labels(h)
-    foreign = owner(r).isNull() & ~urls.is_ip(h) & ~urls.is_shortener(h) & ~r.isin(list(cat.MULTI_TENANT))
-    for d in _SUFFIX_DOMAINS:
-        foreign = foreign & ~_under(h, d)
-    below = F.slice(parts, 1, F.greatest(F.size(parts) - F.size(urls.labels(r)), F.lit(0)))
     known = {**_NAMES, **{k: k for k, _, _ in cat.BRANDS}}
-    hits = F.filter(below, lambda x: (F.length(x) >= 3) & ~x.isin(list(cat.GENERIC_BRAND_LABELS)) & x.isin(list(known)))
-    return F.when(foreign & (F.size(hits) > 0), F.try_element_at(_map(known), F.element_at(hits, 1)))
+    names = sorted(n for n in known if len(n) >= 3 and n not in cat.GENERIC_BRAND_LABELS)
+
+    def test(h: Column, r: Column) -> Column:
+        foreign = owner(r).isNull() & ~urls.is_ip(h) & ~urls.is_shortener(h) & ~urls.listed(r, cat.MULTI_TENANT) & ~_public(h)
+        below = urls.let(urls.labels(h), lambda p: F.slice(p, 1, F.greatest(F.size(p) - F.size(urls.labels(r)), F.lit(0))))
+        return F.when(foreign, F.try_element_at(_map(known), F.try_element_at(F.filter(below, lambda x: urls.listed(x, names)), F.lit(1))))
+
+    return urls.let(urls.normal_host(host), lambda h: urls.let(urls.registrable(h), lambda r: test(h, r)))
 
 
 def mentions(text: Column) -> Column:
@@ -134,7 +163,7 @@ def mentions(text: Column) -> Column:
     lower = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 2000))
 
     def named(words) -> Column:
-        import re
+
 
         return lower.rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(w) for w in words) + r")(?![\p{L}\p{N}])")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,16 @@ from larkspur.functions import catalogs as cat
 _SCHEMES_WITH_BACKSLASH = "http|https|ftp|ws|wss|file"
 
 
+def listed(value: Column, names) -> Column:
+    """The value is one of the names, which have no commas; one literal keeps plans small."""
+    return F.lit("," + ",".join(names) + ",").contains(F.concat(F.lit(","), value, F.lit(",")))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is written, and computed, once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normal_host(host: Column) -> Column:
     """Lower case, without trailing dots."""
     return F.regexp_replace(F.lower(host), r"\.+$", "")
@@ -48,8 +60,7 @@ def last(parts: Column, n) -> Column:
 
 def is_ip(host: Column) -> Column:
     """IPv4 in any radix and with any number of parts, or IPv6, with brackets or zone."""
-    h = F.regexp_replace(F.regexp_replace(F.lower(F.trim(host)), r"^\[(.*)\]$", "$1"), r"%.*$", "")
-    parts = F.split(h, r"\.")
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(host)), r"^\[(.*)\]$", "$1"), r"%.*$", "")
 
     def number(p: Column) -> Column:
         small = F.length(p) <= 12
@@ -60,46 +71,52 @@ def is_ip(host: Column) -> Column:
             .cast("decimal(20,0)")
         )
 
-    values = F.transform(parts, number)
-    n = F.size(parts)
-    v4 = (n <= 4) & F.forall(values, lambda v: v.isNotNull()) & F.forall(F.slice(values, 1, F.greatest(n - 1, F.lit(0))), lambda v: v <= 255)
-    v4 = v4 & (F.element_at(values, -1) < F.pow(F.lit(256), 5 - n))
-    doubles = F.size(F.split(h, "::")) - 1
-    groups = F.filter(F.split(F.regexp_replace(h, r"(^|:)\d{1,3}(?:\.\d{1,3}){3}$", "$10:0"), ":"), lambda g: g != "")
-    v6 = h.rlike(r"^[0-9a-f:.]+$") & (doubles <= 1) & F.forall(groups, lambda g: g.rlike(r"^[0-9a-f]{1,4}$"))
-    v6 = v6 & F.when(doubles == 1, F.size(groups) <= 7).otherwise(F.size(groups) == 8)
-    return F.coalesce((h != "") & (F.length(h) <= 64) & F.when(h.contains(":"), v6).otherwise(v4), F.lit(False))
+    def four(values: Column) -> Column:
+        n = F.size(values)
+        bytes_ = F.forall(F.slice(values, 1, F.greatest(n - 1, F.lit(0))), lambda v: v <= 255)
+        return (n <= 4) & F.forall(values, lambda v: v.isNotNull()) & bytes_ & (F.element_at(values, -1) < F.pow(F.lit(256), 5 - n))
+
+    def six(h: Column) -> Column:
+        doubles = F.size(F.split(h, "::")) - 1
+        groups = F.filter(F.split(F.regexp_replace(h, r"(^|:)\d{1,3}(?:\.\d{1,3}){3}$", "$10:0"), ":"), lambda g: g != "")
+        count = F.when(doubles == 1, F.size(groups) <= 7).otherwise(F.size(groups) == 8)
+        return h.rlike(r"^[0-9a-f:.]+$") & (doubles <= 1) & F.forall(groups, lambda g: g.rlike(r"^[0-9a-f]{1,4}$")) & count
+
+    # most hosts end in a letter that no address has
+    may = bare.rlike(r"[:]|(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)$")
+    found = let(bare, lambda h: F.when(h.contains(":"), six(h)).otherwise(let(F.transform(F.split(h, r"\."), number), four)))
+    return F.coalesce(may & (F.length(bare) <= 64) & found, F.lit(False))
 
 
 _SUFFIXES = sorted({*cat.SUFFIXES, *cat.FREE_HOSTING})
 
 
-def suffix_size(host: Column) -> Column:
-    """How many labels the public suffix has: the longest listed one of four to two labels, else one."""
-    parts = labels(host)
+def _suffix_size(parts: Column) -> Column:
     out = F.lit(1)
     for n in (2, 3, 4):
-        out = F.when((F.size(parts) > n) & last(parts, n).isin([s for s in _SUFFIXES if s.count(".") == n - 1]), n).otherwise(out)
+        out = F.when((F.size(parts) > n) & listed(last(parts, n), [s for s in _SUFFIXES if s.count(".") == n - 1]), n).otherwise(out)
     return out
 
 
+def suffix_size(host: Column) -> Column:
+    """How many labels the public suffix has: the longest listed one of four to two labels, else one."""
+    return let(labels(host), _suffix_size)
+
+
 def public_suffix(host: Column) -> Column:
-    parts = labels(F.lower(host))
-    return F.when(F.size(parts) < 2, F.lower(host)).otherwise(last(parts, suffix_size(F.lower(host))))
+    return let(labels(F.lower(host)), lambda p: F.when(F.size(p) < 2, F.array_join(p, ".")).otherwise(last(p, _suffix_size(p))))
 
 
 def registrable(host: Column) -> Column:
     """The suffix and the label before it; an address as it is."""
-    h = normal_host(host)
-    parts = labels(h)
-    return F.when(is_ip(h) | (F.size(parts) < 2), h).otherwise(last(parts, suffix_size(h) + 1))
+    own = lambda h: let(labels(h), lambda p: F.when(F.size(p) < 2, h).otherwise(last(p, _suffix_size(p) + 1)))
+    return let(normal_host(host), lambda h: F.when(is_ip(h), h).otherwise(own(h)))
 
 
 def depth(host: Column) -> Column:
     """Labels before the registrable domain."""
-    h = normal_host(host)
-    n = F.size(labels(h))
-    return F.when(is_ip(h), 0).otherwise(F.greatest(F.lit(0), n - F.least(n, suffix_size(h) + 1)))
+    below = lambda p: F.greatest(F.lit(0), F.size(p) - F.least(F.size(p), _suffix_size(p) + 1))
+    return let(normal_host(host), lambda h: F.when(is_ip(h), 0).otherwise(let(labels(h), below)))
 
 
 def is_punycode(host: Column) -> Column:
@@ -109,8 +126,7 @@ def is_punycode(host: Column) -> Column:
 
 def in_set(host: Column, names) -> Column:
     """The host or its registrable domain is listed."""
-    h = normal_host(host)
-    return h.isin(list(names)) | registrable(h).isin(list(names))
+    return let(normal_host(host), lambda h: listed(h, names) | listed(registrable(h), names))
 
 
 def is_free_mail(domain: Column) -> Column:
@@ -122,15 +138,15 @@ def is_shortener(host: Column) -> Column:
 
 
 def has_suspicious_tld(host: Column) -> Column:
-    h = normal_host(host)
-    return ~is_ip(h) & last(labels(h), 1).isin(list(cat.SUSPICIOUS_TLDS))
+    return let(normal_host(host), lambda h: ~is_ip(h) & listed(F.substring_index(h, ".", -1), cat.SUSPICIOUS_TLDS))
 
 
 def is_free_hosting(host: Column) -> Column:
-    h = normal_host(host)
-    parts = labels(h)
-    listed = last(parts, 2).isin(list(cat.FREE_HOSTING)) | last(parts, 3).isin(list(cat.FREE_HOSTING))
-    return (F.size(parts) >= 3) & (listed | (h == "sites.google.com") | h.endswith(".sites.google.com")) & (h != "forms.gle")
+    def test(h: Column) -> Column:
+        hosted = let(labels(h), lambda p: (F.size(p) >= 3) & (listed(last(p, 2), cat.FREE_HOSTING) | listed(last(p, 3), cat.FREE_HOSTING)))
+        return hosted | (h == "sites.google.com") | h.endswith(".sites.google.com")
+
+    return let(normal_host(host), test)
 
 
 def path_and_query(href: Column) -> Column:
@@ -145,18 +161,14 @@ def has_userinfo(href: Column) -> Column:
 
 
 def contains_any(text: Column, words) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | text.contains(w)
-    return out
+    return text.rlike("|".join(map(re.escape, words)))
 
 
 def has_credential_token(host: Column) -> Column:
     """A label part, outside the public suffix, that names a sign-in."""
-    parts = labels(host)
-    own = F.slice(parts, 1, F.greatest(F.size(parts) - suffix_size(host), F.lit(0)))
-    tokens = F.flatten(F.transform(own, lambda x: F.split(x, "-")))
-    return F.arrays_overlap(tokens, F.array(*map(F.lit, cat.CREDENTIAL_HOSTS)))
+    own = lambda p: F.slice(p, 1, F.greatest(F.size(p) - _suffix_size(p), F.lit(0)))
+    tokens = F.flatten(F.transform(let(labels(host), own), lambda x: F.split(x, "-")))
+    return F.exists(tokens, lambda t: listed(t, cat.CREDENTIAL_HOSTS))
 
 
 def homoglyphs(text: Column) -> Column:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions import brands, lexicon, scoring, text, urls
+from larkspur.functions import brands, html, lexicon, scoring, text, urls
 from larkspur.functions import catalogs as cat
 
 ADDRESS = "struct<name:string,address:string>"
@@ -66,23 +66,13 @@ def header(name: str) -> Column:
     return F.try_element_at(F.filter(F.coalesce("headers", F.array().cast("array<struct<name:string,value:string>>")), lambda h: F.lower(h["name"]) == name.lower()), F.lit(1))["value"]
 
 
-def legitimate(host: Column, brand: Column) -> Column:
-    """The host is on one of the brand's domains, listed or regional."""
-    h = urls.normal_host(host)
-    r = urls.registrable(h)
-    domains = {k: list(d) for k, _, d in cat.BRANDS}
-    listed = F.create_map(*[x for k, d in domains.items() for x in (F.lit(k), F.array(*map(F.lit, d)))])
-    own = F.coalesce(F.try_element_at(listed, brand), F.array().cast("array<string>"))
-    return F.array_contains(own, r) | F.coalesce(brands.regional_brand(r) == brand, F.lit(False)) | ((brand.isin("hmrc", "dvla")) & ((h == "gov.uk") | h.endswith(".gov.uk")))
-
-
 def host_features(hosts: DataFrame) -> DataFrame:
     """hosts (host, distinct): what the link rules ask of a host, whoever links to it."""
     h = F.col("host")
     out = hosts.select(
         "host", urls.registrable(h).alias("h_registrable"), urls.is_ip(h).alias("h_ip"), urls.is_punycode(h).alias("h_punycode"), urls.is_shortener(h).alias("h_shortener"),
         urls.has_suspicious_tld(h).alias("h_tld"), urls.is_free_hosting(h).alias("h_free"), urls.depth(h).alias("h_depth"), urls.has_credential_token(h).alias("h_credential"),
-        brands.is_brand_host(h).alias("h_brand"), brands.owner(urls.registrable(h)).alias("h_owner"), brands.subdomain_brand(h).alias("h_below"),
+        brands.is_brand_host(h).alias("h_brand"), brands.owner(urls.registrable(h)).alias("h_owner"), brands.subdomain_brand(h).alias("h_below"), brands.legitimate_for(h).alias("h_legit"),
     )
     alike = brands.lookalikes(hosts).select("host", F.col("brand").alias("h_lookalike"))
     return out.join(alike, "host", "left")
@@ -91,11 +81,11 @@ def host_features(hosts: DataFrame) -> DataFrame:
 def context(messages: DataFrame, organisation: tuple[str, ...] = ()) -> DataFrame:
     """Messages with the context columns that the rules use."""
     none = F.array().cast("array<string>")
-    body = F.coalesce(F.when(F.trim("text_body") != "", F.trim("text_body")), F.lit(""))
+    body = F.coalesce(F.when(F.trim("text_body") != "", F.trim("text_body")), F.when(F.length("html_body") > 0, html.plain_text(F.col("html_body"))), F.lit(""))
     scan = F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.substring(body, 1, BODY_CHARS))
     base = messages.withColumns({
         "body": body, "scan": scan, "from_domain": F.coalesce(domain_of(F.col("from.address")), F.lit("")), "name": F.coalesce("from.name", F.lit("")),
-        "hits": lexicon.matches(scan), "name_hits": lexicon.matches(F.coalesce("from.name", F.lit(""))), "subject_hits": lexicon.matches(F.coalesce("subject", F.lit(""))),
+        "hits": lexicon.matches(scan), "name_hits": lexicon.matches(F.coalesce("from.name", F.lit(""))), "hidden": html.hidden_text(F.coalesce("html_body", F.lit(""))), "subject_hits": lexicon.matches(F.coalesce("subject", F.lit(""))),
         "greeting_hits": lexicon.matches(F.substring(body, 1, GREETING_CHARS)),
         "spf": F.col("auth.spf"), "dkim": F.col("auth.dkim"), "dmarc": F.col("auth.dmarc"), "arc": F.col("auth.arc"),
     })
@@ -109,7 +99,7 @@ def context(messages: DataFrame, organisation: tuple[str, ...] = ()) -> DataFram
     })
     reg, no = F.col("registrable"), F.lit(False)
     base = base.withColumns({
-        "brand": F.when(F.col("from_domain") != "", brands.owner(reg)),
+        "brand": F.when(F.col("from_domain") != "", brands.owner(reg)), "from_legit": brands.legitimate_for(F.col("from_domain")),
         "dkim_aligned": F.coalesce((F.col("dkim") == "pass") & (reg != "") & (urls.registrable(F.col("auth.dkim_domain")) == reg), no),
         "auth_failed": F.coalesce(F.col("spf").isin("fail", "softfail"), no) | F.coalesce(F.col("dkim") == "fail", no) | F.coalesce(F.col("dmarc") == "fail", no),
         "n_links": F.size(F.coalesce("links", F.array().cast("array<struct<href:string,anchor:string>>"))),
@@ -141,7 +131,7 @@ def _links(base: DataFrame) -> DataFrame:
     url_like = lower.rlike(r"^(?:https?://|www\.)") | (~lower.contains(" ") & (F.length(lower) >= 5) & lower.rlike(r"^[^.]*\.\p{L}{2,}") & lower.contains("/"))
     bare = F.regexp_replace(lower, r"[.,]+$", "")
     tld = F.substring_index(bare, ".", -1)
-    is_bare = bare.rlike(r"^[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+$") & (F.length(lower) <= 100) & tld.isin(list(cat.ANCHOR_TLDS))
+    is_bare = bare.rlike(r"^[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+$") & (F.length(lower) <= 100) & urls.listed(tld, cat.ANCHOR_TLDS)
     rows = rows.withColumns({
         "dangerous": F.lower("href").rlike("^(?:javascript:|data:|vbscript:)"), "host": urls.host_of(F.col("href")), "pq": urls.path_and_query(F.col("href")), "userinfo": urls.has_userinfo(F.col("href")),
         "anchor_host": F.when(~F.col("anchor").contains("@") & (F.length("anchor") <= 200) & (url_like | (is_bare & brands.is_brand_host(bare))), urls.host_of(F.col("anchor"))),
@@ -152,18 +142,19 @@ def _links(base: DataFrame) -> DataFrame:
     reg, no = F.col("h_registrable"), F.lit(False)
     on = F.col("host").isNotNull() & ~F.col("dangerous")
     aligned = F.coalesce((F.col("registrable") != "") & (reg == F.col("registrable")), no)
-    tracker = F.coalesce(reg.isin(list(cat.TRACKERS)), no)
+    tracker = F.coalesce(urls.listed(reg, cat.TRACKERS), no)
     brand_host = F.coalesce(F.col("h_brand"), no)
-    anchor_brand = brands.is_brand_host(F.col("anchor_host"))
-    shows_other = F.coalesce(urls.registrable(F.col("anchor_host")) != reg, no)
+    rows = rows.withColumns({"anchor_brand": F.coalesce(brands.is_brand_host(F.col("anchor_host")), no), "anchor_reg": urls.registrable(F.col("anchor_host")), "bare_reg": urls.registrable(F.col("bare_host"))})
+    anchor_brand = F.col("anchor_brand")
+    shows_other = F.coalesce(F.col("anchor_reg") != reg, no)
     mismatch = on & shows_other & (anchor_brand | ~(aligned | tracker))
-    bare_mismatch = on & ~shows_other & F.coalesce(urls.registrable(F.col("bare_host")) != reg, no) & ~aligned & ~tracker
+    bare_mismatch = on & ~shows_other & F.coalesce(F.col("bare_reg") != reg, no) & ~aligned & ~tracker
     alike = on & F.col("h_lookalike").isNotNull()
     below = on & ~alike & ~aligned & F.col("h_below").isNotNull()
-    stray = on & ~alike & ~below & ~aligned & ~brand_host & (F.size("mentioned") > 0) & ~F.col("h_shortener") & ~F.col("h_ip") & ~F.exists("mentioned", lambda b: legitimate(F.col("host"), b))
+    stray = on & ~alike & ~below & ~aligned & ~brand_host & (F.size("mentioned") > 0) & ~F.col("h_shortener") & ~F.col("h_ip") & ~F.arrays_overlap("mentioned", F.coalesce("h_legit", F.array().cast("array<string>")))
     keyword = urls.contains_any(F.col("pq"), cat.CREDENTIAL_PATHS)
     outside = on & ~aligned & ~brand_host
-    stays = F.coalesce((reg == F.col("registrable")) | (F.col("brand").isNotNull() & legitimate(F.col("host"), F.col("brand"))), F.col("host").isNull())
+    stays = F.coalesce((reg == F.col("registrable")) | (F.col("brand").isNotNull() & F.array_contains("h_legit", F.col("brand"))), F.col("host").isNull())
     free = on & ~aligned & F.col("h_free")
     flags = {
         "l_anchor": mismatch, "l_anchor_signin": mismatch & anchor_brand & urls.contains_any(urls.path_and_query(F.col("anchor")), cat.CREDENTIAL_PATHS), "l_bare": bare_mismatch,
@@ -203,18 +194,18 @@ def auth_rules() -> list[Rule]:
 
 def sender_rules() -> list[Rule]:
     no = F.lit(False)
-    has, free, d = F.coalesce(F.col("from.address") != "", no), F.col("free"), F.col("from_domain")
+    has, free = F.coalesce(F.col("from.address") != "", no), F.col("free")
     shown = F.lower(F.regexp_substr(F.substring("name", 1, 200), F.lit(text.ADDRESS)))
-    hides = F.coalesce(urls.registrable(domain_of(shown)) != F.col("registrable"), no)
-    claims = F.filter("name_brands", lambda b: ~legitimate(d, b))
+    hides = shown.isNotNull() & F.coalesce(urls.registrable(domain_of(shown)) != F.col("registrable"), no)
+    claims = F.filter("name_brands", lambda b: ~F.array_contains("from_legit", b))
     claimed = F.try_element_at(claims, F.lit(1))
-    about = F.exists("mentioned", lambda b: ~b.eqNullSafe(claimed) & ~legitimate(d, b))
+    about = F.exists("mentioned", lambda b: ~b.eqNullSafe(claimed) & ~F.array_contains("from_legit", b))
     local = F.lower(F.substring_index("from.address", "@", 1))
     pieces = F.filter(F.split(local, "[_+-]"), lambda p: p.rlike(r"[\p{L}\p{N}]{2,}\.(?:" + "|".join(cat.LOCAL_PART_TLDS) + r")\.*$"))
     words = F.filter(F.split(local, r"\P{L}+"), lambda w: F.length(w) >= 4)
     distinctive = {k: v for k, v in {**brands._NAMES, **{k: k for k, _, _ in cat.BRANDS}}.items() if v not in cat.DICTIONARY_BRANDS}
-    key_of = F.create_map(*[F.lit(x) for kv in distinctive.items() for x in kv])
-    spoof = F.exists(words, lambda w: F.coalesce(w.isin(list(distinctive)) & ~legitimate(d, F.try_element_at(key_of, w)), no))
+    key_of = brands._map(distinctive)
+    spoof = F.exists(words, lambda w: F.coalesce(urls.listed(w, distinctive) & ~F.array_contains("from_legit", F.try_element_at(key_of, w)), no))
     odd, reply_free = F.col("odd_reply"), urls.is_free_mail(F.col("odd_reply"))
     sends = domain_of(F.col("sender.address"))
     other = F.coalesce((sends != "") & (urls.registrable(sends) != F.col("registrable")), no)
@@ -283,18 +274,18 @@ def content_rules() -> list[Rule]:
     scanned = F.substring("scan", 1, text.SCAN_CHARS)
     credentials = hit("credential", 4)
     code = (
-        some(credentials) & F.forall(credentials, lambda p: p.isin(list(cat.CODE_DELIVERY))) & (F.size("files") == 0) & ~F.col("auth_failed")
+        some(credentials) & F.forall(credentials, lambda p: urls.listed(p, cat.CODE_DELIVERY)) & (F.size("files") == 0) & ~F.col("auth_failed")
         & (F.coalesce(F.col("dmarc") == "pass", no) | F.col("dkim_aligned")) & F.coalesce(F.col("l_sites") == 0, F.lit(True)) & scanned.rlike(text.ONE_TIME_CODE)
     )
     bulk = F.col("list_headers") & F.col("authenticated")
     notice = F.col("authenticated") & F.col("brand").isNotNull() & (F.size("files") == 0) & F.coalesce("links_stay", F.lit(True))
     asks = some(credentials) & ~code
     gifts = hit("gift_card", 4)
-    promo = bulk & ~F.exists(gifts, lambda p: p.isin(list(cat.GIFT_CARD_REQUESTS)))
+    promo = bulk & ~F.exists(gifts, lambda p: urls.listed(p, cat.GIFT_CARD_REQUESTS))
     words, wallet = hit("crypto"), scanned.rlike(text.WALLET)
     cues, titles = hit("executive_cue", 4), hit("executive_title", 2)
     unverified = F.col("free") | F.col("odd_reply").isNotNull() | F.col("auth_failed") | ~F.col("has_auth")
-    corporate = (F.size("recipients") > 0) & ~F.exists("recipients", lambda r: r.isin(list(cat.FREE_MAIL)))
+    corporate = (F.size("recipients") > 0) & ~F.exists("recipients", lambda r: urls.listed(r, cat.FREE_MAIL))
     lures = F.when(bulk, hit("lure", 4, cat.PROMOTIONAL_LURES)).otherwise(hit("lure", 4))
     weak = F.try_element_at(lures, F.lit(1)).isin("award", "bonus", "reward", "grant", "usd", "million", "winner", "congratulations")
     blackmail = hit("sextortion", 4)
@@ -306,9 +297,10 @@ def content_rules() -> list[Rule]:
             lambda t: F.array_contains(F.split(F.lower(F.substring("body", 1, 240)), r"[^\p{L}\p{N}]+"), t),
         ),
     )
-    html = F.coalesce(F.length("html_body") > 0, no)
-    image = html & (F.length("body") < 60) & F.coalesce(F.lower("html_body").contains("<img"), no) & (F.col("n_links") == 1)
-    single = html & ~image & F.coalesce(F.trim("text_body") == "", F.lit(True)) & (F.col("n_links") == 1) & (F.length("body") < 400) & F.coalesce(F.try_element_at("links", F.lit(1))["anchor"] != "", no)
+    has_html = F.coalesce(F.length("html_body") > 0, no)
+    image = has_html & (F.length("body") < 60) & F.coalesce(F.lower("html_body").contains("<img"), no) & (F.col("n_links") == 1)
+    single = has_html & ~image & F.coalesce(F.trim("text_body") == "", F.lit(True)) & (F.col("n_links") == 1) & (F.length("body") < 400) & F.coalesce(F.try_element_at("links", F.lit(1))["anchor"] != "", no)
+    much = (F.aggregate("hidden", F.lit(0), lambda n, t: n + F.length(t)) >= 200) | (F.size("hidden") >= 3)
     urgency = F.when(code, hit("urgency", 3, cat.CODE_URGENCY)).otherwise(hit("urgency"))
     secrecy = F.when(code, hit("secrecy", 3, cat.CODE_SECRECY)).otherwise(hit("secrecy"))
     return [
@@ -330,6 +322,7 @@ def content_rules() -> list[Rule]:
         Rule("content.excessive_caps_or_exclamation", "Shouting subject line", "low", 0.15, F.coalesce(text.shouts(F.col("subject")), no)),
         Rule("content.qr_code_lure", "Asks you to scan a QR code", "medium", 0.3, some(hit("qr", 2))),
         Rule("content.action_request_from_stranger", "Short request with a link from an unknown sender", "medium", 0.25, some(hit("action_request", 2)) & F.col("free") & ~F.col("list_headers") & ~F.col("internal") & ~greeted & (F.length("body") < STRANGER_CHARS) & F.col("n_links").between(1, 2)),
+        Rule("content.hidden_text", "Hidden text in the message", F.when(much, "medium").otherwise("low"), F.when(much, 0.3).otherwise(0.12), F.coalesce(F.size("hidden") > 0, no)),
         Rule("content.image_only_link_body", "Image-only message with a single link", "medium", 0.35, image),
         Rule("content.html_only_single_link", "Short HTML-only message with one call to action", "low", 0.2, single),
     ]
@@ -343,20 +336,20 @@ def attachment_rules() -> list[Rule]:
         mime = F.trim(F.substring_index(F.lower(F.coalesce(a["mime_type"], F.lit(""))), ";", 1))
         e = ext(a)
         return (
-            F.when(e.isin(list(cat.EXECUTABLE_EXTENSIONS)) | mime.isin(list(cat.EXECUTABLE_TYPES)), "executable")
-            .when(e.isin(list(cat.HTML_EXTENSIONS)) | mime.isin("text/html", "application/xhtml+xml"), "html")
-            .when(e.isin(list(cat.MACRO_EXTENSIONS)) | mime.contains("macroenabled"), "macro")
-            .when(e.isin(list(cat.ARCHIVE_EXTENSIONS)) | mime.isin("application/zip", "application/x-rar-compressed", "application/x-7z-compressed"), "archive")
+            F.when(urls.listed(e, cat.EXECUTABLE_EXTENSIONS) | urls.listed(mime, cat.EXECUTABLE_TYPES), "executable")
+            .when(urls.listed(e, cat.HTML_EXTENSIONS) | mime.isin("text/html", "application/xhtml+xml"), "html")
+            .when(urls.listed(e, cat.MACRO_EXTENSIONS) | mime.contains("macroenabled"), "macro")
+            .when(urls.listed(e, cat.ARCHIVE_EXTENSIONS) | mime.isin("application/zip", "application/x-rar-compressed", "application/x-7z-compressed"), "archive")
             .otherwise("other")
         )
 
     def double(a: Column) -> Column:
         name = F.lower(F.trim(a["filename"]))
         parts = F.filter(F.split(name, r"\."), lambda p: p != "")
-        before = F.trim(F.element_at(F.slice(F.reverse(parts), 2, 1), 1))
-        risky = ext(a).isin([*cat.EXECUTABLE_EXTENSIONS, *cat.HTML_EXTENSIONS, *cat.ARCHIVE_EXTENSIONS, *cat.MACRO_EXTENSIONS])
+        before = F.coalesce(F.trim(F.try_element_at(F.slice(F.reverse(parts), 2, 1), F.lit(1))), F.lit(""))
+        risky = urls.listed(ext(a), [*cat.EXECUTABLE_EXTENSIONS, *cat.HTML_EXTENSIONS, *cat.ARCHIVE_EXTENSIONS, *cat.MACRO_EXTENSIONS])
         spaced = name.contains("  ")
-        return ((F.size(parts) >= 3) | ((F.size(parts) == 2) & spaced)) & risky & (spaced | before.isin(list(cat.DOCUMENT_EXTENSIONS)))
+        return ((F.size(parts) >= 3) | ((F.size(parts) == 2) & spaced)) & risky & (spaced | urls.listed(before, cat.DOCUMENT_EXTENSIONS))
 
     files = F.slice("files", 1, 50)
 

@@ -178,7 +178,7 @@ def call_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def call_running_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = calls.running_verdicts(syn.lines(spark, sf_dir))
-    return out.select("call_id", "ord", F.round("score", 6).alias("score"), "level", "sequence")
+    return out.select("call_id", "ord", F.round("score", 4).alias("score"), "level", "sequence")
 
 
 def call_alert_on_rise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +231,7 @@ def account_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = (F.unix_micros("ts") / 1000).cast("long")
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) div 1000")
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("account_key"), at.alias("at_ms"))
 
 
@@ -277,7 +277,7 @@ def size_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.sources.mailboxes import within_budget
 
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("size"))
-    return within_budget(rows, "l_orderkey", "l_linenumber", "size", 60)
+    return within_budget(rows, "l_orderkey", ["l_linenumber", "size"], "size", 60)
 
 
 def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

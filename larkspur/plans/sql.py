@@ -112,7 +112,7 @@ def _n(name: str) -> str:
 
 _CODE = f"""(coalesce(f['credential'], []) = ['security code'] AND filename IS NULL AND NOT failed AND (coalesce(dmarc = 'pass', false) OR aligned)
             AND (host IS NULL OR link_reg = registrable) AND contains(body, 'security code is 482913'))"""
-_MENTIONED = "list_distinct(list_filter([CASE WHEN contains(subject || body, 'PayPal') THEN 'paypal' END, name_brand], lambda b: b IS NOT NULL))"
+_MENTIONED = "list_distinct(list_filter([CASE WHEN contains(j.subject || j.body, 'PayPal') THEN 'paypal' END, CASE WHEN from_address IS NOT NULL THEN name_brand END], lambda b: b IS NOT NULL))"
 _CLAIMED = "CASE WHEN name_brand IS NOT NULL AND coalesce(name_brand <> brand, true) THEN name_brand END"
 _ACTS = f"(href IS NOT NULL OR filename IS NOT NULL OR {_n('action_request')} > 0 OR {_n('attachment_request')} > 0)"
 _X = f""", {_HITS}, {_TRUTH},
@@ -265,14 +265,14 @@ ORACLE_SQL: dict[str, str] = {
         WITH t(host, brand, kind, label) AS (VALUES ('paypa1.com', 'paypal', 'homoglyph', 'paypa1'), ('rnicrosoft.com', 'microsoft', 'homoglyph', 'rnicrosoft'), ('amazom.com', 'amazon', 'typosquat', 'amazom'),
             ('mypaypal.net', 'paypal', 'embedded', 'mypaypal'), ('apple-id-verify.com', 'apple', 'brand_token', 'apple'), ('netflix.account-update.co.uk', 'netflix', 'brand_token', 'netflix'),
             ('paypal-secure.myshopify.com', 'paypal', 'brand_token', 'paypal'), ('gooogle.com', 'google', 'typosquat', 'gooogle'), ('facebook2.com', 'facebook', 'brand_token', 'facebook2'),
-            ('secure-docusign.net', 'docusign', 'brand_token', 'docusign'))
+            ('secure-docusign.net', 'docusign', 'brand_token', 'docusign'), ('xn--pypal-4ve.com', 'paypal', 'typosquat', 'pypal'))
         SELECT * FROM t""",
     "call_signals": f"WITH {_CALLS} SELECT call_id, rule, severity, weight, speaker, ord FROM best",
     "call_verdicts": f"""
         WITH {_CALLS}, v AS (SELECT call_id, round(1 - product(1 - weight), 9) AS score, bool_and(rule IN ('call.otp_or_credentials', 'call.user_sharing_sensitive')) AS codes, count(*) AS n_signals FROM best GROUP BY call_id)
         SELECT call_id, score, {_LEVEL.format('score')} AS level, CASE WHEN score < 0.3 THEN 'safe' WHEN codes THEN 'phishing' ELSE 'scam' END AS category, n_signals FROM v""",
     "call_running_verdict": f"""
-        WITH {_RUNNING} SELECT call_id, ord, round(s, 6) AS score, level, CAST(sum(changed::INT) OVER (PARTITION BY call_id ORDER BY ord) AS BIGINT) AS sequence FROM ch""",
+        WITH {_RUNNING} SELECT call_id, ord, round(s, 4) AS score, level, CAST(sum(changed::INT) OVER (PARTITION BY call_id ORDER BY ord) AS BIGINT) AS sequence FROM ch""",
     "call_alert_on_rise": f"""
         WITH {_RUNNING}, k AS (SELECT call_id, ord, level, CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 0 END AS r FROM lv),
         p AS (SELECT *, coalesce(max(r) OVER (PARTITION BY call_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
@@ -295,15 +295,15 @@ ORACLE_SQL: dict[str, str] = {
         FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0""",
     "account_key": "SELECT c_custkey, sha256(lower(c_name || '@example.com') || ':salt') AS account_key FROM customer",
     "debounce_sends": """
-        WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS account_key, epoch_us(ts) // 1000 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
-        s AS (SELECT account_key, i, at, at AS last, NULL::BIGINT AS pending, [{'sent_at': at, 'request_at': at, 'kind': 'sent'}] AS sends FROM e WHERE i = 1
+        WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS account_key, epoch_us(ts) // 1000 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+        s AS (SELECT account_key, i, tm, tm AS last, NULL::BIGINT AS pending, [{'sent_at': tm, 'request_at': tm, 'kind': 'sent'}] AS sends FROM e WHERE i = 1
               UNION ALL
-              SELECT account_key, i, at,
-                     CASE WHEN open AND due > at THEN last WHEN open AND at - due < 21600000 THEN due WHEN open THEN at WHEN at - last < 21600000 THEN last ELSE at END,
-                     CASE WHEN open AND due > at THEN at WHEN open AND at - due < 21600000 THEN at WHEN open THEN NULL WHEN at - last < 21600000 THEN at ELSE NULL END,
-                     list_concat(sends, list_concat(CASE WHEN open AND due <= at THEN [{'sent_at': due, 'request_at': pending, 'kind': 'trailing'}] ELSE [] END,
-                         CASE WHEN (open AND due <= at AND at - due >= 21600000) OR (NOT open AND at - last >= 21600000) THEN [{'sent_at': at, 'request_at': at, 'kind': 'sent'}] ELSE [] END))
-              FROM (SELECT e.account_key, e.i, e.at, s.last, s.pending, s.sends, s.pending IS NOT NULL AS open, s.last + 21600000 AS due FROM s JOIN e ON e.account_key = s.account_key AND e.i = s.i + 1)),
+              SELECT account_key, i, tm,
+                     CASE WHEN open AND due > tm THEN last WHEN open AND tm - due < 21600000 THEN due WHEN open THEN tm WHEN tm - last < 21600000 THEN last ELSE tm END,
+                     CASE WHEN open AND due > tm THEN tm WHEN open AND tm - due < 21600000 THEN tm WHEN open THEN NULL WHEN tm - last < 21600000 THEN tm ELSE NULL END,
+                     list_concat(sends, list_concat(CASE WHEN open AND due <= tm THEN [{'sent_at': due, 'request_at': pending, 'kind': 'trailing'}] ELSE [] END,
+                         CASE WHEN (open AND due <= tm AND tm - due >= 21600000) OR (NOT open AND tm - last >= 21600000) THEN [{'sent_at': tm, 'request_at': tm, 'kind': 'sent'}] ELSE [] END))
+              FROM (SELECT e.account_key, e.i, e.tm, s.last, s.pending, s.sends, s.pending IS NOT NULL AS open, s.last + 21600000 AS due FROM s JOIN e ON e.account_key = s.account_key AND e.i = s.i + 1)),
         z AS (SELECT account_key, list_concat(sends, CASE WHEN pending IS NOT NULL THEN [{'sent_at': last + 21600000, 'request_at': pending, 'kind': 'trailing'}] ELSE [] END) AS sends FROM s QUALIFY row_number() OVER (PARTITION BY account_key ORDER BY i DESC) = 1)
         SELECT account_key, u.sent_at AS sent_at, u.request_at AS request_at, u.kind AS kind FROM (SELECT account_key, unnest(sends) AS u FROM z)""",
     "eval_confusion": """
@@ -314,7 +314,7 @@ ORACLE_SQL: dict[str, str] = {
     "org_domains": f"WITH {_JOINED} SELECT DISTINCT registrable AS domain FROM j WHERE NOT free",
     "calls_page": "SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
     "size_budget": """
-        WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size, sum(CAST(l_quantity AS BIGINT)) OVER w AS total, row_number() OVER w AS k FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING))
+        WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size, sum(CAST(l_quantity AS BIGINT)) OVER w AS total, row_number() OVER w AS k FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING))
         SELECT l_orderkey, l_linenumber, size, CAST(total AS BIGINT) AS total FROM t WHERE total <= 60 OR k = 1""",
     "incremental_scan": """
         WITH t AS (SELECT user_id AS account_id, event_id AS uid FROM events WHERE event_id > 100 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 5)

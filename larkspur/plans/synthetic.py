@@ -61,6 +61,7 @@ def messages_sql(spark: bool) -> str:
 
 
 def _orders(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    sql = sql.replace("{", "{{").replace("}", "}}")  # braces are the formatter's
     return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 

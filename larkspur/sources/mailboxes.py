@@ -59,10 +59,10 @@ def first_uid_scan(rows: DataFrame, since: Column, cap: int = SCAN_CAP) -> DataF
     return _newest(rows.filter(F.col("received_at") >= since), "uid", cap)
 
 
-def within_budget(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
+def within_budget(rows: DataFrame, key: str, order: list[str], size: str, budget: int) -> DataFrame:
     """The rows of each key, in order, whose sizes add up to at most the budget; the first always."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("total", F.sum(size).over(w)).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumn("total", F.sum(size).over(w)).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return out.filter((F.col("total") <= budget) | (F.col("_r") == 1)).drop("_r")
 
 
