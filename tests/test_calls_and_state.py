@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import calls, debounce, state, transcripts
@@ -46,15 +47,21 @@ def run_stream(spark, frame, schema, tmp_path, query, parts=4):
         frame.filter(F.pmod("part", F.lit(parts)) == i).drop("part").coalesce(1).write.mode("append").parquet(source)
         time.sleep(1.1)  # files are taken by age
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    q = query(stream).writeStream.format("memory").queryName("out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = query(stream).writeStream.format("memory").queryName("out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        wanted, end = frame.count(), time.time() + 60  # with processing-time timers there is always another batch
+        while sum(p["numInputRows"] for p in q.recentProgress) < wanted and time.time() < end:
+            time.sleep(0.3)
+        time.sleep(4)
+    finally:
+        q.stop()
     return spark.table("out")
 
 
 def test_streamed_verdicts_are_the_batch_verdicts(spark, tmp_path):
     lines = syn.lines(spark, DATA).filter("cast(call_id as int) < 25")
     batch = {tuple(r) for r in calls.running_verdicts(lines).filter("changed").select("call_id", "ord", F.round("score", 6), "level", "rules", "sequence").collect()}
-    part = F.ntile(3).over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("ord")) - 1
+    part = F.ntile(3).over(Window.orderBy("ord")) - 1
     got = run_stream(spark, lines.withColumn("part", part), lines.schema, tmp_path, score_stream, 3)
     assert {tuple(r) for r in got.select("call_id", "ord", F.round("score", 6), "level", "rules", "sequence").collect()} == batch
     rises = {tuple(r) for r in calls.alerts(calls.running_verdicts(lines)).select("call_id", "ord").collect()}
@@ -78,11 +85,12 @@ def naive_sends(times, wait):
 
 def test_debounce(spark, tmp_path):
     times = {"a": [0, 5, 9_000, 10_000, 25_000, 26_000], "b": [1], "c": list(range(0, 60_000, 3_000))}
+    times = {k: [t + 1_000_000 for t in ts] for k, ts in times.items()}  # a watermark starts at 0
     frame = spark.createDataFrame([(k, t) for k, ts in times.items() for t in ts], "account_key string, at_ms long")
     got = {(r["account_key"], r["sent_at"], r["request_at"]) for r in debounce.sends(frame, 10_000).collect()}
     want = {(k, *s) for k, ts in times.items() for s in naive_sends(ts, 10_000)}
     assert got == want
-    stream = frame.union(spark.createDataFrame([("z", 500_000), ("y", 900_000)], frame.schema)).select("account_key", F.timestamp_millis("at_ms").alias("at"))
+    stream = frame.union(spark.createDataFrame([("z", 1_500_000), ("y", 1_900_000)], frame.schema)).select("account_key", F.timestamp_millis("at_ms").alias("at"))
     stream = stream.withColumn("part", F.when(F.col("account_key") == "z", 1).when(F.col("account_key") == "y", 2).otherwise(0))
     spark.sql("drop view if exists out")
     seen = run_stream(spark, stream, "account_key string, at timestamp", tmp_path, lambda s: debounce_stream(s, 10_000), 3)
