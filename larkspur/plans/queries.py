@@ -173,7 +173,7 @@ def call_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calls.verdicts(syn.lines(spark, sf_dir))
+    return calls.verdicts(syn.lines(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
 def call_running_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:

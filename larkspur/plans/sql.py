@@ -270,7 +270,7 @@ ORACLE_SQL: dict[str, str] = {
     "call_signals": f"WITH {_CALLS} SELECT call_id, rule, severity, weight, speaker, ord FROM best",
     "call_verdicts": f"""
         WITH {_CALLS}, v AS (SELECT call_id, round(1 - product(1 - weight), 9) AS score, bool_and(rule IN ('call.otp_or_credentials', 'call.user_sharing_sensitive')) AS codes, count(*) AS n_signals FROM best GROUP BY call_id)
-        SELECT call_id, score, {_LEVEL.format('score')} AS level, CASE WHEN score < 0.3 THEN 'safe' WHEN codes THEN 'phishing' ELSE 'scam' END AS category, n_signals FROM v""",
+        SELECT call_id, round(score, 4) AS score, {_LEVEL.format('score')} AS level, CASE WHEN score < 0.3 THEN 'safe' WHEN codes THEN 'phishing' ELSE 'scam' END AS category, n_signals FROM v""",
     "call_running_verdict": f"""
         WITH {_RUNNING} SELECT call_id, ord, round(s, 4) AS score, level, CAST(sum(changed::INT) OVER (PARTITION BY call_id ORDER BY ord) AS BIGINT) AS sequence FROM ch""",
     "call_alert_on_rise": f"""
