@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.skew import join_groups
@@ -118,7 +118,7 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": group["src"], "owner": group["owner"], "bitmap": out})
 
 
-def normalised(text) -> F.Column:
+def normalised(text: Column) -> Column:
     """The text without space, tab, line feed, vertical tab, form feed and carriage return; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
 

@@ -1,21 +1,22 @@
 """Near-duplicate detection by a chosen-path set similarity join.
 
 Every document is a set of word shingles, sketched by ``SKETCH`` minwise
-tokens.  A tree branches a node's documents by the tokens at one or two
-coordinates that the node's path chooses, so that similar documents keep
-meeting and others part:
+tokens.  A tree branches a node's documents by the tokens at coordinates that
+the node's path chooses, so that similar documents keep meeting and others part:
 
+* the root takes two branchings at once, which leaves unlike documents alone,
 * a node of at most ``LEAF`` documents is compared exhaustively,
 * a larger one is branched again, down to ``DEPTH`` levels; what is then still
   large is compared in blocks, so no pair of a node is ever left out,
 * ``TREES`` independent trees bring the recall to the target: two documents of
-  similarity s meet in a tree with a probability of s at the root and of at
-  least 0.75 at s = 0.8 whatever the depth, so all ten miss at most 1 in 10**6.
-
-Equal sets are folded first.  Then each document is linked to the least
-document of a node that its sketch resembles; links confirmed on the full sets
-merge components, and a node whose documents all lie in one component is
-dropped.  That keeps groups of thousands of near copies linear.  Pairs within
+  similarity 0.8 pass the root with probability 0.64 and then meet with 0.93 at
+  any depth, since two branches are tried; all trees miss 1 in 10**6 at most.
+
+Equal sets are folded first.  Then, in ``ROUNDS`` rounds over a part of the
+trees each, nodes are dealt at random into chunks of ``LEAF`` documents, and
+each document is held against the one that its sketch resembles most.  Links
+confirmed on the full sets merge components, and a node whose documents all lie
+in one component is dropped.  That keeps groups of thousands of near copies linear.  Pairs within
 a component are not compared, which loses no component and no member.
 """
 
@@ -27,23 +28,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrow import slices, utf8
 from larkspur.llm.bytehash import U64, mix, shingle_set
 from larkspur.llm.components import components
-from larkspur.llm.skew import agreeing_lanes, join_groups
+from larkspur.llm.skew import join_groups
 from larkspur.llm.workspace import broadcast_if, stage
 
-SKETCH = 64
-TREES = 10
+SKETCH = 128
+TREES = 16
 BRANCHES = 2
-LEAF = 128
+ROUNDS = 2
+LEAF = 1024
 DEPTH = 6
 BLOCK = 1024
-#: Coordinates that must agree for a pair's full sets to be compared: 5 sigma below 0.8 * 64.
-AGREE = 35
+#: Coordinates that must agree for a pair's full sets to be compared: 5 sigma below 0.8 * 128.
+AGREE = 80
 #: Most rows of a table of ids that is broadcast (16 bytes each).
 BROADCAST_ROWS = 500_000
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -80,22 +82,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, SKETCH)
 
 
-def _lanes(sketch: np.ndarray) -> np.ndarray:
-    """Sixteen 4-bit lanes of the first coordinates, as a long."""
-    return (((sketch[:, :16] & 15).astype(U64)) << (np.arange(16, dtype=U64) * U64(4))).sum(axis=1, dtype=U64).view(np.int64)
-
-
-_NODES = "node long, rep long, lanes long"
+_NODES = "node long, rep long"
+_PAIRS = "a long, b long, alike long"
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One coordinate for each tree's root."""
+    """Two coordinates for each tree's root."""
     for batch in batches:
-        s, lanes, rep = _matrix(batch["sketch"]), _lanes(_matrix(batch["sketch"])), batch["rep"].to_numpy()
+        s, rep = _matrix(batch["sketch"]), batch["rep"]
         for t in range(TREES):
             at = t * SKETCH // TREES
-            node = mix(s[:, at].astype(U64) + U64((t + 1) << 40))
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(rep), pa.array(lanes)], ["node", "rep", "lanes"])
+            node = mix(mix(s[:, at].astype(U64) + U64((t + 1) << 40)) + s[:, at + 1].astype(U64))
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), rep], ["node", "rep"])
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +103,7 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in range(BRANCHES):
             at = (mix(node + U64(b + 1)) % U64(SKETCH)).astype(np.int64)
             child = mix(mix(node ^ U64(b + 1)) + s[np.arange(len(at)), at].astype(U64))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch["rep"], batch["lanes"]], ["node", "rep", "lanes"])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch["rep"]], ["node", "rep"])
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,26 +125,50 @@ def _lists(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray] |
     return [(rep[i:j], comp[i:j], small[i:j]) if ok else None for i, j, ok in zip(np.concatenate([[0], ends[:-1]]), ends, column.is_valid().to_pylist(), strict=True)]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a node's members, or of two of its blocks, that lie in two components and have like sketches."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, 256):
-            batch = whole.slice(start, 256)
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x, y in zip(_lists(batch["members"]), _lists(batch["others"]), strict=True):
-                y = x if y is None else y
-                i, j = np.nonzero((_alike(x[2], y[2]) >= AGREE) & (x[1][:, None] != y[1][None, :]))
-                a, b = x[0][i], y[0][j]
-                left.append(np.maximum(a, b)), right.append(np.minimum(a, b))
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+def _compare(best: bool = False):
+    """Pairs of a node's members, or of two of its blocks, that lie in two components and have like sketches.
 
+    best: for each member only the one that it resembles most.
+    """
 
-def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_set(t, shingle).view(np.int64) for t in utf8(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "tokens"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                found = [np.zeros((3, 0), np.int64)]
+                for x, y in zip(_lists(batch["members"]), _lists(batch["others"]), strict=True):
+                    y = x if y is None else y
+                    alike = np.where(x[1][:, None] != y[1][None, :], _alike(x[2], y[2]), 0)
+                    if best:
+                        i, j = np.arange(len(x[0])), alike.argmax(axis=1)
+                        i, j = i[alike[i, j] >= AGREE], j[alike[i, j] >= AGREE]
+                    else:
+                        i, j = np.nonzero(alike >= AGREE)
+                    a, b = x[0][i], y[0][j]
+                    found.append(np.stack([a, b, alike[i, j]]) if best else np.stack([np.maximum(a, b), np.minimum(a, b), alike[i, j]]))
+                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2])], ["a", "b", "alike"])
+
+    return run
+
+
+def _verify(shingle: int, percent: int):
+    """Pairs with both texts, those of a pivot in a row: which have the similarity on their full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, y = None, None
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                keep = []
+                for one, other in zip(utf8(batch["x"]), utf8(batch["y"]), strict=True):
+                    if other != held:
+                        held, y = other, shingle_set(other, shingle)
+                    x = shingle_set(one, shingle)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
 
     return run
 
@@ -154,12 +176,10 @@ def _sets(shingle: int):
 def _confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (staged) whose full sets have the similarity."""
     ids = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    chosen = docs.join(broadcast_if(ids, BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", "text")
-    sets = stage(chosen.mapInArrow(_sets(shingle), "doc_id long, tokens array<long>"))
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct()
+    chosen = docs.join(broadcast_if(ids, BROADCAST_ROWS), "doc_id", "left_semi")
+    left = pairs.join(chosen.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+    both = left.join(chosen.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_verify(shingle, percent), "a long, b long").distinct()
 
 
 def _with_component(rows: DataFrame, comps: DataFrame, key: str) -> DataFrame:
@@ -202,26 +222,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     comps = spark.createDataFrame([], "node long, component long")
     nodes = stage(reps.select("rep", "sketch").mapInArrow(_roots, _NODES))
     for level in range(DEPTH):
-        sizes = stage(nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1"))
+        sizes = stage(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
         members = stage(join_groups(nodes, sizes, ["node"], "n", max(total, 1)))
-        if level < 2:
-            stars = _stars(members, reps)
-            links.append(stage(_confirm(source, stars, shingle, percent)))
+        for r in range(ROUNDS if not level else 0):
+            pairs = _best_partners(members.filter(F.pmod("node", F.lit(ROUNDS)) == r), comps, reps, r, max(total, 1))
+            links.append(stage(_confirm(source, pairs, shingle, percent)))
             comps = stage(components(_union(links)))
-        labelled = _with_component(members, comps, "rep")
-        mixed = stage(labelled.groupBy("node").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("n")).filter("c <> d").select("node", "n"))
-        labelled = stage(join_groups(labelled.drop("n", "least"), mixed, ["node"], "n", max(total, 1)))
+        labelled = _mixed(members, comps, max(total, 1))
         large = labelled.filter(F.col("n") > LEAF)
-        leaves = labelled.filter(F.col("n") <= LEAF).join(reps.select("rep", "small"), "rep")
-        cells = leaves.groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "small")).alias("members")).select("members", F.lit(None).cast("array<struct<rep:long,comp:long,small:binary>>").alias("others"))
-        found = [cells.mapInArrow(_compare, "a long, b long")]
+        cells = _cells(labelled.filter(F.col("n") <= LEAF), reps, "node")
+        found = [cells.mapInArrow(_compare(), _PAIRS)]
         last = not large.limit(1).count()
         if level == DEPTH - 1 and not last:
-            found.append(_blocks(large.join(reps.select("rep", "small"), "rep")).mapInArrow(_compare, "a long, b long"))
-        links.append(stage(_confirm(source, stage(_union(found).distinct()), shingle, percent)))
+            found.append(_blocks(large.join(reps.select("rep", "small"), "rep")).mapInArrow(_compare(), _PAIRS))
+        links.append(stage(_confirm(source, stage(_union(found).select("a", "b").distinct()), shingle, percent)))
         if last:
             break
-        nodes = stage(large.select("node", "rep", "lanes").join(reps.select("rep", "sketch"), "rep").mapInArrow(_children, _NODES).distinct())
+        nodes = stage(large.select("node", "rep").join(reps.select("rep", "sketch"), "rep").mapInArrow(_children, _NODES).distinct())
     repeated = stage(usable.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if repeated.limit(1).count():  # an id with several texts is one node of all their classes
         links.append(usable.join(repeated, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
@@ -238,12 +255,29 @@ def _small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield x.assign(small=[np.frombuffer(s, "<u4").astype(np.uint8).tobytes() for s in x["sketch"]])
 
 
-def _stars(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """For each document the least document of its nodes that resembles it; half of sixteen 4-bit lanes must agree."""
-    pairs = members.filter("rep <> least").select("rep", "least", "lanes").distinct()
-    lanes = members.select(F.col("rep").alias("least"), F.col("lanes").alias("other")).distinct()
-    like = pairs.join(lanes, "least").filter(agreeing_lanes(F.col("lanes"), F.col("other")) >= 8)
-    return stage(like.groupBy("rep").agg(F.min("least").alias("b")).select(F.col("rep").alias("a"), "b"))
+def _mixed(members: DataFrame, comps: DataFrame, total: int) -> DataFrame:
+    """Members of the nodes with more than one component, with their component."""
+    labelled = _with_component(members, comps, "rep")
+    mixed = stage(labelled.groupBy("node").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("n")).filter("c <> d").select("node", "n"))
+    return stage(join_groups(labelled.drop("n"), mixed, ["node"], "n", total))
+
+
+def _cells(members: DataFrame, reps: DataFrame, *keys: str) -> DataFrame:
+    """Members by node or chunk, with their sketches, for ``_compare``."""
+    item = F.collect_list(F.struct("rep", "comp", "small")).alias("members")
+    return members.join(reps.select("rep", "small"), "rep").groupBy(*keys).agg(item).select("members", F.lit(None).cast(_MEMBERS).alias("others"))
+
+
+_MEMBERS = "array<struct<rep:long,comp:long,small:binary>>"
+
+
+def _best_partners(members: DataFrame, comps: DataFrame, reps: DataFrame, r: int, total: int) -> DataFrame:
+    """For each document the one that it resembles most among its chunks of ``LEAF``, in another component."""
+    chunk = F.pmod(F.xxhash64("rep", F.lit(r)), F.ceil(F.col("n") / LEAF))
+    cells = _cells(_mixed(members, comps, total).withColumn("chunk", chunk), reps, "node", "chunk")
+    found = cells.mapInArrow(_compare(best=True), _PAIRS)
+    best = found.groupBy("a").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b"))
+    return stage(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
