@@ -3,12 +3,14 @@
 Two generative models of hashed n-grams are counted: one for the raw corpus,
 over every document, one for the target, over labelled good documents.  A
 document's importance weight is the product over its n-grams of the ratio of
-the models, where only ratios count that differ significantly.  Documents are
-then resampled without replacement by Gumbel top-k over the log weights.
-
-k is set on labelled documents that were held out: as many documents are drawn
-as have a weight that good documents have.  The temperature is low, so the
-draw decides between documents near the limit only.
+the models.  Ratios of both signs count, the log of each shrunk by how surely
+it differs from 0, so weak evidence adds up over a document and chance does
+not.  Documents are then resampled without replacement by Gumbel top-k over the
+log weights, each held against the limit of its language.
+
+k and the limits are set on labelled documents that were held out: as many
+documents are drawn as have a weight that good documents of their language have.
+The temperature is low, so the draw decides between documents near the limit only.
 """
 
 from __future__ import annotations
@@ -33,9 +35,15 @@ STEM = 5
 #: Labelled documents in the fit, three of four, and the held-out rest: those with the least hash.
 SAMPLE = 40_000
 #: Pseudo-count of each bucket, in documents.
-PRIOR = 1.0
-#: A ratio counts if it is below exp(-LEAST) and its count is SIGMAS standard deviations low.
-LEAST, SIGMAS = 2.0, 7.5
+PRIOR = 0.3
+#: The log of a ratio counts z**4 / (z**4 + DOUBT**2), where its count is z standard deviations off.
+DOUBT = 12.0
+#: No document of a log weight above -LEAST is under a limit.
+LEAST = 0.5
+#: Held-out good and bad documents from which on a language has a limit of its own.
+OWN = 20
+#: The limit where nothing is to be rejected.
+NONE = -1e9
 #: What it costs to reject a share of the good documents, against keeping the same share of the bad.
 COST = 8.0
 TEMPERATURE = 0.02
@@ -108,7 +116,7 @@ def sample_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def ratios(docs: DataFrame, chosen: DataFrame) -> np.ndarray:
-    """Log ratio of the target model to the raw model by bucket; 0 where the two do not differ significantly."""
+    """Log ratio of the target model to the raw model by bucket, near 0 where the two do not differ significantly."""
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left").select("text", "fit")
     partial = rows.mapInArrow(_count, _BLOCKS)
     raw, target, n = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(2)
@@ -120,9 +128,8 @@ def ratios(docs: DataFrame, chosen: DataFrame) -> np.ndarray:
             raw[r["block"] * BLOCK :][:BLOCK] += a
             target[r["block"] * BLOCK :][:BLOCK] += b
     expected = raw * (n[1] / max(n[0], 1))
-    out = np.log((target + PRIOR) / (expected + PRIOR))
-    low = (out < -LEAST) & ((expected - target) / np.sqrt(expected + 1) > SIGMAS)
-    return np.where(low, out, 0.0).astype(np.float32)
+    z4 = ((expected - target) ** 2 / (expected + 1)) ** 2
+    return (np.log((target + PRIOR) / (expected + PRIOR)) * z4 / (z4 + DOUBT**2)).astype(np.float32)
 
 
 def _gumbel(doc_id: np.ndarray, text: list[bytes]) -> np.ndarray:
@@ -161,41 +168,67 @@ def kth_largest(keys: DataFrame, k: int) -> int:
     return found - (1 << 63)
 
 
-def limit_of(keys: DataFrame, chosen: DataFrame) -> float:
-    """The log weight below which held-out bad documents outweigh held-out good ones most, COST for a good one."""
-    held = keys.join(F.broadcast(chosen.filter("fit > 1")), F.col("doc_id") == F.col("_id")).select("log_weight", "fit")
-    found = held.limit(4 * SAMPLE).toPandas().sort_values("log_weight")  # labels are for single documents
-    good, bad = (found["fit"] == 2).to_numpy(), (found["fit"] == 3).to_numpy()
+def _limit(w: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The log weight below which bad documents outweigh good ones most, COST for a good one."""
     if not good.any() or not bad.any():
         return -LEAST
+    order = np.argsort(w, kind="stable")
+    w, good, bad = w[order], good[order], bad[order]
     gain = np.cumsum(bad) / bad.sum() - COST * np.cumsum(good) / good.sum()
-    w = found["log_weight"].to_numpy()
     last = np.append(w[1:] > w[:-1], True)  # equal weights pass or fail together
     at = int(np.argmax(np.where(last, gain, -np.inf)))
-    return min(-LEAST, w[at] + 1e-9) if gain[at] > 0 else -np.inf
+    return min(-LEAST, float(w[at]) + 1e-9) if gain[at] > 0 else NONE
+
+
+def limits_of(keys: DataFrame, chosen: DataFrame) -> tuple[float, dict[str, float]]:
+    """The limit of all held-out documents, and those of the languages that have ``OWN`` good and bad ones."""
+    held = keys.join(F.broadcast(chosen.filter("fit > 1")), F.col("doc_id") == F.col("_id")).select("lang", "log_weight", "fit")
+    found = held.limit(4 * SAMPLE).toPandas()  # labels are for single documents
+    w, good, bad = found["log_weight"].to_numpy(), (found["fit"] == 2).to_numpy(), (found["fit"] == 3).to_numpy()
+    own = {}
+    for lang, at in found.groupby("lang").indices.items():
+        if good[at].sum() >= OWN and bad[at].sum() >= OWN:
+            own[lang] = _limit(w[at], good[at], bad[at])
+    return _limit(w, good, bad), own
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, int]:
-    """``docs`` with _weight and _key, a written table of both by doc_id, and the least key that is drawn."""
+    """``docs`` with _weight and _key, a written table of both by doc_id, and the least key that is drawn.
+
+    A key is that of the document's weight over the limit of its language.
+    """
     spark = docs.sparkSession
     chosen = stage(sample_labels(labels, sample))
     model = spark.sparkContext.broadcast(ratios(docs, chosen))  # 4 MB
-    out = docs.withColumn("_s", _score(model)).select(*docs.columns, F.col("_s.log_weight").alias("_weight"), F.col("_s.key").alias("_key"))
-    keys = stage(out.select("doc_id", F.col("_weight").alias("log_weight"), F.col("_key").alias("key")))
-    k = keys.filter(F.col("log_weight") >= limit_of(keys, chosen)).count()
-    return out, keys, kth_largest(keys, k) if k else (1 << 63) - 1
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    out = docs.withColumn("_s", _score(model)).select(*docs.columns, lang.alias("_lang"), F.col("_s.log_weight").alias("_weight"), F.col("_s.key").alias("_key"))
+    keys = stage(out.select("doc_id", F.col("_lang").alias("lang"), F.col("_weight").alias("log_weight"), F.col("_key").alias("key")))
+    pooled, own = limits_of(keys, chosen)
+
+    def limit(column: str):
+        found = F.lit(pooled)
+        if own:
+            found = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in own.items() for x in pair]), F.col(column)), found)
+        return found
+
+    def over(key: str, column: str):
+        return F.col(key) - F.floor(limit(column) / TEMPERATURE * (1 << 20)).cast("long")
+
+    k = keys.filter(F.col("log_weight") >= limit("lang")).count()
+    keys = keys.withColumn("key", over("key", "lang"))
+    return out.withColumn("_key", over("_key", "_lang")), keys, kth_largest(keys, k) if k else (1 << 63) - 1
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, log_weight, kept of each row of ``docs`` (doc_id, text), given ``labels`` (doc_id, quality, toxic).
+    """doc_id, log_weight, kept of each row of ``docs`` (doc_id, text and, if known, lang), given ``labels`` (doc_id, quality, toxic).
 
     Null and empty texts have no n-grams: weight 1, so they are kept.  Rows
-    alike in doc_id and text get the same key and are kept or rejected
+    alike in doc_id, text and lang get the same key and are kept or rejected
     together, as are ties of the last key drawn.  Labels without doc_id or
     quality are ignored; of several for a document the worst counts.  Without
     any good label nothing differs and all rows are kept.  An empty table gives no rows.
     """
-    _, keys, least = scored(docs.select("doc_id", "text"), labels, sample)
+    _, keys, least = scored(docs.select("doc_id", "text", *(c for c in docs.columns if c == "lang")), labels, sample)
     return keys.select("doc_id", "log_weight", (F.col("key") >= least).alias("kept"))
 
 

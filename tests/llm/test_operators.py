@@ -302,6 +302,26 @@ def test_quality_on_held_out_labels(spark, empty):
     assert quality.keep_good(docs, lab).columns == ["doc_id", "text"]
 
 
+def test_quality_adds_up_weak_evidence(spark):
+    rng = random.Random(12)
+    rows, labels, bad = [], [], set()
+    for i in range(1600):
+        text, lang = words(rng, 40).split(), ("aa", "bb")[i % 4 == 0]
+        if i % 9 == 0:  # each of these words is in about 2 % of the documents
+            bad.add(i)
+            text[rng.randrange(40)] = f"vile{rng.randrange(5)}"
+            text[rng.randrange(40)] = f"vile{rng.randrange(5)}"
+        rows.append((i, " ".join(text), lang))
+        if i % 5 < 3:
+            labels.append((i, 1, int(i in bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for lang in ("aa", "bb"):
+        unseen = [i for i, _, own in rows if own == lang and i % 5 >= 3]
+        assert np.mean([not got[i]["kept"] for i in unseen if i in bad]) > 0.8
+        assert np.mean([not got[i]["kept"] for i in unseen if i not in bad]) < 0.03
+
+
 def test_kth_largest(spark):
     vals = [random.Random(2).randint(-(1 << 62), 1 << 62) for _ in range(300)] + [-5, -5, 0, 7]
     frame = spark.createDataFrame([(v,) for v in vals], "key long")
