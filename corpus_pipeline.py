@@ -27,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 400 bytes or more that occur elsewhere."""
-    return suffix_dedup.remove_repeats(docs)
+    """Cuts passages of 51 words or more, or of 400 bytes or more, that occur elsewhere."""
+    return suffix_dedup.remove_repeats(docs, words=51)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ digit on, and each drops suffixes that are alone in their group:
   goes to its group, where all windows are hashed by their offset and full
   content and sorted; runs of equal keys are the repeated windows.
 
+The symbols of a text are its bytes or, for a window in words, the hashes of its
+words.
+
 Anchors with more than ``GROUP_ROWS`` members are hot: their windows become
 rows that are counted by hash with map-side combining, so no task holds them.
 """
@@ -40,6 +43,23 @@ GROUP_ROWS = 16_384
 #: Longest piece of a text that is looked at at once; pieces overlap by a window.
 PIECE = 1 << 22
 _POS = U64((1 << 24) - 1)
+_WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word, a run without ASCII white space."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[np.frombuffer(data, np.uint8)]
+    edge = np.diff(inside)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def symbols(data: bytes, words: bool) -> np.ndarray:
+    """The bytes of a text, or hashes of its words."""
+    codes = np.frombuffer(data, np.uint8)
+    return spans(prefix(codes), *word_bounds(data)) if words else codes
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -53,12 +73,12 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def anchors(data: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash and position of each anchor, and the first and last window that it stands for."""
     gram = max(1, window // GRAM_SHARE)
     parts = []
     for base in range(0, max(1, len(data) - window + 1), PIECE):
-        codes = np.frombuffer(data[base : base + PIECE + window - 1], np.uint8)
+        codes = data[base : base + PIECE + window - 1]
         if len(codes) < window:
             continue
         pre = prefix(codes)
@@ -75,10 +95,10 @@ def anchors(data: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _anchor_rows(window: int):
+def _anchor_rows(window: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [anchors(t, window) for t in utf8(batch["text"])]
+            found = [anchors(symbols(t, words), window) for t in utf8(batch["text"])]
             n = [len(x[0]) for x in found]
             doc = np.repeat(np.arange(len(n)), n)
             cols = [np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(4)]
@@ -90,16 +110,17 @@ def _anchor_rows(window: int):
     return run
 
 
-def _contexts(window: int):
-    """For each surviving anchor of a text, the bytes that its windows cover."""
+def _contexts(window: int, words: bool):
+    """For each surviving anchor of a text, the symbols that its windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
             k1, k2, ids, pos, lo, part = [], [], [], [], [], []
             for a, b, text, rows in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), utf8(batch["text"]), batch["found"].to_pylist(), strict=True):
+                whole = symbols(text, words)
                 for r in rows:
                     k1.append(a), k2.append(b), ids.append(r["anchor"]), pos.append(r["pos"]), lo.append(r["lo"])
-                    part.append(text[r["lo"] : r["hi"] + window])
+                    part.append(whole[r["lo"] : r["hi"] + window].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(lo, pa.int32()), pa.array(part, pa.binary())],
                 ["k1", "k2", "anchor", "pos", "lo", "part"],
@@ -108,11 +129,12 @@ def _contexts(window: int):
     return run
 
 
-def _window_keys(anchor: np.ndarray, pos: np.ndarray, lo: np.ndarray, parts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _window_keys(anchor: np.ndarray, pos: np.ndarray, lo: np.ndarray, parts: list[bytes], window: int, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key of each window of each row (its anchor, its offset from it and its content), its row and its start."""
-    sizes = np.array([len(x) for x in parts], np.int64)
+    kind = np.dtype(U64 if words else np.uint8)
+    sizes = np.array([len(x) // kind.itemsize for x in parts], np.int64)
     n = sizes - window + 1
-    pre = prefix(np.frombuffer(b"".join(parts), np.uint8))
+    pre = prefix(np.frombuffer(b"".join(parts), kind))
     row = np.repeat(np.arange(len(n)), n)
     k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     start = np.repeat(np.cumsum(sizes) - sizes, n) + k
@@ -132,7 +154,7 @@ def _repeats(key: np.ndarray) -> np.ndarray:
 
 
 def _runs(row: np.ndarray, at: np.ndarray, hit: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows and byte ranges covered by the hit windows; neighbouring windows make one range."""
+    """Rows and ranges covered by the hit windows; neighbouring windows make one range."""
     row, at = row[hit], at[hit]
     new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
     last = np.append(new[1:], len(row)) - 1
@@ -154,12 +176,12 @@ def _read(batch: pa.RecordBatch) -> dict:
     return out | {"part": batch["part"].to_pylist()}
 
 
-def _sort_groups(window: int):
+def _sort_groups(window: int, words: bool):
     """Rows come ordered by anchor; as many whole groups as fit are sorted at once."""
 
     def solve(held: list[dict]) -> pa.RecordBatch:
         x = {c: np.concatenate([h[c] for h in held]) for c in ("k1", "k2", "anchor", "pos", "lo")}
-        key, row, at = _window_keys(x["anchor"], x["pos"], x["lo"], [p for h in held for p in h["part"]], window)
+        key, row, at = _window_keys(x["anchor"], x["pos"], x["lo"], [p for h in held for p in h["part"]], window, words)
         return _range_batch(x, *_runs(row, at, _repeats(key), window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +205,12 @@ def _sort_groups(window: int):
     return run
 
 
-def _explode_windows(window: int):
+def _explode_windows(window: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 x = _read(whole.slice(start, 256))
-                key, row, at = _window_keys(x["anchor"], x["pos"], x["lo"], x["part"], window)
+                key, row, at = _window_keys(x["anchor"], x["pos"], x["lo"], x["part"], window, words)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x["k1"][row]), pa.array(x["k2"][row]), pa.array(at.astype(np.int32)), pa.array(key.view(np.int64))],
                     ["k1", "k2", "at", "key"],
@@ -203,7 +225,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text, F.lit(1)).alias("k1"), F.xxhash64(text, "doc_id", F.lit(2)).alias("k2"))
 
 
-def _fold_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _fold_copies(rows: DataFrame, size) -> tuple[DataFrame, DataFrame]:
     """Of each text that makes up over a thousandth of the rows, one row for the search; and the copies' ranges.
 
     All windows of such a text repeat.  There are fewer than a thousand such
@@ -214,30 +236,36 @@ def _fold_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     slim = stage(slim.filter("n > 1"))
     large = F.broadcast(slim.filter(F.col("n") > rows.count() // 1000).select("t1", "t2", "first"))
     marked = rows.withColumns(hashes)
-    copies = marked.join(large, ["t1", "t2"]).select("k1", "k2", F.lit(0).alias("start"), F.octet_length("text").alias("stop"))
+    copies = marked.join(large, ["t1", "t2"]).select("k1", "k2", F.lit(0).alias("start"), size.alias("stop"))
     once = marked.join(large.withColumn("hot", F.lit(True)), ["t1", "t2"], "left").filter("hot is null or doc_id <=> first")
     return once.select(*rows.columns), copies
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Byte ranges [start, stop) of the texts that are covered by windows which occur elsewhere too; k1, k2: see ``keyed``.
+def _long_enough(rows: DataFrame, window: int, words: bool) -> DataFrame:
+    """Rows that may have a window; words need a byte and a blank each."""
+    return rows.filter(F.octet_length("text") >= (2 * window - 1 if words else window))
+
+
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, words: bool = False) -> DataFrame:
+    """Ranges [start, stop) of the bytes or words of the texts that are covered by windows which occur elsewhere too; k1, k2: see ``keyed``.
 
     A row for each run of neighbouring windows of an anchor; the ranges of a
     text may touch or overlap.  Texts shorter than the window have none.  Rows
     that are alike in doc_id and text repeat one another like any others.
     """
-    rows = keyed(docs).filter(F.octet_length("text") >= window)
-    rows, copies = _fold_copies(rows)
-    found = stage(rows.select("k1", "k2", "text").mapInArrow(_anchor_rows(window), "k1 long, k2 long, anchor long, pos int, lo int, hi int"))
+    size = F.size(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))) if words else F.octet_length("text")
+    rows, copies = _fold_copies(_long_enough(keyed(docs), window, words), size)
+    copies = copies.filter(F.col("stop") >= window)
+    found = stage(rows.select("k1", "k2", "text").mapInArrow(_anchor_rows(window, words), "k1 long, k2 long, anchor long, pos int, lo int, hi int"))
     sizes = stage(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
     kept = join_groups(found, sizes, ["anchor"], "n", found.count())
     by_text = kept.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "pos", "lo", "hi")).alias("found"))
-    contexts = stage(rows.join(by_text, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(_contexts(window), "k1 long, k2 long, anchor long, pos int, lo int, part binary"))
+    contexts = stage(rows.join(by_text, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(_contexts(window, words), "k1 long, k2 long, anchor long, pos int, lo int, part binary"))
     hot = sizes.filter(F.col("n") > GROUP_ROWS).select("anchor")  # fewer than rows / GROUP_ROWS
     hot = F.broadcast(hot) if hot.count() <= 10_000 else hot
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = contexts.join(hot, "anchor", "left_anti").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_sort_groups(window), _RANGES)
-    windows = contexts.join(hot, "anchor", "left_semi").mapInArrow(_explode_windows(window), "k1 long, k2 long, at int, key long")
+    cold = contexts.join(hot, "anchor", "left_anti").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_sort_groups(window, words), _RANGES)
+    windows = contexts.join(hot, "anchor", "left_semi").mapInArrow(_explode_windows(window, words), "k1 long, k2 long, at int, key long")
     cold = cold.unionByName(copies)
     if not hot.limit(1).count():
         return cold
@@ -252,7 +280,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         removed, spans_, rest = [], [], []
         for text, found in zip(utf8(batch["text"]), batch["ranges"].to_pylist(), strict=True):
             keep, gone, at = [], [], 0
-            for r in sorted((r["start"], r["stop"]) for r in found or ()):
+            first, end = word_bounds(text) if any(r["words"] for r in found or ()) else ((), ())
+            for r in sorted((int(first[r["start"]]), int(end[r["stop"] - 1])) if r["words"] else (r["start"], r["stop"]) for r in found or ()):
                 if gone and r[0] <= gone[-1][1]:
                     gone[-1][1] = max(gone[-1][1], r[1])
                 else:
@@ -270,21 +299,27 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def cut_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The texts that lose bytes, once each: k1, k2, n_removed, spans (maximal removed runs), rest (bytes left)."""
-    ranges = repeated_ranges(docs, window).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    texts = keyed(docs).filter(F.octet_length("text") >= window)
+def cut_texts(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
+    """The texts that lose bytes, once each: k1, k2, n_removed, spans (maximal removed runs), rest (bytes left).
+
+    words: passages of so many words that occur elsewhere go too, however few bytes they have.
+    """
+    ranges = repeated_ranges(docs, window).withColumn("words", F.lit(False))
+    if words:
+        ranges = ranges.unionByName(repeated_ranges(docs, words, True).withColumn("words", F.lit(True)))
+    ranges = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop", "words")).alias("ranges"))
+    texts = keyed(docs).filter(F.octet_length("text") >= min(window, 2 * words - 1 if words else window))
     found = texts.join(ranges, ["k1", "k2"])
     return found.select("k1", "k2", "text", "ranges").mapInArrow(_remove, "k1 long, k2 long, n_removed long, spans array<struct<start:long,stop:long>>, rest binary").dropDuplicates(["k1", "k2"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text``; all other columns stay, n_chars is counted anew.
 
     A character of which some byte was cut goes as a whole.  Null texts stay
     null; an empty table gives an empty one.
     """
-    cut = stage(cut_texts(docs, window).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "rest"))
+    cut = stage(cut_texts(docs, window, words).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "rest"))
     text = F.coalesce("text", F.lit(""))
     marked = docs.withColumns({"_k1": F.xxhash64("doc_id", text, F.lit(1)), "_k2": F.xxhash64(text, "doc_id", F.lit(2))})
     # invalid sequences become U+FFFD, which is then taken out; texts with one of their own keep it where nothing was cut

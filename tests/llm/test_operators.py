@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from larkspur.llm import bpe, exact_dedup, fingerprints, line_dedup, minhash_dedup, packing, quality, suffix_dedup, url_filter, warc
 from larkspur.llm.bytehash import shingle_set
 from larkspur.llm.queries import byte_bpe, word_bpe
@@ -267,6 +268,20 @@ def test_repeated_passages(docs, texts, window, group_rows, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("group_rows", [16_384, 1])
+def test_repeated_passages_in_words(spark, group_rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", group_rows)
+    rng = random.Random(9)
+    passage, short = words(rng, 51), words(rng, 50)
+    assert len(passage) < 400
+    own = [words(rng, 30) for _ in range(8)]
+    texts = [f"{own[0]} {passage} {own[1]}", f"{own[2]}\n{passage}\té {own[3]}", f"{own[4]} {short} {own[5]}", f"{own[6]} {short} {own[7]}", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(docs, words=51).collect()}
+    assert got == {i: t.replace(passage, "") if t else t for i, t in enumerate(texts)}
+    assert corpus_pipeline.repeated_passages(spark, docs, "").filter("doc_id = 0").first()["text"] == got[0]
+
+
 def test_removal_keeps_columns(docs, empty, texts):
     rows = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, 60).collect()}
     assert len(rows) == len(texts) and rows[0]["text"] is None and set(rows[0].asDict()) == {"doc_id", "text", "source", "n_chars", "extra"}
