@@ -83,10 +83,9 @@ def digit_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def caps_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.substring(F.coalesce("text", F.lit("")), 1, 80)
+    t = F.coalesce("text", F.lit(""))
     letters, upper = F.regexp_count(t, F.lit("[A-Za-z]")), F.regexp_count(t, F.lit("[A-Z]"))
-    loud = ((letters >= 10) & (upper / letters >= 0.6)) | (F.regexp_count(t, F.lit("!")) >= 2)
-    return table(spark, sf_dir, "documents").select("doc_id", letters.alias("n_letters"), upper.alias("n_upper"), loud.alias("shouts"))
+    return table(spark, sf_dir, "documents").select("doc_id", letters.alias("n_letters"), upper.alias("n_upper"), text.shouts(t).alias("shouts"))
 
 
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
