@@ -73,8 +73,8 @@ def html_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phone_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = F.regexp_extract(F.substring(F.coalesce("text", F.lit("")), 1, text.SCAN_CHARS), r"(?:^|[^0-9])(\+?\d{1,2}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4})(?:$|[^0-9])", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", hit.alias("phone")).filter("phone <> ''")
+    hit = text.first_match(F.col("text"), text.PHONE)
+    return table(spark, sf_dir, "documents").select("doc_id", hit.alias("phone")).filter("phone is not null")
 
 
 def digit_mask(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,3 +12,9 @@ def test_caps_ratio_reads_whole_texts(spark, tmp_path):
     at = documents(spark, tmp_path, ["a" * 80 + "B" * 300, "A" * 80 + "b" * 300, "x" * 90 + "!!", "ÄÖÜÄÖÜÄÖÜÄ", None])
     got = [tuple(r)[1:] for r in queries.caps_ratio(spark, at).orderBy("doc_id").collect()]
     assert got == [(380, 300, True), (380, 80, False), (90, 0, True), (0, 0, True), (0, 0, False)]
+
+
+def test_phone_probe_finds_numbers_without_country_code(spark, tmp_path):
+    at = documents(spark, tmp_path, ["call 555-123-4567 now", "+1 (555) 123-4567", "x5551234567y", "12345678901234", "", None])
+    got = {r["doc_id"]: r["phone"] for r in queries.phone_probe(spark, at).collect()}
+    assert got == {0: "555-123-4567", 1: "+1 (555) 123-4567", 2: "5551234567"}
