@@ -275,9 +275,22 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, words: bool = False)
     return cold.unionByName(hits.select("k1", "k2", F.col("at").alias("start"), (F.col("at") + window).alias("stop")))
 
 
+def _without(text: bytes, gone: list[list[int]]) -> bytes:
+    """The text without the ranges and without the characters that they cut in two."""
+    keep, at = [], 0
+    for a, b in gone:
+        while 0 < a < len(text) and text[a] & 0xC0 == 0x80:
+            a -= 1
+        keep.append(text[at : max(a, at)])
+        while b < len(text) and text[b] & 0xC0 == 0x80:
+            b += 1
+        at = b
+    return b"".join([*keep, text[at:]])
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        removed, spans_, rest = [], [], []
+        removed, spans_, rest, clean = [], [], [], []
         for text, found in zip(utf8(batch["text"]), batch["ranges"].to_pylist(), strict=True):
             keep, gone, at = [], [], 0
             first, end = word_bounds(text) if any(r["words"] for r in found or ()) else ((), ())
@@ -290,17 +303,18 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep.append(text[at:a])
                 at = b
             keep.append(text[at:])
+            clean.append(_without(text, gone))
             removed.append(sum(b - a for a, b in gone))
             spans_.append([{"start": a, "stop": b} for a, b in gone])
             rest.append(b"".join(keep))
         yield pa.RecordBatch.from_arrays(
-            [batch["k1"], batch["k2"], pa.array(removed, pa.int64()), pa.array(spans_, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(rest, pa.binary())],
-            ["k1", "k2", "n_removed", "spans", "rest"],
+            [batch["k1"], batch["k2"], pa.array(removed, pa.int64()), pa.array(spans_, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(rest, pa.binary()), pa.array(clean, pa.binary())],
+            ["k1", "k2", "n_removed", "spans", "rest", "clean"],
         )
 
 
 def cut_texts(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
-    """The texts that lose bytes, once each: k1, k2, n_removed, spans (maximal removed runs), rest (bytes left).
+    """The texts that lose bytes, once each: k1, k2, n_removed, spans (maximal removed runs), rest (bytes left), clean (those of whole characters).
 
     words: passages of so many words that occur elsewhere go too, however few bytes they have.
     """
@@ -310,7 +324,7 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, words: int | None = None) -
     ranges = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop", "words")).alias("ranges"))
     texts = keyed(docs).filter(F.octet_length("text") >= min(window, 2 * words - 1 if words else window))
     found = texts.join(ranges, ["k1", "k2"])
-    return found.select("k1", "k2", "text", "ranges").mapInArrow(_remove, "k1 long, k2 long, n_removed long, spans array<struct<start:long,stop:long>>, rest binary").dropDuplicates(["k1", "k2"])
+    return found.select("k1", "k2", "text", "ranges").mapInArrow(_remove, "k1 long, k2 long, n_removed long, spans array<struct<start:long,stop:long>>, rest binary, clean binary").dropDuplicates(["k1", "k2"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
@@ -319,12 +333,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, words: int | None = No
     A character of which some byte was cut goes as a whole.  Null texts stay
     null; an empty table gives an empty one.
     """
-    cut = stage(cut_texts(docs, window, words).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "rest"))
+    cut = stage(cut_texts(docs, window, words).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "clean"))
     text = F.coalesce("text", F.lit(""))
     marked = docs.withColumns({"_k1": F.xxhash64("doc_id", text, F.lit(1)), "_k2": F.xxhash64(text, "doc_id", F.lit(2))})
-    # invalid sequences become U+FFFD, which is then taken out; texts with one of their own keep it where nothing was cut
-    clean = F.replace(F.make_valid_utf8(F.col("rest").cast("string")), F.lit("�"), F.lit(""))
-    out = marked.join(cut, ["_k1", "_k2"], "left").withColumn("text", F.when(F.col("rest").isNotNull(), clean).otherwise(F.col("text")))
+    out = marked.join(cut, ["_k1", "_k2"], "left").withColumn("text", F.when(F.col("clean").isNotNull(), F.col("clean").cast("string")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

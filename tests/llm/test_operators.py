@@ -290,6 +290,15 @@ def test_removal_keeps_columns(docs, empty, texts):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_removal_keeps_replacement_characters(spark):
+    rng = random.Random(10)
+    passage = words(rng, 40)
+    texts = [f"own \ufffd one é{passage}è tail \ufffd", f"other ê{passage}ë end"]
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 60).collect()}
+    assert got == {i: cut(texts, 60)[i][2].decode("utf-8", "ignore") for i in (0, 1)}
+    assert got[0].count("\ufffd") == 2
+
+
 def test_lines(spark, empty):
     rows = [(i, f"own {i}\nshared\n\nrare" if i % 2 else f"own {i}\nshared", f"s{i}") for i in range(8)] + [(50, "rare\nrare", "s1"), (51, None, "s2"), (52, "shared", None), (53, "", "s3")]
     got = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), sites=5).collect()}
