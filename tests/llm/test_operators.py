@@ -346,6 +346,13 @@ def test_quality_adds_up_weak_evidence(spark):
         assert np.mean([not got[i]["kept"] for i in unseen if i not in bad]) < 0.03
 
 
+def test_quality_ratios_have_both_signs(spark):
+    docs = spark.createDataFrame([(i, "fine words" if i % 2 else "vile things") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    weight = {r["doc_id"]: r["log_weight"] for r in quality.judge(docs, labels).collect()}
+    assert weight[399] > 0 > weight[398]
+
+
 def test_kth_largest(spark):
     vals = [random.Random(2).randint(-(1 << 62), 1 << 62) for _ in range(300)] + [-5, -5, 0, 7]
     frame = spark.createDataFrame([(v,) for v in vals], "key long")
