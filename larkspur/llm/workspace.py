@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -33,13 +34,49 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "8m")
 
 
+class Scratch:
+    """The tables that an operator writes on its way; leaving it deletes all that were not kept.
+
+    A result must be kept, or stand on kept tables only.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        """``df`` written to the shared folder as Parquet, and read back."""
+        bound_batches(self.spark)
+        path = f"{shared_dir(self.spark)}/larkspur/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, staged here, which outlives this scratch."""
+        self._paths.pop(id(df), None)
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables staged here that nothing reads any more."""
+        jvm = self.spark._jvm
+        for df in tables:
+            if (found := self._paths.pop(id(df), None)) is not None:
+                path = jvm.org.apache.hadoop.fs.Path(found[1])
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.drop(*(df for df, _ in list(self._paths.values())))
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet, and read back."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    path = f"{shared_dir(spark)}/larkspur/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder as Parquet, and read back; its owner is whoever holds the result."""
+    scratch = Scratch(df.sparkSession)
+    return scratch.keep(scratch.stage(df))
 
 
 def broadcast_if(df: DataFrame, rows: int):
@@ -47,3 +84,16 @@ def broadcast_if(df: DataFrame, rows: int):
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, or what it becomes with underscores before it, unlike all ``taken`` names in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def own(df: DataFrame, name: str) -> Column:
+    """A column of ``df`` by its name as it is, dots and backticks included."""
+    return df["`" + name.replace("`", "``") + "`"]
