@@ -22,9 +22,12 @@ A node is solved in two steps, neither of which returns pairs:
 
 The first trees unite nearly everything; in the others a node whose documents
 all lie in one component is dropped before its sketches are moved.  Before a
-large node is branched it is dealt at random into cells of ``LEAF`` documents,
-twice, and solved by cell, so that a group of any size of like documents
-becomes one component by linear work.  Equal sets are folded before all this.
+large node is branched it is dealt at random into cells of ``LEAF`` documents
+and solved by cell, so that a group of any size of like documents becomes one
+component by linear work.  If then at most half a leaf of its documents lie
+outside its largest component, they go to each of that component's cells, which
+compares all pairs that are left; only other large nodes are branched.  Equal
+sets are folded before all this.
 """
 
 from __future__ import annotations
@@ -185,14 +188,15 @@ def _resembling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[stays]) for x in (node, cell, rep, comp)], ["node", "cell", "rep", "comp"])
 
 
-def unite(rep: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between members of different components that unite all which similar sets connect."""
+def unite(comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Which components similar sets connect: each that is united with a lesser one, and the least of them."""
     kinds, root = np.unique(comp, return_inverse=True)
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     tokens, flat = np.unique(flat, return_inverse=True)
     ends = np.cumsum(sizes)
-    mark, out = np.zeros(len(tokens), bool), []
+    mark, least = np.zeros(len(tokens), bool), np.arange(len(kinds))
+    of = root.copy()
     for i in range(len(sets)):
         other = np.flatnonzero((root != root[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
         if not len(other):
@@ -205,20 +209,21 @@ def unite(rep: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: in
         mark[own] = False
         for j in other[100 * common >= percent * (n + sizes[i] - common)]:
             if root[j] != root[i]:
-                out.append((int(rep[i]), int(rep[j])))
-                root[root == root[j]] = root[i]
-    return out
+                a, b = sorted((root[i], root[j]))
+                root[root == b] = a
+    least[of] = root
+    return [(int(kinds[k]), int(kinds[r])) for k, r in enumerate(least) if k != r]
 
 
 def _uniting(percent: int):
     """Step 2: compares the full sets of a cell's members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, cell, rep, comp, data in _by_cell(batches, "set", 64):
+        for node, cell, _, comp, data in _by_cell(batches, "set", 64):
             bounds, links = _edges_of(node, cell), []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1:
-                    links += unite(rep[a:b], comp[a:b], [np.frombuffer(x, U64) for x in data[a:b]], percent)
+                    links += unite(comp[a:b], [np.frombuffer(x, U64) for x in data[a:b]], percent)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -248,13 +253,14 @@ class _Join:
         keys = ["node", "cell"]
         sketched = cells.join(self.reps.select("rep", "small"), "rep").select(*keys, "rep", "comp", "small")
         kept = self.scratch.stage(sketched.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_resembling, "node long, cell long, rep long, comp long"))
-        ids = self.scratch.stage(kept.select(F.col("rep").alias("doc_id")).distinct())
-        sets = self.source.join(broadcast_if(ids, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(_sets(self.shingle), "rep long, set binary")
+        ids = kept.select(F.col("rep").alias("doc_id")).distinct()
+        ids = F.broadcast(ids) if kept.count() <= BROADCAST_ROWS else ids
+        sets = self.source.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.shingle), "rep long, set binary")
         full = kept.join(sets.filter(F.octet_length("set") > 0), "rep").select(*keys, "rep", "comp", "set")
         found = self.scratch.stage(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_uniting(self.percent), "a long, b long"))
         if found.limit(1).count():
             self.add(found)
-        self.scratch.drop(kept, ids, found)
+        self.scratch.drop(kept, found)
 
     def add(self, links: DataFrame) -> None:
         before = self.comps
@@ -264,15 +270,14 @@ class _Join:
         if before is not None:
             self.scratch.drop(before)
 
-    def dealt(self, members: DataFrame, salt: int) -> DataFrame:
+    def dealt(self, members: DataFrame) -> DataFrame:
         """Members by cell: a small node is one, a large one is dealt at random."""
-        return self.mixed(members).withColumn("cell", F.pmod(F.xxhash64("rep", F.lit(salt)), F.col("cells")))
+        return self.mixed(members).withColumn("cell", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cells")))
 
     def blocks(self, members: DataFrame) -> DataFrame:
         """Each pair of a large node's cells of half the size together as a cell."""
-        dealt = self.mixed(members).withColumn("count", 2 * F.col("cells")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("count")))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))
-        both = dealt.withColumn("other", other)
+        dealt = members.withColumn("count", 2 * F.col("cells")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("count")))
+        both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
         return both.withColumn("cell", F.least("block", "other") * F.col("count") + F.greatest("block", "other"))
 
     def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
@@ -283,19 +288,34 @@ class _Join:
         for early in (True, False):
             part = members.filter(F.col("early") == early)
             if part.limit(1).count():
-                self.solve(self.dealt(part, 1))
+                self.solve(self.dealt(part))
         self.scratch.drop(sizes)
         large = members.filter("cells > 1")
         if not large.limit(1).count():
             return None
-        self.solve(self.dealt(large, 2))
         left = self.mixed(large)
         if not left.limit(1).count():
             return None
         if last:
-            self.solve(self.blocks(large))
+            self.solve(self.blocks(left))
             return None
-        return left
+        parts = left.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("w").alias("t"))
+        most = F.struct("c", "comp")
+        few = (F.sum("c") - F.max("c") <= LEAF // 2) & (F.sum("t") - F.max_by("t", most) <= TOKENS // 2)
+        tops = self.scratch.stage(parts.groupBy("node").agg(F.max_by("comp", most).alias("top"), few.alias("few"), F.sum("c").alias("n")))
+        marked = self.scratch.stage(join_groups(left.drop("n"), tops, ["node"], "n", self.total))
+        self.scratch.drop(left, tops)
+        self.finish(marked.filter("few"))
+        left = marked.filter("not few")
+        return left if left.limit(1).count() else None
+
+    def finish(self, members: DataFrame) -> None:
+        """Compares all other members of a node with all of its largest component (top), which is dealt into cells."""
+        if members.limit(1).count():
+            count = 2 * F.col("cells")
+            top = members.filter("comp = top").withColumn("cell", F.pmod(F.xxhash64("rep", F.lit(2)), count))
+            rest = members.filter("comp <> top").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+            self.solve(top.unionByName(rest))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
