@@ -68,14 +68,13 @@ def op9_golomb_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_radix_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    cut = suffix_dedup.cut_texts(docs)
-    cut = cut.select("k1", "k2", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("rest", 256).alias("sha"))
-    rows = suffix_dedup.keyed(docs).select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    zero = F.lit(0).cast("long")
-    return rows.join(cut, ["k1", "k2"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256")
-    )
+    rows = suffix_dedup.cut(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return rows.select(
+        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.coalesce("cut.n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut.spans")).cast("long").alias("n_spans"), F.sha2(F.coalesce("cut.rest", text.cast("binary")), 256).alias("kept_sha256"),
+        F.coalesce(F.col("cut.clean").cast("string"), text).alias("text"),
+    )
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

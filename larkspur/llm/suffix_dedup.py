@@ -27,19 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm.arrow import slices, utf8
 from larkspur.llm.bytehash import U64, mix, prefix, spans
 from larkspur.llm.skew import join_groups
-from larkspur.llm.workspace import stage
+from larkspur.llm.workspace import Scratch, fresh, own
 
 WINDOW = 400
 #: Bytes of an anchor's k-gram, as a share of the window.
 GRAM_SHARE = 4
 #: Most members of an anchor's group that one task takes.
 GROUP_ROWS = 16_384
+#: Most texts whose keys are broadcast to pick them from all others (16 bytes each).
+BROADCAST_ROWS = 500_000
 #: Longest piece of a text that is looked at at once; pieces overlap by a window.
 PIECE = 1 << 22
 _POS = U64((1 << 24) - 1)
@@ -219,13 +222,19 @@ def _explode_windows(window: int, words: bool):
     return run
 
 
+def keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes that stand for a row of ``docs``; rows alike in doc_id and text share them."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    return F.xxhash64(docs["doc_id"], text, F.lit(1)), F.xxhash64(text, docs["doc_id"], F.lit(2))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and two hashes that stand for a row; rows alike in both columns share them."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text, F.lit(1)).alias("k1"), F.xxhash64(text, "doc_id", F.lit(2)).alias("k2"))
+    """doc_id, text (null: empty) and the ``keys`` k1 and k2."""
+    k1, k2 = keys(docs)
+    return docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
 
 
-def _fold_copies(rows: DataFrame, size) -> tuple[DataFrame, DataFrame]:
+def _fold_copies(rows: DataFrame, size: Column, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Of each text that makes up over a thousandth of the rows, one row for the search; and the copies' ranges.
 
     All windows of such a text repeat.  There are fewer than a thousand such
@@ -233,7 +242,7 @@ def _fold_copies(rows: DataFrame, size) -> tuple[DataFrame, DataFrame]:
     """
     hashes = {"t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(3))}
     slim = rows.select("doc_id", *[v.alias(k) for k, v in hashes.items()]).groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    slim = stage(slim.filter("n > 1"))
+    slim = scratch.stage(slim.filter("n > 1"))
     large = F.broadcast(slim.filter(F.col("n") > rows.count() // 1000).select("t1", "t2", "first"))
     marked = rows.withColumns(hashes)
     copies = marked.join(large, ["t1", "t2"]).select("k1", "k2", F.lit(0).alias("start"), size.alias("stop"))
@@ -241,26 +250,42 @@ def _fold_copies(rows: DataFrame, size) -> tuple[DataFrame, DataFrame]:
     return once.select(*rows.columns), copies
 
 
+def _pick(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows whose (k1, k2) are in ``chosen`` (staged, distinct): before a shuffle, where their number allows a broadcast."""
+    return rows.join(F.broadcast(chosen.select("k1", "k2")), ["k1", "k2"], "left_semi") if chosen.count() <= BROADCAST_ROWS else rows
+
+
 def _long_enough(rows: DataFrame, window: int, words: bool) -> DataFrame:
     """Rows that may have a window; words need a byte and a blank each."""
     return rows.filter(F.octet_length("text") >= (2 * window - 1 if words else window))
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, words: bool = False) -> DataFrame:
-    """Ranges [start, stop) of the bytes or words of the texts that are covered by windows which occur elsewhere too; k1, k2: see ``keyed``.
+def _join_hits(hits: DataFrame, window: int) -> DataFrame:
+    """Ranges of a hot group's hit windows, those that touch made one, so that a text gets a row for each range and not for each byte."""
+    by = Window.partitionBy("k1", "k2").orderBy("at")
+    marked = hits.withColumn("new", (F.col("at") > F.lag("at", 1, -window - 1).over(by) + window).cast("int")).withColumn("run", F.sum("new").over(by))
+    return marked.groupBy("k1", "k2", "run").agg(F.min("at").alias("start"), (F.max("at") + window).alias("stop")).drop("run")
+
+
+def repeated_ranges(docs: DataFrame, window: int, words: bool, scratch: Scratch) -> DataFrame:
+    """Ranges [start, stop) of the bytes or words of the texts that are covered by windows which occur elsewhere too; k1, k2: see ``keys``.
 
     A row for each run of neighbouring windows of an anchor; the ranges of a
     text may touch or overlap.  Texts shorter than the window have none.  Rows
     that are alike in doc_id and text repeat one another like any others.
+    The result stands on tables of ``scratch``.
     """
     size = F.size(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))) if words else F.octet_length("text")
-    rows, copies = _fold_copies(_long_enough(keyed(docs), window, words), size)
+    rows, copies = _fold_copies(_long_enough(keyed(docs), window, words), size, scratch)
     copies = copies.filter(F.col("stop") >= window)
-    found = stage(rows.select("k1", "k2", "text").mapInArrow(_anchor_rows(window, words), "k1 long, k2 long, anchor long, pos int, lo int, hi int"))
-    sizes = stage(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
+    found = scratch.stage(rows.select("k1", "k2", "text").mapInArrow(_anchor_rows(window, words), "k1 long, k2 long, anchor long, pos int, lo int, hi int"))
+    sizes = scratch.stage(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
     kept = join_groups(found, sizes, ["anchor"], "n", found.count())
-    by_text = kept.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "pos", "lo", "hi")).alias("found"))
-    contexts = stage(rows.join(by_text, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(_contexts(window, words), "k1 long, k2 long, anchor long, pos int, lo int, part binary"))
+    by_text = scratch.stage(kept.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "pos", "lo", "hi")).alias("found")))
+    scratch.drop(found)
+    few = _pick(rows.select("k1", "k2", "text"), by_text)
+    contexts = scratch.stage(few.join(by_text, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(_contexts(window, words), "k1 long, k2 long, anchor long, pos int, lo int, part binary"))
+    scratch.drop(by_text)
     hot = sizes.filter(F.col("n") > GROUP_ROWS).select("anchor")  # fewer than rows / GROUP_ROWS
     hot = F.broadcast(hot) if hot.count() <= 10_000 else hot
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -269,10 +294,10 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, words: bool = False)
     cold = cold.unionByName(copies)
     if not hot.limit(1).count():
         return cold
-    windows = stage(windows)
-    counts = stage(windows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    windows = scratch.stage(windows)
+    counts = scratch.stage(windows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     hits = join_groups(windows, counts, ["key"], "n", windows.count())
-    return cold.unionByName(hits.select("k1", "k2", F.col("at").alias("start"), (F.col("at") + window).alias("stop")))
+    return cold.unionByName(_join_hits(hits.select("k1", "k2", "at"), window))
 
 
 def _without(text: bytes, gone: list[list[int]]) -> bytes:
@@ -288,55 +313,75 @@ def _without(text: bytes, gone: list[list[int]]) -> bytes:
     return b"".join([*keep, text[at:]])
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        removed, spans_, rest, clean = [], [], [], []
-        for text, found in zip(utf8(batch["text"]), batch["ranges"].to_pylist(), strict=True):
-            keep, gone, at = [], [], 0
-            first, end = word_bounds(text) if any(r["words"] for r in found or ()) else ((), ())
-            for r in sorted((int(first[r["start"]]), int(end[r["stop"] - 1])) if r["words"] else (r["start"], r["stop"]) for r in found or ()):
-                if gone and r[0] <= gone[-1][1]:
-                    gone[-1][1] = max(gone[-1][1], r[1])
-                else:
-                    gone.append(list(r))
-            for a, b in gone:
-                keep.append(text[at:a])
-                at = b
-            keep.append(text[at:])
-            clean.append(_without(text, gone))
-            removed.append(sum(b - a for a, b in gone))
-            spans_.append([{"start": a, "stop": b} for a, b in gone])
-            rest.append(b"".join(keep))
-        yield pa.RecordBatch.from_arrays(
-            [batch["k1"], batch["k2"], pa.array(removed, pa.int64()), pa.array(spans_, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(rest, pa.binary()), pa.array(clean, pa.binary())],
-            ["k1", "k2", "n_removed", "spans", "rest", "clean"],
-        )
-
-
-def cut_texts(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
-    """The texts that lose bytes, once each: k1, k2, n_removed, spans (maximal removed runs), rest (bytes left), clean (those of whole characters).
-
-    words: passages of so many words that occur elsewhere go too, however few bytes they have.
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+_CUT = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("rest", T.BinaryType()), T.StructField("clean", T.BinaryType())])
+
+
+@F.arrow_udf(_CUT)
+def _cut(text: pa.Array, ranges: pa.Array) -> pa.Array:
+    """What is left of each text without its ranges."""
+    removed, spans_, rest, clean = [], [], [], []
+    for data, found in zip(utf8(text), ranges.to_pylist(), strict=True):
+        keep, gone, at = [], [], 0
+        first, end = word_bounds(data) if any(r["words"] for r in found) else ((), ())
+        for r in sorted((int(first[r["start"]]), int(end[r["stop"] - 1])) if r["words"] else (r["start"], r["stop"]) for r in found):
+            if gone and r[0] <= gone[-1][1]:
+                gone[-1][1] = max(gone[-1][1], r[1])
+            else:
+                gone.append(list(r))
+        for a, b in gone:
+            keep.append(data[at:a])
+            at = b
+        keep.append(data[at:])
+        clean.append(_without(data, gone))
+        removed.append(sum(b - a for a, b in gone))
+        spans_.append([{"start": a, "stop": b} for a, b in gone])
+        rest.append(b"".join(keep))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(spans_, span), pa.array(rest, pa.binary()), pa.array(clean, pa.binary())], ["n_removed", "spans", "rest", "clean"])
+
+
+def cut(docs: DataFrame, window: int | None = WINDOW, words: int | None = None, name: str = "cut") -> DataFrame:
+    """``docs`` (doc_id, text and others) with a struct ``name``, null where a text stays whole: n_removed, spans (maximal removed runs), rest (bytes left), clean (those of whole characters).
+
+    Bytes go that are covered by a string of ``window`` bytes which occurs
+    elsewhere, and words that are covered by a passage of ``words`` words which
+    does; None: no such search.  Only the texts that lose something are shuffled.
+    Windows are compared by hashes of 64 bits that cover all their content.
     """
-    ranges = repeated_ranges(docs, window).withColumn("words", F.lit(False))
-    if words:
-        ranges = ranges.unionByName(repeated_ranges(docs, words, True).withColumn("words", F.lit(True)))
-    ranges = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop", "words")).alias("ranges"))
-    texts = keyed(docs).filter(F.octet_length("text") >= min(window, 2 * words - 1 if words else window))
-    found = texts.join(ranges, ["k1", "k2"])
-    return found.select("k1", "k2", "text", "ranges").mapInArrow(_remove, "k1 long, k2 long, n_removed long, spans array<struct<start:long,stop:long>>, rest binary, clean binary").dropDuplicates(["k1", "k2"])
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
+    with Scratch(docs.sparkSession) as scratch:
+        found = [repeated_ranges(docs, n, kind, scratch).withColumn("words", F.lit(kind)) for n, kind in ((window, False), (words, True)) if n]
+        ranges = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        ranges = scratch.keep(scratch.stage(ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop", "words")).alias("ranges"))))
+    a, b, r = (fresh(c, [*docs.columns, name]) for c in ("k1", "k2", "ranges"))
+    ranges = ranges.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("ranges").alias(r))
+    k1, k2 = keys(docs)
+    marked = docs.select("*", k1.alias(a), k2.alias(b))
+    out = [own(marked, c) for c in docs.columns]
+    if ranges.count() > BROADCAST_ROWS:
+        return marked.join(ranges, [a, b], "left").select(*out, F.when(F.col(r).isNotNull(), _cut(marked["text"], F.coalesce(r, F.array().cast(ranges.schema[r].dataType)))).alias(name))
+    ids = F.broadcast(ranges.select(a, b))
+    lost = marked.join(ids, [a, b], "left_semi").join(ranges, [a, b]).select(*out, _cut(marked["text"], F.col(r)).alias(name))
+    return lost.unionByName(marked.join(ids, [a, b], "left_anti").select(*out, F.lit(None).cast(_CUT).alias(name)))
+
+
+def cut_texts(docs: DataFrame, window: int | None = WINDOW, words: int | None = None) -> DataFrame:
+    """The texts that lose bytes, once each: the ``keys`` k1 and k2, and the fields of ``cut``."""
+    out = cut(docs.select("doc_id", "text"), window, words).filter("cut is not null")
+    k1, k2 = keys(out)
+    return out.select(k1.alias("k1"), k2.alias("k2"), "cut.*").dropDuplicates(["k1", "k2"])
+
+
+def remove_repeats(docs: DataFrame, window: int | None = WINDOW, words: int | None = None) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text``; all other columns stay, n_chars is counted anew.
 
     A character of which some byte was cut goes as a whole.  Null texts stay
     null; an empty table gives an empty one.
     """
-    cut = stage(cut_texts(docs, window, words).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "clean"))
-    text = F.coalesce("text", F.lit(""))
-    marked = docs.withColumns({"_k1": F.xxhash64("doc_id", text, F.lit(1)), "_k2": F.xxhash64(text, "doc_id", F.lit(2))})
-    out = marked.join(cut, ["_k1", "_k2"], "left").withColumn("text", F.when(F.col("clean").isNotNull(), F.col("clean").cast("string")).otherwise(F.col("text")))
+    name = fresh("cut", docs.columns)
+    out = cut(docs, window, words, name)
+    text = F.coalesce(F.col(f"{name}.clean").cast("string"), out["text"])
+    new = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*(new.get(c, own(out, c)) for c in docs.columns))
