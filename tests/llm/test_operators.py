@@ -187,9 +187,24 @@ def test_warc(spark, tmp_path):
 
     data = b"".join(gzip.open(f).read() for f in (tmp_path / "files").glob("*.gz"))
     assert data.count(b"WARC/1.1\r\n") == 6 and data.count(b"same\r\n\r\n") == 1
+    assert rows[(3, 4)]["url"] == "http://a/\r\nX: y" and data.count(b"WARC-Date: ") == 6 and data.count(b"WARC-Profile: ") == data.count(b"WARC-Type: revisit") == 2
+    back = sorted((bytes(r["header"]), bytes(r["payload"])) for r in warc.load(spark, str(tmp_path / "files")).collect())
+    whole = sorted((bytes(r["header"]), bytes(r["payload"])) for r in warc.records(spark, at).collect())
+    size = lambda head: re.sub(rb"Content-Length: \d+", b"", head)
+    assert [(size(h), p if b"revisit" not in h else b"") for h, p in whole] == [(size(h), p) for h, p in back]
     assert warc.read(spark, warc.write(pages.limit(0), str(tmp_path / "y"))).count() == 0
 
 
+def test_warc_of_repeated_rows(spark, tmp_path):
+    rows = [(1, "u", "x"), (1, "u", "x"), (1, "v", "x"), (2, "u", "x"), (None, None, "y"), (None, None, "y"), (None, "q", None)]
+    pages = spark.createDataFrame([(*r, "z", 5) for r in rows], "page_id long, url string, html string, sha256 string, kind int")
+    got = [(r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in warc.read(spark, warc.write(pages, str(tmp_path / "r"))).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [
+        (1, "u", "response", None), (1, "u", "revisit", 1), (1, "v", "revisit", 1), (2, "u", "revisit", 1),
+        (None, None, "response", None), (None, None, "revisit", None), (None, "q", "response", None),
+    ]))
+
+
 def components_of(texts, k, percent):
     sets = [shingle_set((t or "").encode(), k) for t in texts]
     real = []
