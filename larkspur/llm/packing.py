@@ -4,7 +4,7 @@
 2. All patterns of up to three lengths that fill a sequence exactly are
    enumerated, and repeat counts fitted to the histogram by non-negative least
    squares (multiplicative updates, which keep every count non-negative).
-3. Counts are rounded, largest first, as far as pieces remain.
+3. Counts are rounded, remainders carried from pattern to pattern, and packed as far as pieces remain.
 4. Residual lengths are packed best-fit, longest first, on the histogram.
 
 The plan says for each range of ranks within a length which sequence and
@@ -32,15 +32,37 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary"
 _encoders: dict = {}
 
 
-def encoder(vocabulary: str, pattern: str, specials: tuple[tuple[str, int], ...]):
-    """A byte-level BPE encoder over a rank file; one for each worker."""
-    if vocabulary not in _encoders:
+def encoder(vocabulary: str, pattern: str, specials: tuple[tuple[str, int], ...], library: str | None):
+    """Texts to ids by a byte-level BPE over a rank file; one for each worker.
+
+    A text that it cannot split (a run of a million blanks exhausts the
+    pattern's stack) is encoded by the tokenizers library from its own file.
+    """
+    key = (vocabulary, library)
+    if key not in _encoders:
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[vocabulary] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(specials))
-    return _encoders[vocabulary]
+        fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(specials))
+        slow: list = []
+
+        def encode(text: str) -> list[int]:
+            try:
+                return fast.encode(text, allowed_special="all", disallowed_special=())
+            except ValueError:
+                if library is None:
+                    raise
+            if not slow:
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(library))
+                slow[0].no_truncation()
+                slow[0].no_padding()
+            return slow[0].encode(text, add_special_tokens=False).ids
+
+        _encoders[key] = encode
+    return _encoders[key]
 
 
 def cut_lengths(n: int, size: int) -> list[int]:
@@ -49,15 +71,15 @@ def cut_lengths(n: int, size: int) -> list[int]:
     return [head] * (head > 0) + [size] * (n // size)
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, specials: tuple[tuple[str, int], ...] = (), size: int = SIZE, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, pattern: str, specials: tuple[tuple[str, int], ...] = (), library: str | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """Token ids (little-endian 32 bits) of each document's pieces, ``end_id`` appended; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary, pattern, specials), np.array([end_id], "<u4")
+        encode, end = encoder(vocabulary, pattern, specials, library), np.array([end_id], "<u4")
         for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch["doc_id"].to_pylist(), texts(batch["text"]), strict=True):
-                ids = np.concatenate([np.array(enc.encode(text, allowed_special="all", disallowed_special=()), "<u4"), end])
+                ids = np.concatenate([np.array(encode(text), "<u4"), end])
                 at = 0
                 for k, n in enumerate(cut_lengths(len(ids), size)):
                     for column, value in zip(out, (doc_id, k, at, n, ids[at : at + n].tobytes()), strict=True):
@@ -107,6 +129,11 @@ def fit_counts(hist: np.ndarray, found: np.ndarray, rounds: int = ROUNDS) -> np.
     return x
 
 
+def round_counts(x: np.ndarray) -> np.ndarray:
+    """Whole counts; what rounding leaves of a pattern is carried to the next one, which has like lengths, so the sum stays."""
+    return np.diff(np.floor(np.cumsum(x) + 0.5), prepend=0.0).astype(np.int64)
+
+
 def plan(hist: np.ndarray) -> tuple[np.ndarray, int]:
     """Rows (length, first rank, last rank + 1, first sequence, offset, pieces of this length per sequence); number of sequences."""
     size = len(hist) - 1
@@ -122,11 +149,10 @@ def plan(hist: np.ndarray) -> tuple[np.ndarray, int]:
     present = np.flatnonzero(left)
     found = patterns(present, size) if len(present) else np.zeros((0, 3), np.int64)
     x = fit_counts(hist, found) if len(found) else np.zeros(0)
-    for i in np.argsort(-x, kind="stable"):
-        if x[i] < 0.5:
-            break
+    whole = round_counts(x)
+    for i in np.flatnonzero(whole):
         kinds, need = np.unique(found[i][found[i] > 0], return_counts=True)
-        count = min(int(x[i] + 0.5), *(left[k] // m for k, m in zip(kinds, need, strict=True)))
+        count = min(int(whole[i]), *(left[k] // m for k, m in zip(kinds, need, strict=True)))
         if count > 0:
             offset = 0
             for k, m in zip(kinds, need, strict=True):
@@ -203,12 +229,12 @@ def sequences(cut: DataFrame, placed: DataFrame) -> DataFrame:
     return both.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.col("p.doc_id").alias("doc_ids"), F.unhex(F.array_join("p.ids", "")).alias("ids"))
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, specials: tuple[tuple[str, int], ...] = (), size: int = SIZE, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, pattern: str, specials: tuple[tuple[str, int], ...] = (), library: str | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts give one piece of ``end_id`` alone.  Null and
     repeated doc_ids are packed like any others, row by row.  An empty table
     gives no rows.
     """
-    cut = pieces(docs, vocabulary, pattern, specials, size, end_id)
+    cut = pieces(docs, vocabulary, pattern, specials, library, size, end_id)
     return layout(stage(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))), size)

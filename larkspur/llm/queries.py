@@ -20,7 +20,7 @@ def byte_bpe() -> dict:
     """Where the byte-level vocabulary lies, and how its texts are split."""
     import public_tokenizers
 
-    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "specials": (("<|endoftext|>", 50256),)}
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "specials": (("<|endoftext|>", 50256),), "library": public_tokenizers.path("byte_bpe_50k.json")}
 
 
 def word_bpe() -> str:

@@ -81,6 +81,32 @@ def test_packing(docs, empty, texts):
     assert packing.pack(empty, **byte_bpe()).count() == 0
 
 
+def test_packing_of_very_long_runs(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = [" " * 1_000_000, "\n" * 1_000_000 + "x", "a" * 300_000, "x " + "\t" * 900_000 + "é"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "n"), (None, "n"), (7, "r"), (7, None)], "doc_id long, text string")
+    rows = packing.pack(docs, **byte_bpe()).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([*lib.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        own = [r for r in rows if r["doc_id"] == i]
+        assert sum(r["length"] for r in own) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
+    assert sum(r["doc_id"] is None for r in rows) == 2 and sum(r["doc_id"] == 7 for r in rows) == 2
+
+
+def test_most_pieces_are_packed_by_patterns():
+    rng = np.random.default_rng(9)
+    hist = np.bincount(rng.integers(1, 1025, 20_000), minlength=1025)
+    found = packing.patterns(np.flatnonzero(hist), 1024)
+    whole = packing.round_counts(packing.fit_counts(hist, found))
+    used = sum(np.bincount(found[:, j], weights=whole, minlength=1025) for j in range(3))
+    used[0] = 0
+    assert np.minimum(used, hist).sum() > 0.8 * hist.sum()
+
+
 def test_packed_sequences_hold_the_ids(docs):
     cut = packing.pieces(docs, **byte_bpe())
     placed = packing.pack(docs, **byte_bpe())
@@ -322,6 +348,26 @@ def test_lines(spark, empty):
     assert line_dedup.remove_boilerplate(empty).count() == 0
 
 
+def test_lines_of_long_texts_and_clashing_columns(spark):
+    names = "doc_id long, text string, source string, t1 string, drop int, _drop int, copies int, n_lines string, h1 int"
+    long = "\n".join(x for i in range(20_000) for x in (f"own {i}", "shared"))
+    rows = [(i, "shared\na", f"s{i}", "k", i, 1, 2, "x", 3) for i in range(6)] + [(9, long, "s1", "k", 9, 1, 2, "x", 3), (9, long, None, "k", 10, 1, 2, "x", 3)]
+    got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, names), sites=5)
+    assert got.columns == ["doc_id", "text", "source", "t1", "drop", "_drop", "copies", "h1", "n_lines", "n_removed"]
+    rows = {r["drop"]: r for r in got.collect()}
+    assert rows[0]["text"] == "a0" and rows[9]["n_removed"] == rows[10]["n_removed"] == 20_000 and rows[9]["n_lines"] == 40_000
+    assert rows[9]["text"] == rows[10]["text"] == long.replace("\nshared", "")
+
+
+def test_lines_in_shuffles_only(spark, monkeypatch):
+    rows = [(i, f"own {i}\nshared\n\nrare", f"s{i}") for i in range(8)] + [(9, None, "s9"), (10, "", "s9"), (11, "shared", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, line_dedup.remove_boilerplate(docs, sites=5).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
+    monkeypatch.setattr(line_dedup, "BROADCAST_TEXTS", -1)
+    assert sorted(map(str, line_dedup.remove_boilerplate(docs, sites=5).collect())) == want
+
+
 def test_quality_on_held_out_labels(spark, empty):
     rng = random.Random(11)
     rows, labels = [], []
