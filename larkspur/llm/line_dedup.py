@@ -8,11 +8,11 @@ the sketch's error of it get an exact distinct count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.skew import join_groups
-from larkspur.llm.workspace import stage
+from larkspur.llm.workspace import Scratch, broadcast_if, fresh, own
 
 #: A line on this many sites or more is boilerplate.
 SITES = 10
@@ -22,6 +22,8 @@ LOG_K = 8
 SIGMAS = 6
 #: Most boilerplate lines that are broadcast (16 bytes each).
 BROADCAST_LINES = 200_000
+#: Most texts with boilerplate whose hashes are broadcast (16 bytes each), so that only these texts are shuffled.
+BROADCAST_TEXTS = 500_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -34,19 +36,29 @@ def _lines(docs: DataFrame) -> DataFrame:
 def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """Hashes (h1, h2) of the lines that occur on ``sites`` distinct sources or more, and how often they occur (n)."""
     lines = _lines(docs).filter("source is not null")
-    # rows with the same line and site fold first, in fixed-width hash maps; only lines that
-    # occur ``sites`` times can be on as many sites, so the others need no sketch
-    pairs = lines.groupBy("h1", "h2", F.xxhash64("source").alias("site")).agg(F.count("*").alias("m"))
-    often = pairs.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"), F.sum("m").alias("n")).filter(F.col("n") >= sites)
-    spread = stage(often.select("h1", "h2", "n", F.hll_sketch_estimate("sketch").alias("about")))
+    # sketches start in each task and are merged after the shuffle: a line on every page sends one a task
+    spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg(F.xxhash64("source"), F.lit(LOG_K)).alias("sketch"), F.count("*").alias("n"))
     margin = SIGMAS * 1.04 / 2 ** (LOG_K / 2) * sites + 1
+    about = F.hll_sketch_estimate("sketch").alias("about")
+    with Scratch(docs.sparkSession) as scratch:
+        spread = scratch.keep(scratch.stage(spread.select("h1", "h2", "n", about).filter(F.col("about") >= sites - margin)))
+        near = scratch.keep(scratch.stage(spread.filter(F.col("about") <= sites + margin).select("h1", "h2", "n")))
     sure = spread.filter(F.col("about") > sites + margin).select("h1", "h2", "n")
-    near = stage(spread.filter(F.col("about").between(sites - margin, sites + margin)).select("h1", "h2", "n"))
-    hinted = F.broadcast(near) if near.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else near
-    exact = lines.join(hinted.drop("n"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("source").alias("k")).filter(F.col("k") >= sites)
+    hinted = broadcast_if(near.select("h1", "h2"), BROADCAST_LINES)
+    exact = lines.join(hinted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("source").alias("k")).filter(F.col("k") >= sites)
     return sure.unionByName(near.join(exact.drop("k"), ["h1", "h2"]))
 
 
+def _without(text: Column, drop: Column) -> Column:
+    """The text without the lines at the positions ``drop`` (sorted), in time linear in both.
+
+    The positions become a mark for each line up to the last of them.
+    """
+    marks = F.transform(drop, lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.when(i > 0, F.element_at(drop, i)).otherwise(-1) - 1), F.lit("1")))
+    flags = F.split(F.array_join(marks, ""), "")
+    return F.array_join(F.zip_with(F.split(text, "\n"), flags, lambda line, flag: F.when(flag.isNull() | (flag != "1"), line)), "\n")
+
+
 def remove_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """``docs`` (doc_id, text, source and others) with boilerplate lines taken out of ``text``; adds n_lines and n_removed.
 
@@ -54,21 +66,34 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     only) are never boilerplate.  Rows without source keep their lines' other
     sites from nothing: they count for no site, but lose boilerplate too.  A
     null text stays null, with 0 lines; an empty text is one line.  Repeated
-    rows and ids are treated row by row.  An empty table gives an empty one.
+    rows and ids are treated row by row.  Columns n_lines and n_removed of
+    ``docs`` are replaced; all others stay.  An empty table gives an empty one.
+    Lines and texts are compared by two hashes of 64 bits each.
     """
-    found = stage(boilerplate(docs.select("source", "text"), sites))
-    lines = _lines(docs.select("source", "text")).select("t1", "t2", "pos", "h1", "h2")
-    if found.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
-        hits = lines.join(F.broadcast(found.drop("n")), ["h1", "h2"], "left_semi")
-    else:
-        hits = join_groups(lines, found, ["h1", "h2"], "n", docs.count())
-    drop = hits.groupBy("t1", "t2").agg(F.collect_set("pos").alias("_drop")).withColumnRenamed("t1", "_t1").withColumnRenamed("t2", "_t2")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(text, F.lit(1))}).join(drop, ["_t1", "_t2"], "left")
-    parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    return rows.select(
-        *[F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_removed"),
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch.stage(boilerplate(docs.select("source", "text"), sites))
+        lines = _lines(docs.select("source", "text")).select("t1", "t2", "pos", "h1", "h2")
+        if found.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+            hits = lines.join(F.broadcast(found.drop("n")), ["h1", "h2"], "left_semi")
+        else:
+            hits = join_groups(lines, found, ["h1", "h2"], "n", docs.count())
+        places = F.collect_set("pos")
+        drop = hits.groupBy("t1", "t2").agg(F.sort_array(places).alias("drop"), (F.count("*") / F.size(places)).cast("long").alias("copies"))
+        drop = scratch.keep(scratch.stage(drop))
+    a, b, d, n = (fresh(c, docs.columns) for c in ("t1", "t2", "drop", "copies"))
+    drop = drop.select(F.col("t1").alias(a), F.col("t2").alias(b), F.col("drop").alias(d), F.col("copies").alias(n))
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select("*", F.xxhash64(text).alias(a), F.xxhash64(text, F.lit(1)).alias(b))
+    parts = F.when(docs["text"].isNull(), 0).otherwise(F.size(F.split(docs["text"], "\n"))).cast("long")
+
+    def out(frame: DataFrame, clean: Column, removed: Column) -> DataFrame:
+        columns = [clean.alias("text") if c == "text" else own(frame, c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+        return frame.select(*columns, parts.alias("n_lines"), removed.cast("long").alias("n_removed"))
+
+    clean = F.when(F.col(d).isNull(), docs["text"]).otherwise(_without(docs["text"], F.col(d)))
+    removed = F.when(F.col(d).isNull(), 0).otherwise(F.size(d))
+    if drop.count() > BROADCAST_TEXTS:
+        return out(rows.join(drop.drop(n), [a, b], "left"), clean, removed)
+    keys = F.broadcast(drop.select(a, b))
+    lost = join_groups(rows.join(keys, [a, b], "left_semi"), drop, [a, b], n, docs.count())
+    return out(lost, clean, removed).unionByName(out(rows.join(keys, [a, b], "left_anti"), docs["text"], F.lit(0)))
