@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.skew import join_groups
-from larkspur.llm.workspace import broadcast_if, stage
+from larkspur.llm.workspace import Scratch, broadcast_if, fresh, own
 
 #: Hashes that one owner gets, about: bounds an owner's memory.
 OWNER_ROWS = 200_000
-#: Most rows of a table that is broadcast (40 bytes each).
+#: Most rows of a table that is broadcast: an id and a digest of 32 bytes each.
 BROADCAST_ROWS = 200_000
 
 
@@ -134,35 +134,36 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     where all ids are null: which of them is not defined, their values being the same.
     An empty table gives an empty result; other columns are ignored.
     """
-    norm = normalised(F.col("text"))
-    slim = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), norm.alias("norm")).select(
-        "doc_id", "n_chars", F.unhex(F.sha2("norm", 256)).alias("sha"), F.xxhash64("norm").alias("h")
-    )
-    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // OWNER_ROWS + 1)
-    told = stage(slim.mapInArrow(_send(owners), "doc_id long, n_chars long, sha binary, src long, owner long, idx long, twice boolean, blob binary"))
-    rows = told.filter("blob is null").drop("blob")
-    answers = (
-        told.filter("blob is not null").select("src", "owner", "blob").groupBy("owner")
-        .applyInPandas(_answer, "src long, owner long, bitmap array<long>")
-    )
-    marked = stage(
-        rows.join(answers, ["src", "owner"]).select(
-            "doc_id", "n_chars", "sha", (F.col("twice") | (F.expr("getbit(bitmap[int(idx div 64)], int(idx % 64))") == 1)).alias("suspect")
+    with Scratch(docs.sparkSession) as scratch:
+        norm = normalised(F.col("text"))
+        slim = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), norm.alias("norm")).select(
+            "doc_id", "n_chars", F.unhex(F.sha2("norm", 256)).alias("sha"), F.xxhash64("norm").alias("h")
         )
-    )
-    suspects = marked.filter("suspect")
-    # one record per digest: map-side combining folds a hot group before the shuffle
-    ranked = suspects.groupBy("sha", "n_chars").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    groups = stage(
-        ranked.groupBy("sha").agg(F.sum("n").alias("group_size"), F.max_by("doc_id", "n_chars").alias("keep_id"), F.max("n_chars").alias("most"))
-    )
-    _verify(docs, groups.filter("group_size > 1").select("sha"))
-    total = marked.count()
-    found = join_groups(suspects, groups, ["sha"], "group_size", total)
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("most"))
-    alone = marked.filter("not suspect").select("sha", "doc_id", "n_chars", "suspect", F.lit(1).cast("long").alias("group_size"), F.col("doc_id").alias("keep_id"), F.col("n_chars").alias("most"), F.lit(True).alias("kept"))
-    best = _one_of_alike(found.withColumn("kept", kept)).unionByName(alone)
-    return best.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+        owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // OWNER_ROWS + 1)
+        told = scratch.stage(slim.mapInArrow(_send(owners), "doc_id long, n_chars long, sha binary, src long, owner long, idx long, twice boolean, blob binary"))
+        rows = told.filter("blob is null").drop("blob")
+        answers = (
+            told.filter("blob is not null").select("src", "owner", "blob").groupBy("owner")
+            .applyInPandas(_answer, "src long, owner long, bitmap array<long>")
+        )
+        marked = scratch.stage(
+            rows.join(answers, ["src", "owner"]).select(
+                "doc_id", "n_chars", "sha", (F.col("twice") | (F.expr("getbit(bitmap[int(idx div 64)], int(idx % 64))") == 1)).alias("suspect")
+            )
+        )
+        suspects = marked.filter("suspect")
+        # one record per digest: map-side combining folds a hot group before the shuffle
+        ranked = suspects.groupBy("sha", "n_chars").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+        groups = scratch.stage(
+            ranked.groupBy("sha").agg(F.sum("n").alias("group_size"), F.max_by("doc_id", "n_chars").alias("keep_id"), F.max("n_chars").alias("most"))
+        )
+        _verify(docs, groups.filter("group_size > 1").select("sha"))
+        total = marked.count()
+        found = join_groups(suspects, groups, ["sha"], "group_size", total)
+        kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("most"))
+        alone = marked.filter("not suspect").select("sha", "doc_id", "n_chars", "suspect", F.lit(1).cast("long").alias("group_size"), F.col("doc_id").alias("keep_id"), F.col("n_chars").alias("most"), F.lit(True).alias("kept"))
+        best = _one_of_alike(found.withColumn("kept", kept)).unionByName(alone)
+        return scratch.keep(scratch.stage(best.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))))
 
 
 def _one_of_alike(rows: DataFrame) -> DataFrame:
@@ -187,12 +188,21 @@ def _verify(docs: DataFrame, digests: DataFrame) -> None:
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``deduplicate`` keeps, with all their columns; one of rows alike in doc_id and text."""
-    judged = stage(deduplicate(docs.select("doc_id", "text")))
-    kept = judged.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.lit(True).alias("_kept"))
-    marked = docs.withColumns({"_h": F.sha2(normalised(F.col("text")), 256), "_n": F.char_length(F.coalesce("text", F.lit("")))})
-    found = marked.join(broadcast_if(kept, BROADCAST_ROWS), marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_h"] == kept["_sha"]), "left_semi")
-    if judged.filter("not kept and doc_id <=> keep_id").limit(1).count():  # ids repeat
-        rank = Window.partitionBy("doc_id", "_h").orderBy(F.desc("_n"))
-        found = found.withColumn("_r", F.row_number().over(rank)).filter("_r = 1").drop("_r")
-    return found.drop("_h", "_n")
+    """The rows of ``docs`` that ``deduplicate`` keeps, with all their columns; one of rows alike in doc_id and text.
+
+    Where no row that goes shares id and digest with one that stays, which is
+    so unless ids repeat, only the keys of the rows that go are moved.
+    """
+    judged = deduplicate(docs.select("doc_id", "text"))
+    i, h, d, n, r = (fresh(c, docs.columns) for c in ("id", "h", "digest", "n", "r"))
+    columns = [own(docs, c) for c in docs.columns]
+    marked = docs.select(*columns, F.unhex(F.sha2(normalised(docs["text"]), 256)).alias(h), F.char_length(F.coalesce(docs["text"], F.lit(""))).alias(n))
+    repeats = judged.filter("not kept and doc_id <=> keep_id").limit(1).count()
+    with Scratch(docs.sparkSession) as scratch:
+        listed = judged.filter("kept" if repeats else "not kept").select(F.col("doc_id").alias(i), F.unhex("text_sha256").alias(d))
+        listed = scratch.keep(scratch.stage(listed))
+    found = marked.join(broadcast_if(listed, BROADCAST_ROWS), marked["doc_id"].eqNullSafe(listed[i]) & (marked[h] == listed[d]), "left_semi" if repeats else "left_anti")
+    if repeats:
+        rank = Window.partitionBy("doc_id", h).orderBy(F.desc(n))
+        found = found.withColumn(r, F.row_number().over(rank)).filter(F.col(r) == 1)
+    return found.select(*(own(found, c) for c in docs.columns))
