@@ -8,9 +8,12 @@ it differs from 0, so weak evidence adds up over a document and chance does
 not.  Documents are then resampled without replacement by Gumbel top-k over the
 log weights, each held against the limit of its language.
 
-k and the limits are set on labelled documents that were held out: as many
-documents are drawn as have a weight that good documents of their language have.
-The temperature is low, so the draw decides between documents near the limit only.
+The limits are set on labelled documents that were held out.  ``k`` is a parameter;
+where it is not given, as many documents are drawn as have a weight that good
+documents of their language have.  At the temperature 1 the draw is that of
+importance resampling itself: a document's chance is in proportion to its
+weight.  Gumbel noise is rarely below -1.5, so it hardly drops a document that
+is well above the limit; a lower temperature brings the draw nearer to a threshold.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrow import slices, utf8
 from larkspur.llm.bytehash import U64, mix, prefix, spans
-from larkspur.llm.workspace import stage
+from larkspur.llm.workspace import Scratch, fresh, own
 
 #: log2 of the number of buckets of hashed n-grams.
 BITS = 20
@@ -46,7 +49,8 @@ OWN = 20
 NONE = -1e9
 #: What it costs to reject a share of the good documents, against keeping the same share of the bad.
 COST = 8.0
-TEMPERATURE = 0.02
+#: What log weights are divided by before noise is added.
+TEMPERATURE = 1.0
 
 _KIND = np.full(256, 1, np.int8)  # 0 white space, 1 word, 2 other
 _KIND[[0x20, 9, 10, 11, 12, 13]] = 0
@@ -139,7 +143,7 @@ def _gumbel(doc_id: np.ndarray, text: list[bytes]) -> np.ndarray:
     return -np.log(-np.log((u >> U64(11)).astype(float) / (1 << 53) + 2.0**-54))
 
 
-def _score(model):
+def _score(model, temperature: float):
     """Log weight, and the key of the draw as a fixed-point number."""
 
     @F.pandas_udf("log_weight double, key long")
@@ -147,9 +151,9 @@ def _score(model):
         data = [t.encode("utf-8", "surrogatepass") if t else b"" for t in text]
         w = np.array([float(model.value[grams(t)].sum()) for t in data], float)
         noise = _gumbel(doc_id.fillna(-1).astype("int64").to_numpy(), data)
-        return pd.DataFrame({"log_weight": w, "key": np.floor((w / TEMPERATURE + noise) * (1 << 20)).astype(np.int64)})
+        return pd.DataFrame({"log_weight": w, "key": np.floor((w / temperature + noise) * (1 << 20)).astype(np.int64)})
 
-    return score(F.col("doc_id"), F.col("text"))
+    return score("doc_id", "text")
 
 
 def kth_largest(keys: DataFrame, k: int) -> int:
@@ -183,7 +187,7 @@ def _limit(w: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
 def limits_of(keys: DataFrame, chosen: DataFrame) -> tuple[float, dict[str, float]]:
     """The limit of all held-out documents, and those of the languages that have ``OWN`` good and bad ones."""
     held = keys.join(F.broadcast(chosen.filter("fit > 1")), F.col("doc_id") == F.col("_id")).select("lang", "log_weight", "fit")
-    found = held.limit(4 * SAMPLE).toPandas()  # labels are for single documents
+    found = held.orderBy("log_weight", "fit", "lang").limit(4 * SAMPLE).toPandas()  # labels are for single documents: only rows that repeat an id can exceed SAMPLE
     w, good, bad = found["log_weight"].to_numpy(), (found["fit"] == 2).to_numpy(), (found["fit"] == 3).to_numpy()
     own = {}
     for lang, at in found.groupby("lang").indices.items():
@@ -192,48 +196,54 @@ def limits_of(keys: DataFrame, chosen: DataFrame) -> tuple[float, dict[str, floa
     return _limit(w, good, bad), own
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, int]:
-    """``docs`` with _weight and _key, a written table of both by doc_id, and the least key that is drawn.
+def scored(docs: DataFrame, labels: DataFrame, sample: int, k: int | None, temperature: float, weight: str, key: str) -> tuple[DataFrame, DataFrame, int]:
+    """``docs`` with its log weight and key in columns of these names, a written table of both by doc_id, and the least key that is drawn.
 
     A key is that of the document's weight over the limit of its language.
     """
     spark = docs.sparkSession
-    chosen = stage(sample_labels(labels, sample))
-    model = spark.sparkContext.broadcast(ratios(docs, chosen))  # 4 MB
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    out = docs.withColumn("_s", _score(model)).select(*docs.columns, lang.alias("_lang"), F.col("_s.log_weight").alias("_weight"), F.col("_s.key").alias("_key"))
-    keys = stage(out.select("doc_id", F.col("_lang").alias("lang"), F.col("_weight").alias("log_weight"), F.col("_key").alias("key")))
-    pooled, own = limits_of(keys, chosen)
-
-    def limit(column: str):
-        found = F.lit(pooled)
-        if own:
-            found = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in own.items() for x in pair]), F.col(column)), found)
-        return found
-
-    def over(key: str, column: str):
-        return F.col(key) - F.floor(limit(column) / TEMPERATURE * (1 << 20)).cast("long")
-
-    k = keys.filter(F.col("log_weight") >= limit("lang")).count()
-    keys = keys.withColumn("key", over("key", "lang"))
-    return out.withColumn("_key", over("_key", "_lang")), keys, kth_largest(keys, k) if k else (1 << 63) - 1
-
-
-def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    with Scratch(spark) as scratch:
+        chosen = scratch.stage(sample_labels(labels, sample))
+        model = spark.sparkContext.broadcast(ratios(docs, chosen))  # 4 MB
+        has = "lang" in docs.columns
+        tongue, s = fresh("tongue", [*docs.columns, weight, key]), fresh("s", docs.columns)
+        out = docs.select("*", (F.coalesce(docs["lang"].cast("string"), F.lit("")) if has else F.lit("")).alias(tongue), _score(model, temperature).alias(s))
+        out = out.select(*(own(out, c) for c in docs.columns), tongue, F.col(f"{s}.log_weight").alias(weight), F.col(f"{s}.key").alias(key))
+        keys = scratch.stage(out.select("doc_id", F.col(tongue).alias("lang"), F.col(weight).alias("log_weight"), F.col(key).alias("key")))
+        pooled, owned = limits_of(keys, chosen)
+
+        def limit(column: str) -> Column:
+            found = F.lit(pooled)
+            if owned:
+                found = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in owned.items() for x in pair]), F.col(column)), found)
+            return found
+
+        def over(name: str, column: str) -> Column:
+            return F.col(name) - F.floor(limit(column) / temperature * (1 << 20)).cast("long")
+
+        if k is None:
+            k = keys.filter(F.col("log_weight") >= limit("lang")).count()
+        held = scratch.keep(scratch.stage(keys.withColumn("key", over("key", "lang"))))
+        k = min(k, held.count())
+        return out.withColumn(key, over(key, tongue)).drop(tongue), held, kth_largest(held, k) if k else (1 << 63) - 1
+
+
+def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, log_weight, kept of each row of ``docs`` (doc_id, text and, if known, lang), given ``labels`` (doc_id, quality, toxic).
 
-    Null and empty texts have no n-grams: weight 1, so they are kept.  Rows
-    alike in doc_id, text and lang get the same key and are kept or rejected
-    together, as are ties of the last key drawn.  Labels without doc_id or
-    quality are ignored; of several for a document the worst counts.  Without
-    any good label nothing differs and all rows are kept.  An empty table gives no rows.
+    Null and empty texts have no n-grams: weight 1, so they are kept unless
+    the noise is far below the rest.  Rows alike in doc_id, text and lang get
+    the same key and are kept or rejected together, as are ties of the last
+    key drawn.  Labels without doc_id or quality are ignored; of several for a
+    document the worst counts.  Without any good label nothing differs and all
+    rows are kept.  An empty table gives no rows.
     """
-    _, keys, least = scored(docs.select("doc_id", "text", *(c for c in docs.columns if c == "lang")), labels, sample)
+    _, keys, least = scored(docs.select("doc_id", "text", *(c for c in docs.columns if c == "lang")), labels, sample, k, temperature, "log_weight", "key")
     return keys.select("doc_id", "log_weight", (F.col("key") >= least).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
-    columns = docs.columns
-    out, _, least = scored(docs, labels, sample)
-    return out.filter(F.col("_key") >= least).select(*columns)
+    weight, key = (fresh(c, docs.columns) for c in ("weight", "key"))
+    out, _, least = scored(docs, labels, sample, k, temperature, weight, key)
+    return out.filter(F.col(key) >= least).select(*(own(out, c) for c in docs.columns))

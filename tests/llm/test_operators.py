@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -351,7 +352,7 @@ def test_lines(spark, empty):
 def test_lines_of_long_texts_and_clashing_columns(spark):
     names = "doc_id long, text string, source string, t1 string, drop int, _drop int, copies int, n_lines string, h1 int"
     long = "\n".join(x for i in range(20_000) for x in (f"own {i}", "shared"))
-    rows = [(i, "shared\na", f"s{i}", "k", i, 1, 2, "x", 3) for i in range(6)] + [(9, long, "s1", "k", 9, 1, 2, "x", 3), (9, long, None, "k", 10, 1, 2, "x", 3)]
+    rows = [(i, f"shared\na{i}", f"s{i}", "k", i, 1, 2, "x", 3) for i in range(6)] + [(9, long, "s1", "k", 9, 1, 2, "x", 3), (9, long, None, "k", 10, 1, 2, "x", 3)]
     got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, names), sites=5)
     assert got.columns == ["doc_id", "text", "source", "t1", "drop", "_drop", "copies", "h1", "n_lines", "n_removed"]
     rows = {r["drop"]: r for r in got.collect()}
@@ -414,6 +415,57 @@ def test_quality_ratios_have_both_signs(spark):
     assert weight[399] > 0 > weight[398]
 
 
+def finaliser(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
+@pytest.mark.parametrize("temperature", [1.0, 0.25])
+def test_quality_is_gumbel_top_k_of_the_ratio(spark, temperature):
+    """Weights, noise and draw, each restated here."""
+    rng = random.Random(13)
+    texts = [words(rng, 30) + (" vile" if i % 6 == 0 else "") for i in range(600)] + ["", None]
+    good = {i for i in range(500) if i % 6}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    chosen = {r["_id"] for r in quality.sample_labels(labels).filter("fit = 1").collect()}
+    assert chosen < good and len(chosen) > 0.6 * len(good)
+    sets = [set(quality.grams((t or "").encode()).tolist()) for t in texts]
+    raw, target = collections.Counter(g for s in sets for g in s), collections.Counter(g for i in chosen for g in sets[i])
+    share, ratio = len(chosen) / len(texts), {}
+    for g, n in raw.items():
+        z4 = ((n * share - target[g]) ** 2 / (n * share + 1)) ** 2
+        ratio[g] = math.log((target[g] + quality.PRIOR) / (n * share + quality.PRIOR)) * z4 / (z4 + quality.DOUBT**2)
+    weight = [sum(ratio[g] for g in s) for s in sets]
+    key = []
+    for i, t in enumerate(texts):
+        u = (finaliser(i ^ finaliser(len((t or "").encode()))) >> 11) / 2**53
+        key.append(weight[i] / temperature - math.log(-math.log(u + 2.0**-54)))
+    best = sorted(range(len(texts)), key=lambda i: -key[i])[:400]
+    rows = {r["doc_id"]: r for r in quality.judge(docs, labels, k=400, temperature=temperature).collect()}
+    assert all(abs(rows[i]["log_weight"] - weight[i]) < 1e-3 for i in rows)
+    assert {i for i in rows if rows[i]["kept"]} == set(best)
+
+
+def test_no_stage_loses_columns_that_its_own_names_clash_with(spark):
+    names = [*"hnrd", "_h", "_n", "_s", "_key", "_weight", "_lang", "_id", "rest", "id", "digest", "key", "weight", "tongue", "cut", "k1", "k2", "ranges", "clean", "spans", "kept", "log_weight", "a.b"]
+    rng = random.Random(14)
+    passage = words(rng, 120)
+    texts = [words(rng, 40), words(rng, 40) + " " + passage, passage + " " + words(rng, 40), None, "", words(rng, 9)]
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate([*texts, texts[0]])]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"`{c}` string" for c in names]]))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    for run in (lambda d: quality.keep_good(d, labels), exact_dedup.drop_duplicates, minhash_dedup.drop_near_duplicates, suffix_dedup.remove_repeats):
+        got = run(docs)
+        assert got.columns == docs.columns
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in got.collect() for c in names)
+        assert run(docs.limit(0)).count() == 0
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_duplicates(docs).collect()) == [0, 1, 2, 3, 5]
+    cut = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert cut[1] == texts[1].replace(passage, "").rstrip() + " " and cut[2].strip() == texts[2].replace(passage, "").strip() and cut[3] is None
+
+
 def test_kth_largest(spark):
     vals = [random.Random(2).randint(-(1 << 62), 1 << 62) for _ in range(300)] + [-5, -5, 0, 7]
     frame = spark.createDataFrame([(v,) for v in vals], "key long")
