@@ -25,17 +25,29 @@ def short(rule_id: str) -> str:
     return rule_id.removeprefix("call.")
 
 
-def line_flags(lines: DataFrame) -> DataFrame:
-    """Adds a boolean column per rule: whether it fires on the line."""
+def _matches(texts: DataFrame) -> DataFrame:
+    """line, protective, and hits: for each rule in order whether its patterns match the line."""
     line = F.col("line")
-    out = lines.withColumn("line", text.normal_line(F.coalesce("text", F.lit(""))))
-    out = out.withColumn("protective", line.rlike(_one_of(PROTECTIVE_ADVICE)))
-    flags = {}
-    for id_, _, _, _, guarded, _, user_only, patterns in CALL_RULES:
+    hits = []
+    for id_, _, _, _, _, _, _, patterns in CALL_RULES:
         fires = line.rlike(_one_of(patterns))
-        if short(id_) == "gift_cards":
-            fires = fires | _bulk_purchase(line)
-        fires = fires & F.col("final") & (line != "")
+        hits.append(fires | _bulk_purchase(line) if short(id_) == "gift_cards" else fires)
+    return texts.select("line", line.rlike(_one_of(PROTECTIVE_ADVICE)).alias("protective"), F.array(*hits).alias("hits"))
+
+
+def line_flags(lines: DataFrame) -> DataFrame:
+    """Adds a boolean column per rule: whether it fires on the line.
+
+    Patterns are matched on each distinct final line once, and what they found
+    is joined back; a line that is said in very many calls is a large key of
+    that join, which adaptive execution splits.
+    """
+    said = lines.withColumn("line", text.normal_line(F.coalesce("text", F.lit(""))))
+    found = _matches(said.filter("final and line <> ''").select("line").distinct())
+    out = said.join(found, "line", "left")
+    flags = {}
+    for i, (id_, _, _, _, guarded, _, user_only, _) in enumerate(CALL_RULES):
+        fires = F.get("hits", F.lit(i)) & F.col("final")
         if guarded:
             fires = fires & ~F.col("protective")
         if user_only:
@@ -43,7 +55,7 @@ def line_flags(lines: DataFrame) -> DataFrame:
         flags[short(id_)] = F.coalesce(fires, F.lit(False))
     out = out.withColumns(flags)
     tiers = {short(id_): F.col(short(id_)) & ~F.col(short(by)) for id_, _, _, _, _, by, _, _ in CALL_RULES if by}
-    return out.withColumns(tiers).drop("protective")
+    return out.withColumns(tiers).drop("protective", "hits")
 
 
 def _bulk_purchase(line: Column) -> Column:

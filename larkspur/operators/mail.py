@@ -164,7 +164,7 @@ def _links(base: DataFrame) -> DataFrame:
         "l_http": on & F.lower("href").startswith("http://") & ~aligned & ~F.col("h_ip") & (F.length("pq") > 1),
     }
     return rows.groupBy("message_id").agg(
-        *[F.count_if(F.coalesce(c, no)).alias(n) for n, c in flags.items()], F.count_distinct(F.when(on & ~aligned, reg)).alias("l_sites"), F.bool_and(stays).alias("links_stay")
+        *[F.count_if(F.coalesce(c, no)).alias(n) for n, c in flags.items()], F.count_distinct(F.when(on & ~aligned, reg)).alias("l_sites"), F.count_if(~aligned).alias("l_unaligned"), F.bool_and(stays).alias("links_stay")
     )
 
 
@@ -275,7 +275,7 @@ def content_rules() -> list[Rule]:
     credentials = hit("credential", 4)
     code = (
         some(credentials) & F.forall(credentials, lambda p: urls.listed(p, cat.CODE_DELIVERY)) & (F.size("files") == 0) & ~F.col("auth_failed")
-        & (F.coalesce(F.col("dmarc") == "pass", no) | F.col("dkim_aligned")) & F.coalesce(F.col("l_sites") == 0, F.lit(True)) & scanned.rlike(text.ONE_TIME_CODE)
+        & (F.coalesce(F.col("dmarc") == "pass", no) | F.col("dkim_aligned")) & F.coalesce(F.col("l_unaligned") == 0, F.lit(True)) & scanned.rlike(text.ONE_TIME_CODE)
     )
     bulk = F.col("list_headers") & F.col("authenticated")
     notice = F.col("authenticated") & F.col("brand").isNotNull() & (F.size("files") == 0) & F.coalesce("links_stay", F.lit(True))

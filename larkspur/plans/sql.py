@@ -111,7 +111,7 @@ def _n(name: str) -> str:
 
 
 _CODE = f"""(coalesce(f['credential'], []) = ['security code'] AND filename IS NULL AND NOT failed AND (coalesce(dmarc = 'pass', false) OR aligned)
-            AND (host IS NULL OR link_reg = registrable) AND contains(body, 'security code is 482913'))"""
+            AND (host IS NULL OR coalesce(link_reg = registrable, false)) AND contains(body, 'security code is 482913'))"""
 _MENTIONED = "list_distinct(list_filter([CASE WHEN contains(j.subject || j.body, 'PayPal') THEN 'paypal' END, CASE WHEN from_address IS NOT NULL THEN name_brand END], lambda b: b IS NOT NULL))"
 _CLAIMED = "CASE WHEN name_brand IS NOT NULL AND coalesce(name_brand <> brand, true) THEN name_brand END"
 _ACTS = f"(href IS NOT NULL OR filename IS NOT NULL OR {_n('action_request')} > 0 OR {_n('attachment_request')} > 0)"
@@ -223,15 +223,16 @@ ORACLE_SQL: dict[str, str] = {
     "html_links": """
         WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1), 1) - 1 AS pos FROM pages)
         SELECT page_id, lower(trim(href)) AS target, CAST(min(pos) AS BIGINT) AS first_pos, count(*) AS n FROM l GROUP BY ALL""",
-    "phone_probe": """
-        WITH p AS (SELECT doc_id, regexp_extract(substr(coalesce(text, ''), 1, 30000), '(?:^|[^0-9])(\\+?\\d{1,2}[ .-]?\\(?\\d{3}\\)?[ .-]?\\d{3}[ .-]?\\d{4})(?:$|[^0-9])', 1) AS phone FROM documents)
+    "phone_probe": r"""
+        WITH p AS (SELECT doc_id, regexp_extract(substr(coalesce(text, ''), 1, 30000), '(?:^|[^0-9])((?:\+?[0-9]{1,2}[\s.-]?)?\(?[0-9]{3}\)?[\s.-]?[0-9]{3}[\s.-]?[0-9]{4})(?:$|[^0-9])', 1) AS phone FROM documents)
         SELECT doc_id, phone FROM p WHERE phone <> ''""",
     "digit_mask": """
         SELECT doc_id, sha256(regexp_replace(text, '[0-9]', '#', 'g')) AS all_masked, CAST(length(text) AS INT) AS n_masked_chars FROM documents WHERE regexp_matches(text, '[0-9]{4}')""",
-    "caps_ratio": """
-        WITH t AS (SELECT doc_id, substr(coalesce(text, ''), 1, 80) AS t FROM documents),
-        c AS (SELECT doc_id, CAST(length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS INT) AS n_letters, CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS INT) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS bangs FROM t)
-        SELECT doc_id, n_letters, n_upper, (n_letters >= 10 AND n_upper >= 0.6 * n_letters) OR bangs >= 2 AS shouts FROM c""",
+    "caps_ratio": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        c AS (SELECT doc_id, CAST(length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS INT) AS n_letters, CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS INT) AS n_upper,
+              length(regexp_replace(t, '\P{L}', '', 'g')) AS letters, length(regexp_replace(t, '\P{Lu}', '', 'g')) AS upper, length(regexp_replace(t, '[^!]', '', 'g')) AS bangs FROM t)
+        SELECT doc_id, n_letters, n_upper, (letters >= 10 AND upper >= 0.6 * letters) OR bangs >= 2 AS shouts FROM c""",
     "token_estimate": "SELECT doc_id, CAST(ceil(length(coalesce(text, '')) / 3.5) AS BIGINT) AS n_tokens FROM documents",
     "email_domain_class": f"""
         WITH a AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9-]{{1,63}}(?:\\.[A-Za-z0-9-]{{1,63}})+'))) AS address FROM documents),

@@ -28,6 +28,8 @@ def test_domains(spark):
     hosts = ["a.b.example.co.uk", "example.co.uk", "site.github.io", "x.y.com", "localhost", "10.1.1.1"]
     assert values(spark, hosts, urls.registrable) == ["example.co.uk", "example.co.uk", "site.github.io", "y.com", "localhost", "10.1.1.1"]
     assert values(spark, hosts, urls.depth) == [2, 0, 0, 1, 0, 0]
+    # no suffixes: they keep two labels
+    assert values(spark, ["login.shop.ac.de", "a.b.gob.uk", "x.shop.com.jp", "b.or.fr", "c.d.com.de"], urls.registrable) == ["ac.de", "gob.uk", "com.jp", "or.fr", "d.com.de"]
 
 
 def test_brands(spark):
