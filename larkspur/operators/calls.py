@@ -26,13 +26,13 @@ def short(rule_id: str) -> str:
 
 
 def _matches(texts: DataFrame) -> DataFrame:
-    """line, protective, and hits: for each rule in order whether its patterns match the line."""
+    """Adds protective, and hits: for each rule in order whether its patterns match the line."""
     line = F.col("line")
     hits = []
     for id_, _, _, _, _, _, _, patterns in CALL_RULES:
         fires = line.rlike(_one_of(patterns))
         hits.append(fires | _bulk_purchase(line) if short(id_) == "gift_cards" else fires)
-    return texts.select("line", line.rlike(_one_of(PROTECTIVE_ADVICE)).alias("protective"), F.array(*hits).alias("hits"))
+    return texts.withColumns({"protective": line.rlike(_one_of(PROTECTIVE_ADVICE)), "hits": F.array(*hits)})
 
 
 def line_flags(lines: DataFrame) -> DataFrame:
@@ -40,11 +40,14 @@ def line_flags(lines: DataFrame) -> DataFrame:
 
     Patterns are matched on each distinct final line once, and what they found
     is joined back; a line that is said in very many calls is a large key of
-    that join, which adaptive execution splits.
+    that join, which adaptive execution splits.  On a stream, lines are matched
+    as they come.
     """
     said = lines.withColumn("line", text.normal_line(F.coalesce("text", F.lit(""))))
-    found = _matches(said.filter("final and line <> ''").select("line").distinct())
-    out = said.join(found, "line", "left")
+    if lines.isStreaming:
+        out = _matches(said).withColumn("hits", F.when(F.col("line") != "", F.col("hits")))
+    else:
+        out = said.join(_matches(said.filter("final and line <> ''").select("line").distinct()), "line", "left")
     flags = {}
     for i, (id_, _, _, _, guarded, _, user_only, _) in enumerate(CALL_RULES):
         fires = F.get("hits", F.lit(i)) & F.col("final")
