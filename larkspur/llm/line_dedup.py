@@ -22,6 +22,8 @@ LOG_K = 8
 SIGMAS = 6
 #: Most boilerplate lines that are broadcast (16 bytes each).
 BROADCAST_LINES = 200_000
+#: Most texts with boilerplate and lines of theirs that are broadcast whole (24 and 4 bytes each, at most).
+BROADCAST_PLACES = 1_000_000
 #: Most texts with boilerplate whose hashes are broadcast (16 bytes each), so that only these texts are shuffled.
 BROADCAST_TEXTS = 500_000
 
@@ -92,7 +94,10 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
     clean = F.when(F.col(d).isNull(), docs["text"]).otherwise(_without(docs["text"], F.col(d)))
     removed = F.when(F.col(d).isNull(), 0).otherwise(F.size(d))
-    if drop.count() > BROADCAST_TEXTS:
+    texts, places = drop.agg(F.count("*"), F.coalesce(F.sum(F.size(d)), F.lit(0))).first()
+    if texts + places <= BROADCAST_PLACES:
+        return out(rows.join(F.broadcast(drop.drop(n)), [a, b], "left"), clean, removed)
+    if texts > BROADCAST_TEXTS:
         return out(rows.join(drop.drop(n), [a, b], "left"), clean, removed)
     keys = F.broadcast(drop.select(a, b))
     lost = join_groups(rows.join(keys, [a, b], "left_semi"), drop, [a, b], n, docs.count())

@@ -364,6 +364,8 @@ def test_lines_in_shuffles_only(spark, monkeypatch):
     rows = [(i, f"own {i}\nshared\n\nrare", f"s{i}") for i in range(8)] + [(9, None, "s9"), (10, "", "s9"), (11, "shared", "s0")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     want = sorted(map(str, line_dedup.remove_boilerplate(docs, sites=5).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_PLACES", -1)
+    assert sorted(map(str, line_dedup.remove_boilerplate(docs, sites=5).collect())) == want
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
     monkeypatch.setattr(line_dedup, "BROADCAST_TEXTS", -1)
     assert sorted(map(str, line_dedup.remove_boilerplate(docs, sites=5).collect())) == want
