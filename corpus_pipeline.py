@@ -10,10 +10,12 @@ from larkspur.llm import exact_dedup, minhash_dedup, packing, quality, suffix_de
 from larkspur.llm.queries import byte_bpe, table
 from larkspur.llm.workspace import stage
 
+TEMPERATURE = 0.25
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the documents that importance resampling does not draw."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Rejects the documents that importance resampling does not draw; a temperature below 1, as a filter should follow the weights more than the noise."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), temperature=TEMPERATURE)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
