@@ -177,3 +177,40 @@ def homoglyphs(text: Column) -> Column:
     for pair, letter in (("rn", "m"), ("vv", "w"), ("cl", "d")):
         t = F.replace(t, F.lit(pair), F.lit(letter))
     return F.translate(t, *cat.HOMOGLYPHS)
+
+
+#: Longest text in which links are looked for, and most links of a message.
+LINK_CHARS = 1_000_000
+MOST_LINKS = 50
+# fixed value: a scheme or www., then anything but white space and delimiters
+TEXT_URL = r"""(?i)(?:https?://|www\.)[^\s<>"'`\[\]{}|\\^]+"""
+
+
+def _trimmed_url(found: Column) -> Column:
+    """Without the punctuation of the sentence, and without the closing brackets that none opens."""
+    bare = F.regexp_replace(found, r"""[.,;:!?'"]+$""", "")
+    closing = F.length(bare) - F.length(F.regexp_replace(bare, r"\)+$", ""))
+    extra = F.length(F.regexp_replace(bare, r"[^)]", "")) - F.length(F.regexp_replace(bare, r"[^(]", ""))
+    return F.substring(bare, F.lit(1), F.length(bare) - F.greatest(F.least(closing, extra), F.lit(0)))
+
+
+def text_urls(text: Column) -> Column:
+    """The bare http(s) and www. addresses of a plain text in order, twice ``MOST_LINKS`` at most."""
+    found = F.regexp_extract_all(F.substring(text, 1, LINK_CHARS), F.lit(TEXT_URL), F.lit(0))
+    return F.slice(F.filter(F.transform(found, _trimmed_url), lambda u: u != ""), 1, 2 * MOST_LINKS)
+
+
+def message_links(anchors: Column, text: Column) -> Column:
+    """A message's links (href, anchor): those of its HTML, then those of its text; the first of equal targets counts, ``MOST_LINKS`` at most.
+
+    anchors: array of (href, anchor), null for none.  Targets are equal when they are so in lower case, without blanks around them.
+    """
+    kind = "array<struct<href:string,anchor:string>>"
+    bare = F.transform(F.coalesce(text_urls(text), F.array().cast("array<string>")), lambda u: F.struct(u.alias("href"), F.lit(None).cast("string").alias("anchor")))
+    both = F.transform(F.concat(F.coalesce(anchors, F.array().cast(kind)), bare), lambda x: F.struct(F.trim(x["href"]).alias("href"), x["anchor"].alias("anchor")))
+
+    def first(every: Column) -> Column:
+        keys = F.transform(every, lambda x: F.lower(x["href"]))
+        return F.filter(every, lambda x, i: (x["href"] != "") & (F.array_position(keys, F.lower(x["href"])) == i + 1))
+
+    return F.slice(let(both, first), 1, MOST_LINKS)

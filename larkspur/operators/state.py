@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions import scoring
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key, folded before the shuffle."""
@@ -87,3 +89,26 @@ def joined_titles(titles: Column, most: int = 160) -> Column:
         .otherwise(F.struct(acc["s"].alias("s"), F.lit(True).alias("full"))),
         lambda acc: acc["s"],
     )
+
+
+def clear_tokens(devices: DataFrame, refused: DataFrame) -> DataFrame:
+    """``devices`` (device_id, apns_token, ...) without the tokens that were refused (device_id, apns_token); a token that has changed since stays."""
+    gone = refused.select("device_id", "apns_token").distinct().withColumn("refused", F.lit(True))
+    token = F.when(F.col("refused").isNull(), F.col("apns_token")).alias("apns_token")
+    return devices.join(gone, ["device_id", "apns_token"], "left").select(*[token if c == "apns_token" else F.col(c) for c in devices.columns])
+
+
+def duration_seconds(started_ms: Column, ended_ms: Column, now_ms: Column) -> Column:
+    """Whole seconds, halves up; a call that has not ended lasts until now."""
+    return F.floor((F.coalesce(ended_ms, now_ms) - started_ms) / 1000 + 0.5).cast("long")
+
+
+def worth_keeping(alerted: Column, level: Column, minimum: str) -> Column:
+    """A call stays if it was alerted or reached the level."""
+    return F.coalesce(alerted, F.lit(False)) | F.coalesce(scoring.rank(level, scoring.LEVELS) >= scoring.LEVELS[minimum], F.lit(False))
+
+
+def active_then_stored(active: DataFrame, stored: DataFrame, most: int) -> DataFrame:
+    """Calls in progress and the stored ones that are none of them, latest first; the two have the same columns."""
+    both = active.unionByName(stored.join(active.select("call_id"), "call_id", "left_anti"))
+    return both.orderBy(F.desc("started_at"), "call_id").limit(most)

@@ -62,6 +62,30 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first
 
 
+def text_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(urls.text_urls(F.col("html"))).alias("pos", "href"))
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "href")
+
+
+def clear_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    devices = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device_id"), F.col("c_mktsegment").alias("apns_token"), F.col("c_nationkey").alias("nation"))
+    refused = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("device_id"), F.when(F.col("o_orderkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("apns_token"))
+    return state.clear_tokens(devices, refused)
+
+
+def kept_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    levels = F.array(*[F.lit(x) for x in scoring.LEVELS])
+    rows = table(spark, sf_dir, "orders").select(k.alias("call_id"), (k * 1000 + k % 977).alias("a"), F.when(k % 5 != 0, k * 1000 + (k * 7919) % 600_000).alias("b"), (k % 6 == 0).alias("alerted"), F.get(levels, (k % len(scoring.LEVELS)).cast("int")).alias("level"))
+    kept = rows.filter(state.worth_keeping(F.col("alerted"), F.col("level"), "medium"))
+    return kept.select("call_id", "level", state.duration_seconds(F.col("a"), F.col("b"), F.col("a") + 61_500).alias("seconds"))
+
+
+def calls_in_progress_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), F.col("o_orderdate").alias("started_at"), F.col("o_orderstatus").alias("status"))
+    return state.active_then_stored(rows.filter("status = 'O'").withColumn("status", F.lit("live")), rows, 500)
+
+
 def html_link_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", F.explode(html_links_of(F.col("html"))).alias("l"))
     return rows.select("page_id", F.col("l.href").alias("href"), F.col("l.anchor").alias("anchor"))
@@ -293,6 +317,6 @@ QUERIES = {
         lexicon_hits, auth_signals, sender_signals, attachment_signals, link_signals, content_signals, mail_score, fused_verdict, reason_rank, ensemble_combine, model_json_parse,
         homoglyph_typosquat, call_signals, call_verdicts, call_running_verdict, call_alert_on_rise, transcript_render, last_n_segments, catch_up, dedupe_processed,
         retention_prune, upsert_latest, push_targets_join, account_key, debounce_sends, last_push, eval_confusion, day_sections, unread_count, org_domains, calls_page,
-        size_budget, incremental_scan,
+        size_budget, incremental_scan, text_urls, clear_tokens, kept_calls, calls_in_progress_first,
     )
 }

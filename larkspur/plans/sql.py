@@ -320,5 +320,21 @@ ORACLE_SQL: dict[str, str] = {
     "incremental_scan": """
         WITH t AS (SELECT user_id AS account_id, event_id AS uid FROM events WHERE event_id > 100 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 5)
         SELECT account_id, uid, max(uid) OVER (PARTITION BY account_id) AS next_uid FROM t""",
+    "text_urls": r"""
+        WITH f AS (SELECT page_id, regexp_extract_all(substr(coalesce(html, ''), 1, 1000000), '(?i)(?:https?://|www\.)[^\s<>"''`\[\]{}|\\^]+') AS u FROM pages),
+        e AS (SELECT page_id, unnest(u) AS raw, generate_subscripts(u, 1) AS i FROM f),
+        b AS (SELECT page_id, i, regexp_replace(raw, '[.,;:!?''"]+$', '') AS x FROM e),
+        c AS (SELECT *, length(x) - length(rtrim(x, ')')) AS closing, length(regexp_replace(x, '[^)]', '', 'g')) - length(regexp_replace(x, '[^(]', '', 'g')) AS extra FROM b),
+        d AS (SELECT page_id, i, substr(x, 1, length(x) - greatest(least(closing, extra), 0)) AS href FROM c)
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, href FROM d WHERE href <> '' QUALIFY pos < 100""",
+    "clear_tokens": """
+        WITH r AS (SELECT DISTINCT o_custkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS token FROM orders WHERE o_orderpriority = '1-URGENT')
+        SELECT c_custkey AS device_id, CASE WHEN id IS NULL THEN c_mktsegment END AS apns_token, c_nationkey AS nation FROM customer LEFT JOIN r ON id = c_custkey AND token = c_mktsegment""",
+    "kept_calls": """
+        WITH c AS (SELECT o_orderkey AS k, k * 1000 + k % 977 AS a, CASE WHEN k % 5 <> 0 THEN k * 1000 + (k * 7919) % 600000 END AS b FROM orders)
+        SELECT k AS call_id, ['safe', 'low', 'medium', 'high'][k % 4 + 1] AS level, CAST(floor((coalesce(b, a + 61500) - a) / 1000.0 + 0.5) AS BIGINT) AS seconds FROM c WHERE k % 6 = 0 OR k % 4 >= 2""",
+    "calls_in_progress_first": """
+        SELECT o_orderkey AS call_id, o_orderdate AS started_at, CASE WHEN o_orderstatus = 'O' THEN 'live' ELSE o_orderstatus END AS status
+        FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500""",
 }
 ORACLE_SQL["last_push"] = f"WITH x AS ({ORACLE_SQL['debounce_sends']}) SELECT account_key, max(sent_at) AS last_sent_at, count(*) AS n_sends FROM x GROUP BY account_key".replace("WITH x AS (\n        WITH RECURSIVE", "WITH RECURSIVE x AS (\n        WITH RECURSIVE")

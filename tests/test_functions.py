@@ -121,3 +121,17 @@ def test_answers(raw, want):
 
 def test_answer_column(spark):
     assert values(spark, ['{"risk_score": 70, "category": "scam"}', None], answers.assessment)[0]["risk_score"] == 70
+
+
+def test_plain_text_urls(spark):
+    texts = ["see https://a.example/x, or (http://b.example/y_(z)) and www.c.example/q?d=1!", "no link; ftp://x.example", "HTTPS://UP.example/A).", "", None, " ".join(f"http://h{i}.example" for i in range(150))]
+    got = values(spark, texts, urls.text_urls)
+    assert got[0] == ["https://a.example/x", "http://b.example/y_(z)", "www.c.example/q?d=1"] and got[1] == [] == got[3] and got[2] == ["HTTPS://UP.example/A)."[:-2]]
+    assert got[4] is None and len(got[5]) == 100
+
+
+def test_links_of_both_bodies(spark):
+    rows = [([("http://a.example/", "A"), (" HTTP://A.example/ ", "B"), ("javascript:x", "c")], "http://a.example/ http://b.example"), (None, None), (None, " ".join(f"http://h{i}.example" for i in range(80)))]
+    frame = spark.createDataFrame(rows, "anchors array<struct<href:string,anchor:string>>, body string")
+    got = [[tuple(x) for x in r[0]] for r in frame.select(urls.message_links(F.col("anchors"), F.col("body"))).collect()]
+    assert got[0] == [("http://a.example/", "A"), ("javascript:x", "c"), ("http://b.example", None)] and got[1] == [] and len(got[2]) == 50
