@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.functions import catalogs as cat
 from larkspur.functions import urls
@@ -60,7 +62,14 @@ def _public(host: Column) -> Column:
     return out
 
 
-def legitimate_for(host: Column) -> Column:
+def _with_registrable(host: Column, registrable: Column | None, body) -> Column:
+    """``body`` of the normal host and its registrable domain, which is taken as given where it is known."""
+    if registrable is not None:
+        return urls.let(urls.normal_host(host), lambda h: body(h, registrable))
+    return urls.let(urls.normal_host(host), lambda h: urls.let(urls.registrable(h), lambda r: body(h, r)))
+
+
+def legitimate_for(host: Column, registrable: Column | None = None) -> Column:
     """Keys of the brands, one or more, to whose domains the host belongs; an empty array for none."""
     listed: dict[str, list[str]] = {}
     for key, _, domains in cat.BRANDS:
@@ -69,20 +78,20 @@ def legitimate_for(host: Column) -> Column:
     public = {d: listed[d] for d in _SUFFIX_DOMAINS}
     joined = _map({d: ";".join(k) for d, k in listed.items()})
 
-    def keys(h: Column) -> Column:
-        own = urls.let(urls.registrable(h), lambda r: F.concat_ws(";", F.try_element_at(joined, r), regional_brand(r)))
+    def keys(h: Column, r: Column) -> Column:
+        own = F.concat_ws(";", F.try_element_at(joined, r), regional_brand(r))
         return F.split(F.concat_ws(";", own, *[F.when(_under(h, d), ";".join(k)) for d, k in public.items()]), ";")
 
-    return urls.let(urls.normal_host(host), keys)
+    return _with_registrable(host, registrable, keys)
 
 
-def is_brand_host(host: Column) -> Column:
+def is_brand_host(host: Column, registrable: Column | None = None) -> Column:
     """On a domain of any brand, tenants of shared hosting excluded."""
 
     def test(h: Column, r: Column) -> Column:
         return F.when(owner(r).isNotNull(), ~(urls.listed(r, cat.MULTI_TENANT) & (h != r))).otherwise(_public(h))
 
-    return urls.let(urls.normal_host(host), lambda h: urls.let(urls.registrable(h), lambda r: test(h, r)))
+    return _with_registrable(host, registrable, test)
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
@@ -145,7 +154,7 @@ def lookalikes(hosts: DataFrame) -> DataFrame:
     return ranked.select("host", F.col("b.key").alias("brand"), F.col("b.kind").alias("kind"), F.col("b.label").alias("label"))
 
 
-def subdomain_brand(host: Column) -> Column:
+def subdomain_brand(host: Column, registrable: Column | None = None) -> Column:
     """The first label below a foreign registrable domain that is a brand's key or one-word name."""
     known = {**_NAMES, **{k: k for k, _, _ in cat.BRANDS}}
     names = sorted(n for n in known if len(n) >= 3 and n not in cat.GENERIC_BRAND_LABELS)
@@ -155,22 +164,44 @@ def subdomain_brand(host: Column) -> Column:
         below = urls.let(urls.labels(h), lambda p: F.slice(p, 1, F.greatest(F.size(p) - F.size(urls.labels(r)), F.lit(0))))
         return F.when(foreign, F.try_element_at(_map(known), F.try_element_at(F.filter(below, lambda x: urls.listed(x, names)), F.lit(1))))
 
-    return urls.let(urls.normal_host(host), lambda h: urls.let(urls.registrable(h), lambda r: test(h, r)))
+    return _with_registrable(host, registrable, test)
 
 
-def mentions(text: Column) -> Column:
-    """Keys of the brands named in the first 2000 characters, in catalogue order; ordinary words need a qualified phrase."""
-    lower = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 2000))
+@lru_cache(maxsize=1)
+def _mention_automaton():
+    """Names and qualifying phrases of all brands in one automaton; one for each worker."""
+    import ahocorasick
+
+    found: dict[str, list[tuple[int, bool]]] = {}
+    for i, (key, names, _) in enumerate(cat.BRANDS):
+        for n in names:
+            found.setdefault(n, []).append((i, False))
+        for q in cat.QUALIFIED_MENTIONS.get(key, ()):
+            found.setdefault(q, []).append((i, True))
+    made = ahocorasick.Automaton()
+    for word, uses in found.items():
+        made.add_word(word, (len(word), uses))
+    made.make_automaton()
+    return made
 
-    def named(words) -> Column:
 
+def _mentioned(lower: str) -> list[str]:
+    named, qualified = set(), set()
+    for end, (n, uses) in _mention_automaton().iter(lower):
+        start = end + 1 - n
+        if (start and lower[start - 1].isalnum()) or (end + 1 < len(lower) and lower[end + 1].isalnum()):
+            continue
+        for i, qualifies in uses:
+            (qualified if qualifies else named).add(i)
+    keys = ((i, cat.BRANDS[i][0]) for i in sorted(named))
+    return [key for i, key in keys if key not in cat.QUALIFIED_MENTIONS or i in qualified]
 
-        return lower.rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(w) for w in words) + r")(?![\p{L}\p{N}])")
 
-    found = []
-    for key, names, _ in cat.BRANDS:
-        is_named = named(names)
-        if key in cat.QUALIFIED_MENTIONS:
-            is_named = is_named & named(cat.QUALIFIED_MENTIONS[key])
-        found.append(F.when(is_named, F.lit(key)))
-    return F.array_compact(F.array(*found))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _mentions(lower: pd.Series) -> pd.Series:
+    return lower.map(lambda t: _mentioned(t) if t else [])
+
+
+def mentions(text: Column) -> Column:
+    """Keys of the brands named in the first 2000 characters, in catalogue order; ordinary words need a qualified phrase."""
+    return _mentions(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 2000)))

@@ -124,17 +124,19 @@ def is_punycode(host: Column) -> Column:
     return h.rlike(r"(?:^|\.)xn--") | h.rlike(r"[^\x00-\x7F]")
 
 
-def in_set(host: Column, names) -> Column:
-    """The host or its registrable domain is listed."""
+def in_set(host: Column, names, own: Column | None = None) -> Column:
+    """The host or its registrable domain, which may be given, is listed."""
+    if own is not None:
+        return listed(normal_host(host), names) | listed(own, names)
     return let(normal_host(host), lambda h: listed(h, names) | listed(registrable(h), names))
 
 
-def is_free_mail(domain: Column) -> Column:
-    return in_set(domain, cat.FREE_MAIL)
+def is_free_mail(domain: Column, own: Column | None = None) -> Column:
+    return in_set(domain, cat.FREE_MAIL, own)
 
 
-def is_shortener(host: Column) -> Column:
-    return in_set(host, cat.SHORTENERS)
+def is_shortener(host: Column, own: Column | None = None) -> Column:
+    return in_set(host, cat.SHORTENERS, own)
 
 
 def has_suspicious_tld(host: Column) -> Column:

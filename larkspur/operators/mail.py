@@ -69,15 +69,24 @@ def header(name: str) -> Column:
 def host_features(hosts: DataFrame) -> DataFrame:
     """hosts (host, distinct): what the link rules ask of a host, whoever links to it."""
     h = F.col("host")
-    out = hosts.select(
-        "host", urls.registrable(h).alias("h_registrable"), urls.is_ip(h).alias("h_ip"), urls.is_punycode(h).alias("h_punycode"), urls.is_shortener(h).alias("h_shortener"),
+    reg = F.col("h_registrable")
+    out = hosts.select("host", urls.registrable(h).alias("h_registrable")).select(
+        "host", reg, urls.is_ip(h).alias("h_ip"), urls.is_punycode(h).alias("h_punycode"), urls.is_shortener(h, reg).alias("h_shortener"),
         urls.has_suspicious_tld(h).alias("h_tld"), urls.is_free_hosting(h).alias("h_free"), urls.depth(h).alias("h_depth"), urls.has_credential_token(h).alias("h_credential"),
-        brands.is_brand_host(h).alias("h_brand"), brands.owner(urls.registrable(h)).alias("h_owner"), brands.subdomain_brand(h).alias("h_below"), brands.legitimate_for(h).alias("h_legit"),
+        brands.is_brand_host(h, reg).alias("h_brand"), brands.subdomain_brand(h, reg).alias("h_below"), brands.legitimate_for(h, reg).alias("h_legit"),
     )
     alike = brands.lookalikes(hosts).select("host", F.col("brand").alias("h_lookalike"))
     return out.join(alike, "host", "left")
 
 
+def domain_facts(domains: DataFrame) -> DataFrame:
+    """domains (domain, distinct): what the rules ask of a mail domain, whoever sends from it."""
+    out = domains.withColumn("registrable", urls.registrable(F.col("domain")))
+    out = out.select("domain", "registrable", urls.is_free_mail(F.col("domain"), F.col("registrable")).alias("free"), brands.owner(F.col("registrable")).alias("brand"), brands.legitimate_for(F.col("domain"), F.col("registrable")).alias("legit"))
+    alike = brands.lookalikes(domains.select(F.col("domain").alias("host")))
+    return out.join(alike.select(F.col("host").alias("domain"), F.col("brand").alias("lookalike")), "domain", "left")
+
+
 def context(messages: DataFrame, organisation: tuple[str, ...] = ()) -> DataFrame:
     """Messages with the context columns that the rules use."""
     none = F.array().cast("array<string>")
@@ -89,9 +98,13 @@ def context(messages: DataFrame, organisation: tuple[str, ...] = ()) -> DataFram
         "greeting_hits": lexicon.matches(F.substring(body, 1, GREETING_CHARS)),
         "spf": F.col("auth.spf"), "dkim": F.col("auth.dkim"), "dmarc": F.col("auth.dmarc"), "arc": F.col("auth.arc"),
     })
+    replies = F.filter(F.transform(F.coalesce("reply_to", F.array().cast(f"array<{ADDRESS}>")), lambda a: domain_of(a["address"])), lambda d: d != "")
+    facts = domain_facts(messages.select(F.explode(F.concat(replies, F.array(F.coalesce(domain_of(F.col("from.address")), F.lit(""))))).alias("domain")).filter("domain <> ''").distinct())
+    base = base.join(facts.select(F.col("domain").alias("from_domain"), "registrable", "free", "brand", F.col("legit").alias("from_legit"), F.col("lookalike").alias("from_lookalike")), "from_domain", "left")
     base = base.withColumns({
-        "registrable": urls.registrable(F.col("from_domain")),
-        "free": (F.col("from_domain") != "") & urls.is_free_mail(F.col("from_domain")),
+        "registrable": F.coalesce("registrable", F.lit("")),
+        "free": F.coalesce("free", F.lit(False)),
+        "from_legit": F.coalesce("from_legit", F.array(F.lit(""))),
         "list_headers": header("List-Unsubscribe").isNotNull() | header("List-Id").isNotNull(),
         "recipients": F.array_distinct(F.filter(F.transform(F.coalesce("to", F.array().cast(f"array<{ADDRESS}>")), lambda a: urls.registrable(domain_of(a["address"]))), lambda d: d != "")),
         "mentioned": brands.mentions(F.concat_ws("\n", "name", "subject", F.substring("body", 1, MENTION_CHARS))),
@@ -99,7 +112,6 @@ def context(messages: DataFrame, organisation: tuple[str, ...] = ()) -> DataFram
     })
     reg, no = F.col("registrable"), F.lit(False)
     base = base.withColumns({
-        "brand": F.when(F.col("from_domain") != "", brands.owner(reg)), "from_legit": brands.legitimate_for(F.col("from_domain")),
         "dkim_aligned": F.coalesce((F.col("dkim") == "pass") & (reg != "") & (urls.registrable(F.col("auth.dkim_domain")) == reg), no),
         "auth_failed": F.coalesce(F.col("spf").isin("fail", "softfail"), no) | F.coalesce(F.col("dkim") == "fail", no) | F.coalesce(F.col("dmarc") == "fail", no),
         "n_links": F.size(F.coalesce("links", F.array().cast("array<struct<href:string,anchor:string>>"))),
@@ -112,20 +124,18 @@ def context(messages: DataFrame, organisation: tuple[str, ...] = ()) -> DataFram
         "has_auth": F.coalesce("spf", "dkim", "dmarc").isNotNull(),
         "acts": (F.col("n_links") > 0) | (F.size("files") > 0) | (F.size(lexicon.found(F.col("hits"), "action_request")) > 0) | (F.size(lexicon.found(F.col("hits"), "attachment_request")) > 0),
     })
-    senders = base.select(F.col("from_domain").alias("host")).union(base.select(F.explode("reply_to").alias("r")).select(domain_of(F.col("r.address")))).filter("host <> ''").distinct()
-    alike = brands.lookalikes(senders)
-    base = base.join(alike.select(F.col("host").alias("from_domain"), F.col("brand").alias("from_lookalike")), "from_domain", "left")
-    reply = F.slice(F.filter(F.transform(F.coalesce("reply_to", F.array().cast(f"array<{ADDRESS}>")), lambda a: domain_of(a["address"])), lambda d: d != ""), 1, 3)
-    odd = F.filter(reply, lambda d: (urls.registrable(d) != F.col("registrable")) & ~F.array_contains("recipients", urls.registrable(d)))
+    odd = F.filter(F.slice(replies, 1, 3), lambda d: (urls.registrable(d) != F.col("registrable")) & ~F.array_contains("recipients", urls.registrable(d)))
     base = base.withColumn("odd_reply", F.try_element_at(odd, F.lit(1)))
-    base = base.join(alike.select(F.col("host").alias("odd_reply"), F.col("brand").alias("reply_lookalike")), "odd_reply", "left")
-    return base.withColumn("none", none).join(_links(base), "message_id", "left")
+    base = base.join(facts.select(F.col("domain").alias("odd_reply"), F.col("lookalike").alias("reply_lookalike"), F.col("free").alias("reply_free")), "odd_reply", "left")
+    base = base.withColumn("none", none).join(_links(base), "message_id", "left")
+    stray = F.exists("l_strays", lambda legit: ~F.arrays_overlap("mentioned", legit["keys"]))
+    return base.withColumn("l_stray", F.when((F.size("mentioned") > 0) & F.coalesce(stray, no), 1).otherwise(0))
 
 
 def _links(base: DataFrame) -> DataFrame:
     """Counts of what a message's links show, one row per message with links."""
-    rows = base.select("message_id", "registrable", "mentioned", "brand", F.posexplode("links").alias("pos", "link")).select(
-        "message_id", "registrable", "mentioned", "brand", "pos", "link.href", F.trim(F.coalesce("link.anchor", F.lit(""))).alias("anchor")
+    rows = base.select("message_id", "registrable", "brand", F.posexplode("links").alias("pos", "link")).select(
+        "message_id", "registrable", "brand", "pos", "link.href", F.trim(F.coalesce("link.anchor", F.lit(""))).alias("anchor")
     )
     lower = F.lower("anchor")
     url_like = lower.rlike(r"^(?:https?://|www\.)") | (~lower.contains(" ") & (F.length(lower) >= 5) & lower.rlike(r"^[^.]*\.\p{L}{2,}") & lower.contains("/"))
@@ -134,9 +144,10 @@ def _links(base: DataFrame) -> DataFrame:
     is_bare = bare.rlike(r"^[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+$") & (F.length(lower) <= 100) & urls.listed(tld, cat.ANCHOR_TLDS)
     rows = rows.withColumns({
         "dangerous": F.lower("href").rlike("^(?:javascript:|data:|vbscript:)"), "host": urls.host_of(F.col("href")), "pq": urls.path_and_query(F.col("href")), "userinfo": urls.has_userinfo(F.col("href")),
-        "anchor_host": F.when(~F.col("anchor").contains("@") & (F.length("anchor") <= 200) & (url_like | (is_bare & brands.is_brand_host(bare))), urls.host_of(F.col("anchor"))),
-        "bare_host": F.when(is_bare, bare),
+        "bare_host": F.when(is_bare, bare), "bare_reg": urls.registrable(F.when(is_bare, bare)),
     })
+    shows = ~F.col("anchor").contains("@") & (F.length("anchor") <= 200) & (url_like | (F.col("bare_host").isNotNull() & brands.is_brand_host(F.col("bare_host"), F.col("bare_reg"))))
+    rows = rows.withColumn("anchor_host", F.when(shows, urls.host_of(F.col("anchor")))).withColumn("anchor_reg", urls.registrable(F.col("anchor_host")))
     hosts = rows.filter("host is not null and not dangerous").select("host").distinct()
     rows = rows.join(host_features(hosts), "host", "left")
     reg, no = F.col("h_registrable"), F.lit(False)
@@ -144,27 +155,28 @@ def _links(base: DataFrame) -> DataFrame:
     aligned = F.coalesce((F.col("registrable") != "") & (reg == F.col("registrable")), no)
     tracker = F.coalesce(urls.listed(reg, cat.TRACKERS), no)
     brand_host = F.coalesce(F.col("h_brand"), no)
-    rows = rows.withColumns({"anchor_brand": F.coalesce(brands.is_brand_host(F.col("anchor_host")), no), "anchor_reg": urls.registrable(F.col("anchor_host")), "bare_reg": urls.registrable(F.col("bare_host"))})
+    rows = rows.withColumn("anchor_brand", F.coalesce(brands.is_brand_host(F.col("anchor_host"), F.col("anchor_reg")), no))
     anchor_brand = F.col("anchor_brand")
     shows_other = F.coalesce(F.col("anchor_reg") != reg, no)
     mismatch = on & shows_other & (anchor_brand | ~(aligned | tracker))
     bare_mismatch = on & ~shows_other & F.coalesce(F.col("bare_reg") != reg, no) & ~aligned & ~tracker
     alike = on & F.col("h_lookalike").isNotNull()
     below = on & ~alike & ~aligned & F.col("h_below").isNotNull()
-    stray = on & ~alike & ~below & ~aligned & ~brand_host & (F.size("mentioned") > 0) & ~F.col("h_shortener") & ~F.col("h_ip") & ~F.arrays_overlap("mentioned", F.coalesce("h_legit", F.array().cast("array<string>")))
+    stray = on & ~alike & ~below & ~aligned & ~brand_host & ~F.col("h_shortener") & ~F.col("h_ip")
     keyword = urls.contains_any(F.col("pq"), cat.CREDENTIAL_PATHS)
     outside = on & ~aligned & ~brand_host
     stays = F.coalesce((reg == F.col("registrable")) | (F.col("brand").isNotNull() & F.array_contains("h_legit", F.col("brand"))), F.col("host").isNull())
     free = on & ~aligned & F.col("h_free")
     flags = {
         "l_anchor": mismatch, "l_anchor_signin": mismatch & anchor_brand & urls.contains_any(urls.path_and_query(F.col("anchor")), cat.CREDENTIAL_PATHS), "l_bare": bare_mismatch,
-        "l_alike": alike, "l_below": below, "l_stray": stray, "l_ip": on & F.col("h_ip"), "l_punycode": on & F.col("h_punycode"), "l_dangerous": F.col("dangerous"),
+        "l_alike": alike, "l_below": below, "l_ip": on & F.col("h_ip"), "l_punycode": on & F.col("h_punycode"), "l_dangerous": F.col("dangerous"),
         "l_short": on & F.col("h_shortener"), "l_tld": on & F.col("h_tld"), "l_deep": outside & (F.col("h_depth") >= 3), "l_path": outside & keyword,
         "l_host": outside & ~keyword & F.col("h_credential"), "l_free": free, "l_free_signin": free & keyword, "l_userinfo": on & F.col("userinfo"),
         "l_http": on & F.lower("href").startswith("http://") & ~aligned & ~F.col("h_ip") & (F.length("pq") > 1),
     }
+    legit = F.struct(F.coalesce("h_legit", F.array().cast("array<string>")).alias("keys"))  # of the few links of a message, judged beside what it mentions
     return rows.groupBy("message_id").agg(
-        *[F.count_if(F.coalesce(c, no)).alias(n) for n, c in flags.items()], F.count_distinct(F.when(on & ~aligned, reg)).alias("l_sites"), F.count_if(~aligned).alias("l_unaligned"), F.bool_and(stays).alias("links_stay")
+        F.collect_set(F.when(F.coalesce(stray, no), legit)).alias("l_strays"), *[F.count_if(F.coalesce(c, no)).alias(n) for n, c in flags.items()], F.count_distinct(F.when(on & ~aligned, reg)).alias("l_sites"), F.count_if(~aligned).alias("l_unaligned"), F.bool_and(stays).alias("links_stay")
     )
 
 
@@ -206,7 +218,7 @@ def sender_rules() -> list[Rule]:
     distinctive = {k: v for k, v in {**brands._NAMES, **{k: k for k, _, _ in cat.BRANDS}}.items() if v not in cat.DICTIONARY_BRANDS}
     key_of = brands._map(distinctive)
     spoof = F.exists(words, lambda w: F.coalesce(urls.listed(w, distinctive) & ~F.array_contains("from_legit", F.try_element_at(key_of, w)), no))
-    odd, reply_free = F.col("odd_reply"), urls.is_free_mail(F.col("odd_reply"))
+    odd, reply_free = F.col("odd_reply"), F.col("reply_free")
     sends = domain_of(F.col("sender.address"))
     other = F.coalesce((sends != "") & (urls.registrable(sends) != F.col("registrable")), no)
     bounce = domain_of(F.regexp_replace(F.coalesce(header("Return-Path"), F.lit("")), "[<>\\s]", ""))
