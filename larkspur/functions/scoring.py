@@ -120,3 +120,8 @@ def ensemble(members: Column, heuristic: Column) -> Column:
     supported = F.coalesce(primary["risk_score"] >= 40, F.lit(False)) | (heuristic >= 0.3)
     higher = lambda best, m: F.coalesce(m["risk_score"] > best["risk_score"], F.lit(True))
     return F.aggregate(answered, primary, lambda best, m: F.when((m["role"] == "corroborator") & higher(best, m) & supported, m).otherwise(best))
+
+
+def max_severity(signals: Column) -> Column:
+    """The highest severity of the signals; null for none."""
+    return F.array_max(F.transform(signals, lambda s: F.struct(rank(s["severity"]).alias("rank"), s["severity"].alias("severity"))))["severity"]

@@ -98,3 +98,8 @@ def e164(number: Column) -> Column:
 def redact(number: Column) -> Column:
     """All but the last four digits hidden."""
     return F.when(F.length(number) >= 4, F.concat(F.lit("•••"), F.substring(number, -4, 4))).otherwise("unknown")
+
+
+def safety_id(number: Column, line_id: Column) -> Column:
+    """A stable id of a caller on a line that does not show the number."""
+    return F.sha2(F.concat(number, F.lit("|"), F.coalesce(line_id, F.lit(""))), 256)

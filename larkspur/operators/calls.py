@@ -131,3 +131,15 @@ def alerts(running: DataFrame, minimum: str = ALERT_MINIMUM) -> DataFrame:
     before = F.max(due).over(Window.partitionBy("call_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
     rows = running.select("call_id", "ord", "level", due.alias("due"), F.coalesce(before, F.lit(0)).alias("before"))
     return rows.filter("due > before").select("call_id", "ord", "level")
+
+
+def admitted(incoming: DataFrame, lines: DataFrame) -> DataFrame:
+    """incoming (call_id, from_number, to_number, forwarded_from) against lines (line_id, guard_number, phone_number), one for each guard number: call_id, line_id, decision.
+
+    A call to no line's guard number has ``no_line``; one from the line's own
+    numbers, or forwarded by the protected one, would call itself: ``loop``.
+    """
+    known = lines.select("line_id", F.col("guard_number").alias("to_number"), "phone_number")
+    own = (F.col("from_number") == F.col("phone_number")) | (F.col("from_number") == F.col("to_number")) | (F.col("forwarded_from") == F.col("phone_number"))
+    decision = F.when(F.col("line_id").isNull(), "no_line").when(F.coalesce(own, F.lit(False)), "loop").otherwise("accept")
+    return incoming.join(known, "to_number", "left").select("call_id", "line_id", decision.alias("decision"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import scoring
@@ -112,3 +112,17 @@ def active_then_stored(active: DataFrame, stored: DataFrame, most: int) -> DataF
     """Calls in progress and the stored ones that are none of them, latest first; the two have the same columns."""
     both = active.unionByName(stored.join(active.select("call_id"), "call_id", "left_anti"))
     return both.orderBy(F.desc("started_at"), "call_id").limit(most)
+
+
+def breaker(runs: DataFrame, scan: str, order: str, threshold: int = 3) -> DataFrame:
+    """Adds ``allowed`` to model runs with an ``outcome``: false once ``threshold`` in a row have failed, for the rest of the scan.
+
+    An answer (``answered``) ends a row of failures (``failed``); other outcomes, null included, neither count nor end one.
+    """
+    w = Window.partitionBy(scan).orderBy(order)
+    failed = F.coalesce(F.col("outcome") == "failed", F.lit(False))
+    island = F.count_if(F.coalesce(F.col("outcome") == "answered", F.lit(False))).over(w)
+    rows = runs.withColumn("_island", island)
+    rows = rows.withColumn("_fails", F.count_if(failed).over(Window.partitionBy(scan, "_island").orderBy(order)))
+    most = F.max("_fails").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("allowed", F.coalesce(most, F.lit(0)) < threshold).drop("_island", "_fails")

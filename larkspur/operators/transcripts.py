@@ -40,3 +40,24 @@ def render(segments: DataFrame, most: int) -> DataFrame:
     kept = lines.withColumn("total", F.sum(F.length("s") + 1).over(w)).withColumn("k", F.row_number().over(Window.partitionBy("call_id").orderBy(F.desc("line")))).filter((F.col("total") <= most) | (F.col("k") == 1))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "s"))), lambda p: p["s"]), "\n")
     return kept.groupBy("call_id").agg(F.right(text, F.lit(most)).alias("transcript"))
+
+
+def utterances(events: DataFrame) -> DataFrame:
+    """Transcription events (call_id, speaker, arrival, text, final, sequence) as segments: call_id, speaker, arrival, id, text, final.
+
+    A partial with a sequence number lower than one seen is late and goes.  A
+    speaker's segments share an id up to their final one; the next begins
+    another.  Events without text are none; an event without number is never late.
+    """
+    before = Window.partitionBy("call_id", "speaker").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    t = F.trim("text")
+    rows = events.filter(t != "").select("call_id", "speaker", "arrival", t.alias("text"), F.coalesce("final", F.lit(False)).alias("final"), "sequence", F.coalesce(F.max("sequence").over(before), F.lit(-1)).alias("seen"))
+    kept = rows.filter("final or sequence is null or sequence >= seen")
+    n = F.coalesce(F.count_if("final").over(before), F.lit(0)) + 1
+    return kept.select("call_id", "speaker", "arrival", F.concat("speaker", F.lit("-tw-"), n.cast("string")).alias("id"), "text", "final")
+
+
+def chunks(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """Adds ``chunk``, from 0: each n rows of a key in order."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return rows.withColumn("chunk", F.floor((at - 1) / n))

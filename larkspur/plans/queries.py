@@ -86,6 +86,41 @@ def calls_in_progress_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.active_then_stored(rows.filter("status = 'O'").withColumn("status", F.lit("live")), rows, 500)
 
 
+def late_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    speaker = F.when(k % 3 == 0, "user").otherwise("caller")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("call_id"), speaker.alias("speaker"), k.alias("arrival"), F.col("o_orderpriority").alias("text"), (k % 4 == 0).alias("final"), F.when(k % 13 != 0, k * 7 % 50).alias("sequence"))
+    return transcripts.utterances(rows)
+
+
+def uid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.chunks(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id", 20)
+
+
+def loop_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    phone = (c * 2 + 1).cast("string")
+    caller = F.when(k % 4 == 0, phone).when(k % 4 == 1, c.cast("string")).otherwise(F.concat(F.lit("n"), k.cast("string")))
+    incoming = table(spark, sf_dir, "orders").select(k.alias("call_id"), caller.alias("from_number"), F.when(k % 11 != 0, c.cast("string")).alias("to_number"), F.when(k % 7 == 0, phone).alias("forwarded_from"))
+    c = F.col("c_custkey")
+    lines = table(spark, sf_dir, "customer").filter("c_custkey % 4 <> 0").select(c.alias("line_id"), c.cast("string").alias("guard_number"), (c * 2 + 1).cast("string").alias("phone_number"))
+    return calls.admitted(incoming, lines)
+
+
+def model_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = F.when(F.col("event_type") == "view", "answered").when(F.col("event_type") != "error", "failed")
+    return state.breaker(table(spark, sf_dir, "events").select("user_id", "event_id", outcome.alias("outcome")), "user_id", "event_id")
+
+
+def safety_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.safety_id(F.col("c_name"), line).alias("safety_id"))
+
+
+def max_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syn.scored(spark, sf_dir).select("message_id", scoring.max_severity(F.col("signals")).alias("severity"))
+
+
 def html_link_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", F.explode(html_links_of(F.col("html"))).alias("l"))
     return rows.select("page_id", F.col("l.href").alias("href"), F.col("l.anchor").alias("anchor"))
@@ -318,5 +353,6 @@ QUERIES = {
         homoglyph_typosquat, call_signals, call_verdicts, call_running_verdict, call_alert_on_rise, transcript_render, last_n_segments, catch_up, dedupe_processed,
         retention_prune, upsert_latest, push_targets_join, account_key, debounce_sends, last_push, eval_confusion, day_sections, unread_count, org_domains, calls_page,
         size_budget, incremental_scan, text_urls, clear_tokens, kept_calls, calls_in_progress_first,
+        late_partials, uid_chunks, loop_guard, model_breaker, safety_ids, max_severity,
     )
 }

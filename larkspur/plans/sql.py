@@ -333,6 +333,24 @@ ORACLE_SQL: dict[str, str] = {
     "kept_calls": """
         WITH c AS (SELECT o_orderkey AS k, k * 1000 + k % 977 AS a, CASE WHEN k % 5 <> 0 THEN k * 1000 + (k * 7919) % 600000 END AS b FROM orders)
         SELECT k AS call_id, ['safe', 'low', 'medium', 'high'][k % 4 + 1] AS level, CAST(floor((coalesce(b, a + 61500) - a) / 1000.0 + 0.5) AS BIGINT) AS seconds FROM c WHERE k % 6 = 0 OR k % 4 >= 2""",
+    "late_partials": """
+        WITH t AS (SELECT o_custkey AS call_id, CASE WHEN o_orderkey % 3 = 0 THEN 'user' ELSE 'caller' END AS speaker, o_orderkey AS arrival, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey * 7 % 50 END AS sequence, o_orderkey % 4 = 0 AS final, trim(o_orderpriority) AS text FROM orders),
+        m AS (SELECT *, max(sequence) OVER (PARTITION BY call_id, speaker ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM t),
+        k AS (SELECT * FROM m WHERE final OR sequence IS NULL OR seen IS NULL OR sequence >= seen)
+        SELECT call_id, speaker, arrival, speaker || '-tw-' || CAST(1 + count(*) FILTER (WHERE final) OVER (PARTITION BY call_id, speaker ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS VARCHAR) AS id, text, final FROM k""",
+    "uid_chunks": "SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 20 AS chunk FROM events",
+    "loop_guard": """
+        WITH l AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0)
+        SELECT o_orderkey AS call_id, id AS line_id, CASE WHEN id IS NULL THEN 'no_line' WHEN o_orderkey % 4 < 2 OR o_orderkey % 7 = 0 THEN 'loop' ELSE 'accept' END AS decision
+        FROM orders LEFT JOIN l ON id = o_custkey AND o_orderkey % 11 <> 0""",
+    "model_breaker": """
+        WITH o AS (SELECT user_id, event_id, CASE WHEN event_type = 'view' THEN 'answered' WHEN event_type <> 'error' THEN 'failed' END AS outcome FROM events),
+        i AS (SELECT *, count(*) FILTER (WHERE outcome = 'answered') OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM o),
+        f AS (SELECT *, count(*) FILTER (WHERE outcome = 'failed') OVER (PARTITION BY user_id, island ORDER BY event_id) AS fails FROM i),
+        b AS (SELECT user_id, min(event_id) AS broken FROM f WHERE fails >= 3 GROUP BY user_id)
+        SELECT user_id, event_id, outcome, coalesce(event_id <= broken, true) AS allowed FROM o LEFT JOIN b USING (user_id)""",
+    "safety_ids": "SELECT c_custkey, sha256(c_name || '|' || CASE WHEN c_custkey % 5 <> 0 THEN coalesce(c_mktsegment, '') ELSE '' END) AS safety_id FROM customer",
+    "max_severity": "SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 'high' WHEN o_orderkey % 2 = 0 THEN 'medium' WHEN o_orderkey % 7 = 0 THEN 'info' END AS severity FROM orders",
     "calls_in_progress_first": """
         SELECT o_orderkey AS call_id, o_orderdate AS started_at, CASE WHEN o_orderstatus = 'O' THEN 'live' ELSE o_orderstatus END AS status
         FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500""",
