@@ -405,7 +405,8 @@ def analyse(messages: DataFrame, organisation: tuple[str, ...] = ()) -> DataFram
         lambda a, b: F.when(scoring.rank(a["severity"]) != scoring.rank(b["severity"]), scoring.rank(b["severity"]) - scoring.rank(a["severity"])).otherwise(F.signum(b["weight"] - a["weight"]).cast("int")),
     )
     both = parts.select("message_id", F.concat(ordered, "mitigation").alias("signals"))
-    return both.withColumn("score", F.round(scoring.heuristic_score(F.col("signals")), 6))
+    # nine places first, so that the noise of binary fractions does not decide ties
+    return both.withColumn("score", F.round(F.round(scoring.heuristic_score(F.col("signals")), 9), 6))
 
 
 def verdicts(analysed: DataFrame, answers: DataFrame) -> DataFrame:

@@ -356,3 +356,16 @@ ORACLE_SQL: dict[str, str] = {
         FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500""",
 }
 ORACLE_SQL["last_push"] = f"WITH x AS ({ORACLE_SQL['debounce_sends']}) SELECT account_key, max(sent_at) AS last_sent_at, count(*) AS n_sends FROM x GROUP BY account_key".replace("WITH x AS (\n        WITH RECURSIVE", "WITH RECURSIVE x AS (\n        WITH RECURSIVE")
+_MITIGATION = _signals("mitigation", (
+    ("brand_authenticated", "'info'", "0", "aligned AND brand IS NOT NULL AND NOT coalesce(free, false)"), ("dmarc_pass", "'info'", "0", "dmarc = 'pass'"), ("newsletter_headers", "'info'", "0", "is_list AND dkim = 'pass'"),
+), ", x AS (SELECT * FROM j)")
+_EVERY = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (_AUTH, _SENDER, _LINK, _CONTENT, ORACLE_SQL["attachment_signals"], _MITIGATION))
+ORACLE_SQL["mail_score"] = f"""
+    WITH {_JOINED}, every_signal AS ({_EVERY}),
+    ranked AS (SELECT *, list_position(['info', 'low', 'medium', 'high'], severity) AS r FROM every_signal),
+    rolled AS (SELECT message_id, count(*) AS n_signals, list(1 - weight ORDER BY r DESC, weight DESC) FILTER (WHERE weight > 0) AS spared, count(*) FILTER (WHERE signal = 'mitigation.brand_authenticated') AS known,
+                      count(*) FILTER (WHERE signal = 'mitigation.dmarc_pass') AS passed, count(*) FILTER (WHERE signal = 'mitigation.newsletter_headers') AS listed FROM ranked GROUP BY message_id),
+    scored AS (SELECT j.message_id, coalesce(n_signals, 0) AS n_signals, round(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - list_reduce(list_prepend(1.0::DOUBLE, coalesce(spared, [])), lambda a, b: a * b)
+                      - (coalesce(known, 0) * 0.25::DOUBLE + CASE WHEN coalesce(free, false) THEN 0 ELSE coalesce(passed, 0) * 0.08::DOUBLE END + coalesce(listed, 0) * 0.1::DOUBLE))), 9), 6) AS score
+               FROM j LEFT JOIN rolled USING (message_id))
+    SELECT message_id, score, {_LEVEL.format('score')} AS level, n_signals FROM scored"""

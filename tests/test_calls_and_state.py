@@ -125,3 +125,25 @@ def test_mailbox_scans(spark):
     assert [(r["email"], r["history_id"]) for r in mailboxes.pubsub(body).collect()] == [("a@b.c", 12), (None, None)]
     talk = spark.createDataFrame([("c", 1, "caller", "one two three four", 100), ("c", 2, "user", "hi", 50)], "call_id string, ord long, speaker string, text string, pause_ms long")
     assert sorted((r["at_ms"], r["text"], r["final"]) for r in mailboxes.scripted(talk).collect()) == [(100, "one two", False), (500, "one two three four", True), (550, "hi", True)]
+
+
+def test_late_partials_go_and_a_final_ends_the_id(spark):
+    events = [(1, "hel", False, 1), (2, "hello", False, 3), (3, "he", False, 2), (4, " hello you ", True, 2), (5, "so", False, None), (6, " ", True, 9), (7, None, True, 9)]
+    frame = spark.createDataFrame([("c", "caller", *e) for e in events], "call_id string, speaker string, arrival int, text string, final boolean, sequence int")
+    got = [(r["arrival"], r["id"], r["text"]) for r in transcripts.utterances(frame).orderBy("arrival").collect()]
+    assert got == [(1, "caller-tw-1", "hel"), (2, "caller-tw-1", "hello"), (4, "caller-tw-1", "hello you"), (5, "caller-tw-2", "so")]
+
+
+def test_three_failures_in_a_row_end_the_models_use(spark):
+    outcomes = ["failed", "failed", "answered", "failed", "skipped", None, "failed", "failed", "answered", "failed"]
+    frame = spark.createDataFrame([("s", i, o) for i, o in enumerate(outcomes)], "scan string, at int, outcome string")
+    got = [r["allowed"] for r in state.breaker(frame, "scan", "at").orderBy("at").collect()]
+    assert got == [True] * 8 + [False] * 2
+
+
+def test_calls_from_own_numbers_are_loops(spark):
+    lines = spark.createDataFrame([("l", "g", "p")], "line_id string, guard_number string, phone_number string")
+    rows = [("a", "p", "g", None), ("b", "g", "g", None), ("c", "x", "g", "p"), ("d", "x", "g", None), ("e", "x", "other", None), ("f", None, None, None), ("h", None, "g", None)]
+    frame = spark.createDataFrame(rows, "call_id string, from_number string, to_number string, forwarded_from string")
+    got = {r["call_id"]: r["decision"] for r in calls.admitted(frame, lines).collect()}
+    assert got == {"a": "loop", "b": "loop", "c": "loop", "d": "accept", "e": "no_line", "f": "no_line", "h": "accept"}
