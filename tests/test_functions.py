@@ -135,3 +135,21 @@ def test_links_of_both_bodies(spark):
     frame = spark.createDataFrame(rows, "anchors array<struct<href:string,anchor:string>>, body string")
     got = [[tuple(x) for x in r[0]] for r in frame.select(urls.message_links(F.col("anchors"), F.col("body"))).collect()]
     assert got[0] == [("http://a.example/", "A"), ("javascript:x", "c"), ("http://b.example", None)] and got[1] == [] and len(got[2]) == 50
+
+
+def test_brand_mentions_equal_one_pattern_for_each_brand():
+    import random
+    import re
+
+    from larkspur.functions import brands
+    from larkspur.functions import catalogs as cat
+
+    def named(words, t):
+        return re.search(r"(?<![^\W_])(?:" + "|".join(map(re.escape, words)) + r")(?![^\W_])", t) is not None
+
+    words = [n for _, names, _ in cat.BRANDS for n in names] + [q for qs in cat.QUALIFIED_MENTIONS.values() for q in qs] + ["x", "_", "7", "é"]
+    draw = random.Random(5)
+    for _ in range(200):
+        t = "".join(draw.choice(words) + draw.choice([" ", "", ".", "_", "-", "é"]) for _ in range(6)).lower()
+        want = [k for k, names, _ in cat.BRANDS if named(names, t) and (k not in cat.QUALIFIED_MENTIONS or named(cat.QUALIFIED_MENTIONS[k], t))]
+        assert brands._mentioned(t) == want, t
