@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, exact_dedup, fingerprints, line_dedup, minhash_dedup, packing, quality, suffix_dedup, url_filter, warc
+from larkspur.llm import bpe, collocations, exact_dedup, fill_middle, fingerprints, group_packing, line_dedup, minhash_dedup, packing, quality, suffix_dedup, url_filter, warc
 from larkspur.llm.workspace import bound_batches
 
 
@@ -77,6 +77,24 @@ def op10_radix_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls and texts without units stay plain; see ``fill_middle.transform``."""
+    rows = fill_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_pattern_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have no words, a null lang is ``und``; see ``collocations.mine``."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text is packed as its end token; see ``group_packing.pack``."""
+    rows = group_packing.pack(table(spark, sf_dir, "documents"), word_bpe())
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pattern_packing, op2_lz_fingerprint, op3_rank_array_bpe, op4_url_trees, op5_content_addressed_warc, op6_chosen_path_join,
-        op7_line_spread, op8_importance_resampling, op9_golomb_exchange, op10_radix_suffixes, pipeline,
+        op7_line_spread, op8_importance_resampling, op9_golomb_exchange, op10_radix_suffixes, op11_fill_middle, op12_pattern_growth,
+        op13_tournament_packing, pipeline,
     )
 }
 
@@ -116,4 +135,37 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(first_value(doc_id) OVER w AS BIGINT) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)""",
+    "op11_fill_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h FROM documents),
+        u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS unit,
+                     CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+                     CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+        c AS (SELECT *, len(unit) AS n, least(h1 % (len(unit) + 1), h2 % (len(unit) + 1)) AS p, greatest(h1 % (len(unit) + 1), h2 % (len(unit) + 1)) AS q,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                          WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        t AS (SELECT doc_id, n, form, text, array_to_string(unit[1:p], '') AS prefix, array_to_string(unit[p + 1:q], '') AS middle, array_to_string(unit[q + 1:], '') AS suffix FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM t""",
+    "op12_pattern_growth": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        o AS (SELECT lang, id, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM w),
+        g AS (SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3 FROM o WINDOW p AS (PARTITION BY id ORDER BY i)),
+        f AS (SELECT lang, 1 AS s, w1 AS phrase, count(*) AS f FROM g GROUP BY ALL
+              UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
+              UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE s = 1 GROUP BY lang),
+        c AS (SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE s >= 2 AND f >= 10),
+        k AS (SELECT c.*, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp FROM c, (VALUES (1), (2)) t(k) WHERE k < s),
+        x AS (SELECT k.*, l.f AS l, r.f AS r, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.f AS HUGEINT) * r.f) AS score
+              FROM k JOIN f l ON l.lang = k.lang AND l.phrase = lp JOIN f r ON r.lang = k.lang AND r.phrase = rp),
+        y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        i AS (SELECT lang, array_to_string(w[j:j + 1], ' ') AS phrase, max(a) AS longer FROM c, (VALUES (1), (2)) t(j) WHERE s = 3 GROUP BY ALL),
+        z AS (SELECT y.*, row_number() OVER (PARTITION BY y.lang ORDER BY score DESC, a DESC, y.phrase) AS rank
+              FROM y LEFT JOIN i ON i.lang = y.lang AND i.phrase = y.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+        SELECT z.lang, rank, phrase, a, l, r, n.n, CAST(score AS BIGINT) AS score FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000""",
 }
