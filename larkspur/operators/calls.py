@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import scoring, text
-from larkspur.functions.call_patterns import BULK_GIFT_CARDS, CALL_RULES, ERRAND, PROTECTIVE_ADVICE
+from larkspur.functions import call_matching, scoring, text
+from larkspur.functions.call_patterns import CALL_RULES
 
 USER_FACTOR = 0.5
 #: Rules that are about codes only: alone they mean phishing, with any other a scam.
@@ -17,54 +17,34 @@ CODE_RULES = ("call.otp_or_credentials", "call.user_sharing_sensitive")
 ALERT_MINIMUM = "medium"
 
 
-def _one_of(patterns) -> str:
-    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
-
-
 def short(rule_id: str) -> str:
     return rule_id.removeprefix("call.")
 
 
-def _matches(texts: DataFrame) -> DataFrame:
-    """Adds protective, and hits: for each rule in order whether its patterns match the line."""
-    line = F.col("line")
-    hits = []
-    for id_, _, _, _, _, _, _, patterns in CALL_RULES:
-        fires = line.rlike(_one_of(patterns))
-        hits.append(fires | _bulk_purchase(line) if short(id_) == "gift_cards" else fires)
-    return texts.withColumns({"protective": line.rlike(_one_of(PROTECTIVE_ADVICE)), "hits": F.array(*hits)})
-
-
 def line_flags(lines: DataFrame) -> DataFrame:
     """Adds a boolean column per rule: whether it fires on the line.
 
-    Patterns are matched on each distinct final line once, and what they found
-    is joined back; a line that is said in very many calls is a large key of
-    that join, which adaptive execution splits.  On a stream, lines are matched
-    as they come.
+    Lines are matched where they are, without a shuffle, in batches and on
+    streams alike; a line that is not final fires nothing, nor does a null one.
     """
-    said = lines.withColumn("line", text.normal_line(F.coalesce("text", F.lit(""))))
-    if lines.isStreaming:
-        out = _matches(said).withColumn("hits", F.when(F.col("line") != "", F.col("hits")))
-    else:
-        out = said.join(_matches(said.filter("final and line <> ''").select("line").distinct()), "line", "left")
+    line = text.normal_line(F.coalesce("text", F.lit("")))
+    out = lines.withColumn("_hits", call_matching.hits(F.when(F.col("final"), line)))
+    protective = _bit(call_matching.PROTECTIVE_BIT)
     flags = {}
     for i, (id_, _, _, _, guarded, _, user_only, _) in enumerate(CALL_RULES):
-        fires = F.get("hits", F.lit(i)) & F.col("final")
+        fires = _bit(i)
         if guarded:
-            fires = fires & ~F.col("protective")
+            fires = fires & ~protective
         if user_only:
             fires = fires & (F.col("speaker") == "user")
         flags[short(id_)] = F.coalesce(fires, F.lit(False))
     out = out.withColumns(flags)
     tiers = {short(id_): F.col(short(id_)) & ~F.col(short(by)) for id_, _, _, _, _, by, _, _ in CALL_RULES if by}
-    return out.withColumns(tiers).drop("protective", "hits")
+    return out.withColumns(tiers).drop("_hits")
 
 
-def _bulk_purchase(line: Column) -> Column:
-    """Several gift cards are bought in a sentence that names no errand."""
-    sentences = F.split(line, r"\.")
-    return F.exists(sentences, lambda s: s.rlike(_one_of(BULK_GIFT_CARDS)) & ~s.rlike(_one_of(ERRAND)))
+def _bit(i: int) -> Column:
+    return F.getbit("_hits", F.lit(i)) == 1
 
 
 def signals(lines: DataFrame) -> DataFrame:

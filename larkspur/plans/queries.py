@@ -236,7 +236,7 @@ def call_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def call_running_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = calls.running_verdicts(syn.lines(spark, sf_dir))
-    return out.select("call_id", "ord", F.round("score", 4).alias("score"), "level", "sequence")
+    return out.select("call_id", "ord", F.round(F.col("score") + 1e-9, 6).alias("score"), "level", "sequence")  # ties go up
 
 
 def call_alert_on_rise(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,14 +192,14 @@ _CONF = """CASE WHEN risk_score IS NULL THEN score ELSE greatest(
 _FUSED = f"{_BASE}, c AS (SELECT *, round(CASE WHEN capped THEN least({_CONF}, 0.45) ELSE {_CONF} END, 6)::DOUBLE AS confidence FROM b)"
 
 # which rules each synthetic call line fires, by hand
-_LINE_RULES = _table("line_rules", "text, rule, severity, full_weight, guarded", (
-    (syn.LINES[1], "call.gift_cards", "high", 0.7, True), (syn.LINES[2], "call.government_threat", "high", 0.65, False), (syn.LINES[3], "call.secrecy", "high", 0.55, False),
-    (syn.LINES[4], "call.secrecy", "high", 0.55, False), (syn.LINES[6], "call.safe_account", "high", 0.75, True), (syn.LINES[6], "call.urgency", "medium", 0.25, False),
-    (syn.LINES[7], "call.otp_or_credentials", "high", 0.65, True), (syn.LINES[8], "call.user_sharing_sensitive", "high", 0.8, False),
-    (syn.LINES[10], "call.remote_access", "high", 0.7, True), (syn.LINES[10], "call.tech_support", "high", 0.5, False), (syn.LINES[11], "call.gift_card_errand", "low", 0.15, True),
+_LINE_RULES = _table("line_rules", "k, rule, severity, full_weight, guarded", (
+    (1, "call.gift_cards", "high", 0.7, True), (2, "call.government_threat", "high", 0.65, False), (3, "call.secrecy", "high", 0.55, False),
+    (4, "call.secrecy", "high", 0.55, False), (6, "call.safe_account", "high", 0.75, True), (6, "call.urgency", "medium", 0.25, False),
+    (7, "call.otp_or_credentials", "high", 0.65, True), (8, "call.user_sharing_sensitive", "high", 0.8, False),
+    (10, "call.remote_access", "high", 0.7, True), (10, "call.tech_support", "high", 0.5, False), (11, "call.gift_card_errand", "low", 0.15, True),
 ))
 _CALLS = f"""l AS ({syn.lines_sql(spark=False)}), {_LINE_RULES},
-    fired AS (SELECT l.call_id, l.ord, l.speaker, r.rule, r.severity, r.full_weight FROM l JOIN line_rules r ON l.text = r.text
+    fired AS (SELECT l.call_id, l.ord, l.speaker, r.rule, r.severity, r.full_weight FROM l JOIN line_rules r ON l.k = r.k
               WHERE final AND (r.rule <> 'call.user_sharing_sensitive' OR speaker = 'user')),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY call_id, rule ORDER BY speaker = 'user', ord) AS k FROM fired),
     best AS (SELECT call_id, rule, severity, CASE WHEN speaker = 'user' AND rule <> 'call.user_sharing_sensitive' THEN round(full_weight * 0.5, 4) ELSE full_weight END::DOUBLE AS weight, speaker, ord FROM ranked WHERE k = 1)"""
@@ -273,7 +273,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH {_CALLS}, v AS (SELECT call_id, round(1 - product(1 - weight), 9) AS score, bool_and(rule IN ('call.otp_or_credentials', 'call.user_sharing_sensitive')) AS codes, count(*) AS n_signals FROM best GROUP BY call_id)
         SELECT call_id, round(score, 4) AS score, {_LEVEL.format('score')} AS level, CASE WHEN score < 0.3 THEN 'safe' WHEN codes THEN 'phishing' ELSE 'scam' END AS category, n_signals FROM v""",
     "call_running_verdict": f"""
-        WITH {_RUNNING} SELECT call_id, ord, round(s, 4) AS score, level, CAST(sum(changed::INT) OVER (PARTITION BY call_id ORDER BY ord) AS BIGINT) AS sequence FROM ch""",
+        WITH {_RUNNING} SELECT call_id, ord, round(s + 1e-9, 6) AS score, level, CAST(sum(changed::INT) OVER (PARTITION BY call_id ORDER BY ord) AS BIGINT) AS sequence FROM ch""",
     "call_alert_on_rise": f"""
         WITH {_RUNNING}, k AS (SELECT call_id, ord, level, CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 0 END AS r FROM lv),
         p AS (SELECT *, coalesce(max(r) OVER (PARTITION BY call_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)

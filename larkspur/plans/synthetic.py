@@ -141,10 +141,18 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_sql(spark: bool) -> str:
-    """Orders as call lines: a customer's orders are one call."""
-    k = "o_orderkey"
-    return f"SELECT CAST(o_custkey AS VARCHAR{'(20)' if spark else ''}) AS call_id, {k} AS ord, CASE WHEN {k} % 3 = 0 THEN 'user' ELSE 'caller' END AS speaker, {pick(LINES, f'(({k} * 7 + o_custkey) % 12)', spark)} AS text, {k} % 10 <> 0 AS final FROM orders"
+    """Call lines, no two alike: a customer's orders are a call, and so is a conversation; k is the place in ``LINES`` of what decides."""
+    k, kind = "o_orderkey", "VARCHAR(40)" if spark else "VARCHAR"
+    rows = (
+        f"SELECT 'o' || CAST(o_custkey AS {kind}) AS call_id, {k} AS ord, CASE WHEN {k} % 3 = 0 THEN 'user' ELSE 'caller' END AS speaker, ({k} * 7 + o_custkey) % 12 AS k, '' AS said, "
+        f"' ' || translate(CAST({k} AS {kind}), '0123456789', 'qwxzvjkpyh') AS more, {k} % 10 <> 0 AS final FROM orders "
+        f"UNION ALL SELECT 'v' || CAST(conv_id AS {kind}), CAST(turn AS BIGINT), CASE WHEN role = 'user' THEN 'user' ELSE 'caller' END, (conv_id * 7 + turn) % 12, coalesce(text, '') || ' ', '', turn % 7 <> 5 FROM conversations WHERE role <> 'system'"
+    )
+    return f"SELECT call_id, ord, speaker, k, said || {pick(LINES, 'k', spark)} || more AS text, final FROM ({rows})"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir, lines_sql(spark=True))
+    cores = spark.sparkContext.defaultParallelism  # small tables are one file each
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").repartition(cores, key) for t, key in (("orders", "o_orderkey"), ("conversations", "conv_id"))}
+    sql = lines_sql(spark=True).replace("{", "{{").replace("}", "}}")
+    return spark.sql(sql.replace("FROM orders", "FROM {orders}").replace("FROM conversations", "FROM {conversations}"), **tables).drop("k")

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import call_matching
+from larkspur.functions.call_patterns import BULK_GIFT_CARDS, CALL_RULES, ERRAND, PROTECTIVE_ADVICE
 from larkspur.operators import calls, debounce, state, transcripts
 from larkspur.plans import synthetic as syn
 from larkspur.sources import mailboxes
@@ -35,6 +37,47 @@ def test_gift_card_tiers(spark, line, rules):
     assert got == rules if rules is not None else "call.gift_cards" not in got
 
 
+def brute_hits(line):
+    """Every pattern tried."""
+    import regex
+
+    def found(patterns, text=line):
+        return any(regex.search(p, text, regex.ASCII | regex.IGNORECASE) for p in patterns)
+
+    out = sum(1 << i for i, r in enumerate(CALL_RULES) if found(r[7])) | found(PROTECTIVE_ADVICE) << call_matching.PROTECTIVE_BIT
+    return out | any(found(BULK_GIFT_CARDS, s) and not found(ERRAND, s) for s in line.split("."))
+
+
+def test_the_automaton_loses_no_match():
+    """Strings made from the patterns themselves, alone and inside other words, in either case."""
+    import random
+    import re
+    import warnings
+
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    rng, lines = random.Random(2), []
+    for pattern in [*PROTECTIVE_ADVICE, *BULK_GIFT_CARDS, *(p for r in CALL_RULES for p in r[7])]:
+        try:
+            made = re.compile(pattern, re.ASCII | re.IGNORECASE)
+        except re.error:
+            continue  # look-behinds of several lengths
+
+        @settings(max_examples=4, database=None, derandomize=True, deadline=None, suppress_health_check=list(HealthCheck))
+        @given(st.from_regex(made))
+        def collect(text):
+            lines.append(text)
+
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            collect()
+    lines += [f"so {x.upper()} and" for x in rng.sample(lines, 100)] + [f"{a} {b}" for a, b in zip(rng.sample(lines, 60), syn.LINES * 5, strict=True)] + list(syn.LINES)
+    hits = call_matching.matcher().hits
+    assert [x for x in lines if hits(x) != brute_hits(x)] == []
+    assert sum(map(bool, map(hits, lines))) > 150
+
+
 def test_user_lines_weigh_half_and_callers_win(spark):
     frame = spark.createDataFrame([("c", 1, "user", "There is a warrant", True), ("d", 1, "user", "There is a warrant", True), ("d", 2, "caller", "There is a warrant", True)], "call_id string, ord long, speaker string, text string, final boolean")
     got = {(r["call_id"], r["weight"], r["speaker"]) for r in calls.signals(frame).collect()}
@@ -59,7 +102,7 @@ def run_stream(spark, frame, schema, tmp_path, query, parts=4):
 
 
 def test_streamed_verdicts_are_the_batch_verdicts(spark, tmp_path):
-    lines = syn.lines(spark, DATA).filter("cast(call_id as int) < 25")
+    lines = syn.lines(spark, DATA).filter("cast(substr(call_id, 2) as int) < 25")
     batch = {tuple(r) for r in calls.running_verdicts(lines).filter("changed").select("call_id", "ord", F.round("score", 6), "level", "rules", "sequence").collect()}
     part = F.ntile(3).over(Window.orderBy("ord")) - 1
     got = run_stream(spark, lines.withColumn("part", part), lines.schema, tmp_path, score_stream, 3)
