@@ -98,9 +98,14 @@ def clear_tokens(devices: DataFrame, refused: DataFrame) -> DataFrame:
     return devices.join(gone, ["device_id", "apns_token"], "left").select(*[token if c == "apns_token" else F.col(c) for c in devices.columns])
 
 
-def duration_seconds(started_ms: Column, ended_ms: Column, now_ms: Column) -> Column:
-    """Whole seconds, halves up; a call that has not ended lasts until now."""
-    return F.floor((F.coalesce(ended_ms, now_ms) - started_ms) / 1000 + 0.5).cast("long")
+#: Statuses that end a call.
+ENDED_STATUSES = ("completed", "failed", "no_answer", "canceled")
+
+
+def duration_seconds(started_ms: Column, ended_ms: Column, now_ms: Column, status: Column) -> Column:
+    """Whole seconds, halves up, never below 0; a call in progress lasts until now, one that has ended without a time has no duration."""
+    end = F.coalesce(ended_ms, F.when(~F.coalesce(status.isin(*ENDED_STATUSES), F.lit(False)), now_ms))
+    return F.greatest(F.floor((end - started_ms) / 1000 + 0.5), F.when(end.isNotNull() & started_ms.isNotNull(), F.lit(0))).cast("long")
 
 
 def worth_keeping(alerted: Column, level: Column, minimum: str) -> Column:
@@ -109,9 +114,17 @@ def worth_keeping(alerted: Column, level: Column, minimum: str) -> Column:
 
 
 def active_then_stored(active: DataFrame, stored: DataFrame, most: int) -> DataFrame:
-    """Calls in progress and the stored ones that are none of them, latest first; the two have the same columns."""
-    both = active.unionByName(stored.join(active.select("call_id"), "call_id", "left_anti"))
-    return both.orderBy(F.desc("started_at"), "call_id").limit(most)
+    """Calls in progress first, then stored ones, each latest first, ``most`` in all; the two have the same columns.
+
+    A call id shows once: as in progress, or as its latest stored row.  Rows
+    of one id with equal starts are told apart by their other columns, so the
+    same one always stays.
+    """
+    both = active.withColumn("_live", F.lit(1)).unionByName(stored.withColumn("_live", F.lit(0)))
+    others = [c for c in active.columns if c not in ("call_id", "started_at")]
+    best = both.groupBy("call_id").agg(F.max(F.struct("_live", "started_at", *others)).alias("_b"))
+    first = best.select("call_id", F.col("_b.*")).orderBy(F.desc("_live"), F.desc("started_at"), "call_id").limit(most)
+    return first.select(*active.columns)
 
 
 def breaker(runs: DataFrame, scan: str, order: str, threshold: int = 3) -> DataFrame:

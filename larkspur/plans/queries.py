@@ -76,14 +76,20 @@ def clear_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     levels = F.array(*[F.lit(x) for x in scoring.LEVELS])
-    rows = table(spark, sf_dir, "orders").select(k.alias("call_id"), (k * 1000 + k % 977).alias("a"), F.when(k % 5 != 0, k * 1000 + (k * 7919) % 600_000).alias("b"), (k % 6 == 0).alias("alerted"), F.get(levels, (k % len(scoring.LEVELS)).cast("int")).alias("level"))
+    status = F.when(k % 7 < 3, "completed").when(k % 7 == 3, "no_answer").when(k % 7 == 4, "ringing").when(k % 7 == 5, "in_progress")
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("call_id"), (k * 1000 + k % 977).alias("a"), F.when(k % 5 != 0, k * 1000 + (k * 7919) % 600_000 - 100_000).alias("b"), status.alias("status"), (k % 6 == 0).alias("alerted"),
+        F.get(levels, (k % len(scoring.LEVELS)).cast("int")).alias("level"),
+    )
     kept = rows.filter(state.worth_keeping(F.col("alerted"), F.col("level"), "medium"))
-    return kept.select("call_id", "level", state.duration_seconds(F.col("a"), F.col("b"), F.col("a") + 61_500).alias("seconds"))
+    return kept.select("call_id", "level", "status", state.duration_seconds(F.col("a"), F.col("b"), F.col("a") + 61_500, F.col("status")).alias("seconds"))
 
 
 def calls_in_progress_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), F.col("o_orderdate").alias("started_at"), F.col("o_orderstatus").alias("status"))
-    return state.active_then_stored(rows.filter("status = 'O'").withColumn("status", F.lit("live")), rows, 500)
+    """A sixtieth of the calls are in progress, old ones too; a third of the stored calls have an older row beside their last."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), F.col("o_orderdate").cast("date").alias("started_at"), F.col("o_orderstatus").alias("status"))
+    older = rows.filter("call_id % 3 = 0").withColumn("started_at", F.date_sub("started_at", 10))
+    return state.active_then_stored(rows.filter("call_id % 60 = 0").withColumn("status", F.lit("live")), rows.unionByName(older), 500)
 
 
 def late_partials(spark: SparkSession, sf_dir: str) -> DataFrame:

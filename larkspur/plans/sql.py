@@ -331,8 +331,11 @@ ORACLE_SQL: dict[str, str] = {
         WITH r AS (SELECT DISTINCT o_custkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS token FROM orders WHERE o_orderpriority = '1-URGENT')
         SELECT c_custkey AS device_id, CASE WHEN id IS NULL THEN c_mktsegment END AS apns_token, c_nationkey AS nation FROM customer LEFT JOIN r ON id = c_custkey AND token = c_mktsegment""",
     "kept_calls": """
-        WITH c AS (SELECT o_orderkey AS k, k * 1000 + k % 977 AS a, CASE WHEN k % 5 <> 0 THEN k * 1000 + (k * 7919) % 600000 END AS b FROM orders)
-        SELECT k AS call_id, ['safe', 'low', 'medium', 'high'][k % 4 + 1] AS level, CAST(floor((coalesce(b, a + 61500) - a) / 1000.0 + 0.5) AS BIGINT) AS seconds FROM c WHERE k % 6 = 0 OR k % 4 >= 2""",
+        WITH c AS (SELECT o_orderkey AS k, k * 1000 + k % 977 AS a, CASE WHEN k % 5 <> 0 THEN k * 1000 + (k * 7919) % 600000 - 100000 END AS b,
+                          CASE WHEN k % 7 < 3 THEN 'completed' WHEN k % 7 = 3 THEN 'no_answer' WHEN k % 7 = 4 THEN 'ringing' WHEN k % 7 = 5 THEN 'in_progress' END AS status FROM orders)
+        SELECT k AS call_id, ['safe', 'low', 'medium', 'high'][k % 4 + 1] AS level, status,
+               CASE WHEN b IS NOT NULL THEN greatest(0, CAST(floor((b - a) / 1000.0 + 0.5) AS BIGINT)) WHEN k % 7 >= 4 THEN 62 END AS seconds
+        FROM c WHERE k % 6 = 0 OR k % 4 >= 2""",
     "late_partials": """
         WITH t AS (SELECT o_custkey AS call_id, CASE WHEN o_orderkey % 3 = 0 THEN 'user' ELSE 'caller' END AS speaker, o_orderkey AS arrival, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey * 7 % 50 END AS sequence, o_orderkey % 4 = 0 AS final, trim(o_orderpriority) AS text FROM orders),
         m AS (SELECT *, max(sequence) OVER (PARTITION BY call_id, speaker ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM t),
@@ -352,8 +355,10 @@ ORACLE_SQL: dict[str, str] = {
     "safety_ids": "SELECT c_custkey, sha256(c_name || '|' || CASE WHEN c_custkey % 5 <> 0 THEN coalesce(c_mktsegment, '') ELSE '' END) AS safety_id FROM customer",
     "max_severity": "SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 'high' WHEN o_orderkey % 2 = 0 THEN 'medium' WHEN o_orderkey % 7 = 0 THEN 'info' END AS severity FROM orders",
     "calls_in_progress_first": """
-        SELECT o_orderkey AS call_id, o_orderdate AS started_at, CASE WHEN o_orderstatus = 'O' THEN 'live' ELSE o_orderstatus END AS status
-        FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500""",
+        WITH live AS (SELECT o_orderkey AS call_id, CAST(o_orderdate AS DATE) AS started_at, 'live' AS status FROM orders WHERE o_orderkey % 60 = 0),
+        rest AS (SELECT o_orderkey AS call_id, CAST(o_orderdate AS DATE) AS started_at, o_orderstatus AS status FROM orders WHERE o_orderkey % 60 <> 0),
+        listed AS (SELECT 1 AS part, * FROM live UNION ALL SELECT 2, * FROM rest)
+        SELECT call_id, started_at, status FROM listed ORDER BY part, started_at DESC, call_id LIMIT 500""",
 }
 ORACLE_SQL["last_push"] = f"WITH x AS ({ORACLE_SQL['debounce_sends']}) SELECT account_key, max(sent_at) AS last_sent_at, count(*) AS n_sends FROM x GROUP BY account_key".replace("WITH x AS (\n        WITH RECURSIVE", "WITH RECURSIVE x AS (\n        WITH RECURSIVE")
 _MITIGATION = _signals("mitigation", (

@@ -190,3 +190,20 @@ def test_calls_from_own_numbers_are_loops(spark):
     frame = spark.createDataFrame(rows, "call_id string, from_number string, to_number string, forwarded_from string")
     got = {r["call_id"]: r["decision"] for r in calls.admitted(frame, lines).collect()}
     assert got == {"a": "loop", "b": "loop", "c": "loop", "d": "accept", "e": "no_line", "f": "no_line", "h": "accept"}
+
+
+def test_old_live_calls_stand_before_newer_stored_ones(spark):
+    kind = "call_id string, started_at int, status string"
+    active = spark.createDataFrame([("live", 1, "live"), ("younger", 3, "live")], kind)
+    stored = spark.createDataFrame([("a", 4, "x"), ("b", 5, "x"), ("a", 2, "x"), ("live", 1, "x"), ("live", 9, "x")], kind)
+    for most, want in ((2, ["younger", "live"]), (3, ["younger", "live", "b"]), (9, ["younger", "live", "b", "a"])):
+        got = [tuple(r) for r in state.active_then_stored(active, stored, most).collect()]
+        assert [r[0] for r in got] == want
+    assert got[3] == ("a", 4, "x") and got[1] == ("live", 1, "live")
+
+
+def test_durations(spark):
+    rows = [(5000, 1000, "completed"), (1000, None, "completed"), (1000, None, "in_progress"), (1000, 2499, "failed"), (1000, 2500, None), (1000, None, None), (None, 5, "failed"), (9000, None, "ringing")]
+    frame = spark.createDataFrame(rows, "a long, b long, status string")
+    got = [r[0] for r in frame.select(state.duration_seconds(F.col("a"), F.col("b"), F.lit(7000), F.col("status"))).collect()]
+    assert got == [0, None, 6, 1, 2, 6, None, 0]
