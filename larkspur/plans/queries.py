@@ -9,7 +9,7 @@ from larkspur.functions import brands, lexicon, scoring, text, urls
 from larkspur.functions import catalogs as cat
 from larkspur.functions.html import links_of as html_links_of
 from larkspur.functions.html import plain_text
-from larkspur.operators import calls, debounce, mail, state, transcripts
+from larkspur.operators import calls, debounce, mail, sessions, state, transcripts
 from larkspur.plans import synthetic as syn
 from larkspur.plans.sql import ORACLE_SQL  # noqa: F401
 
@@ -249,6 +249,12 @@ def call_alert_on_rise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.alerts(calls.running_verdicts(syn.lines(spark, sf_dir)))
 
 
+def call_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a hundred events; a window of four segments makes verdicts fall."""
+    out = sessions.session_log(syn.session_events(spark, sf_dir), window=4, retain_ms=60_000)
+    return out.withColumn("score", F.round(F.col("score") + 1e-9, 6))
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").filter("role <> 'system'")
     return rows.select(F.col("conv_id").alias("call_id"), F.col("turn").alias("ord"), F.when(F.col("role") == "user", "user").otherwise("caller").alias("speaker"), "text")
@@ -356,7 +362,7 @@ QUERIES = {
     for f in (
         url_host_features, link_risk_score, host_rollup, html_links, html_link_table, html_plain_text, phone_probe, digit_mask, caps_ratio, token_estimate, email_domain_class,
         lexicon_hits, auth_signals, sender_signals, attachment_signals, link_signals, content_signals, mail_score, fused_verdict, reason_rank, ensemble_combine, model_json_parse,
-        homoglyph_typosquat, call_signals, call_verdicts, call_running_verdict, call_alert_on_rise, transcript_render, last_n_segments, catch_up, dedupe_processed,
+        homoglyph_typosquat, call_signals, call_verdicts, call_running_verdict, call_alert_on_rise, call_sessions, transcript_render, last_n_segments, catch_up, dedupe_processed,
         retention_prune, upsert_latest, push_targets_join, account_key, debounce_sends, last_push, eval_confusion, day_sections, unread_count, org_domains, calls_page,
         size_budget, incremental_scan, text_urls, clear_tokens, kept_calls, calls_in_progress_first,
         late_partials, uid_chunks, loop_guard, model_breaker, safety_ids, max_severity,

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from larkspur.functions import catalogs as cat
+from larkspur.functions.call_patterns import CALL_RULES
 from larkspur.plans import synthetic as syn
 
 _HOST = r"lower(regexp_extract(url, '^[^:]*://([^/?#@]*@)?([^/?#:]*)', 2))"
@@ -278,6 +279,36 @@ ORACLE_SQL: dict[str, str] = {
         WITH {_RUNNING}, k AS (SELECT call_id, ord, level, CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 0 END AS r FROM lv),
         p AS (SELECT *, coalesce(max(r) OVER (PARTITION BY call_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
         SELECT call_id, ord, level FROM p WHERE r > before""",
+    "call_sessions": f"""
+        WITH e AS ({syn.session_events_sql(spark=False)}), {_LINE_RULES},
+        m AS (SELECT *, coalesce(bool_or(kind = 'created') OVER (PARTITION BY call_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS made FROM e),
+        a AS (SELECT *, min(CASE WHEN status = 'completed' THEN n END) OVER (PARTITION BY call_id) AS last FROM m WHERE (kind = 'created') <> made),
+        b AS (SELECT a.*, max(CASE WHEN n = last THEN a."at" END) OVER (PARTITION BY call_id) AS ended_at FROM a),
+        life AS (SELECT * FROM b WHERE last IS NULL OR n <= last OR (kind = 'verdict' AND b."at" <= ended_at + INTERVAL 60 SECOND)),
+        sp AS (SELECT *, max(sequence) OVER (PARTITION BY call_id, speaker ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM life WHERE kind = 'segment' AND trim(text) <> ''),
+        st AS (SELECT *, count(*) FILTER (WHERE final) OVER w - final::INT + 1 AS number, coalesce(lag(final) OVER w, true) AS fresh FROM sp
+               WHERE final OR sequence IS NULL OR seen IS NULL OR sequence >= seen WINDOW w AS (PARTITION BY call_id, speaker ORDER BY n)),
+        rk AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY call_id ORDER BY n) AS newest FROM st),
+        seg AS (SELECT * FROM (SELECT *, max(newest) FILTER (WHERE fresh) OVER (PARTITION BY call_id, speaker ORDER BY n) AS rank FROM rk) WHERE rank > newest - 4),
+        hit AS (SELECT s.call_id, s.n, s.rank, s.speaker, r.rule, r.severity, r.full_weight, rule = 'call.user_sharing_sensitive' AS users FROM seg s JOIN line_rules r ON s.k = r.k
+                WHERE final AND (r.rule <> 'call.user_sharing_sensitive' OR speaker = 'user')),
+        now AS (SELECT f.call_id, f.n, h.rule, any_value(h.severity) AS severity, max(CASE WHEN h.speaker = 'caller' OR users THEN full_weight ELSE round(full_weight * 0.5, 4) END)::DOUBLE AS w
+                FROM seg f JOIN hit h ON f.call_id = h.call_id AND h.n <= f.n AND h.rank > f.newest - 4 WHERE f.final GROUP BY f.call_id, f.n, h.rule),
+        sums AS (SELECT f.call_id, f.n, round(coalesce(1 - product(1 - w), 0), 9) AS score,
+                        coalesce(string_agg(rule, ',' ORDER BY list_position(['high', 'medium', 'low'], severity), w DESC, list_position([{', '.join(f"'{r[0]}'" for r in CALL_RULES)}], rule)), '') AS rules
+                 FROM seg f LEFT JOIN now USING (call_id, n) WHERE f.final GROUP BY f.call_id, f.n),
+        lv AS (SELECT *, {_LEVEL.format('score')} AS level FROM sums),
+        ch AS (SELECT *, (level, round(score + 1e-9, 2), rules) IS DISTINCT FROM lag((level, round(score + 1e-9, 2), rules)) OVER (PARTITION BY call_id ORDER BY n) AS changed FROM lv),
+        v0 AS (SELECT call_id, n, score, level, rules, false AS over FROM ch WHERE changed
+               UNION ALL SELECT call_id, n, score, {_LEVEL.format('score')}, NULL, coalesce(n > last, false) FROM life WHERE kind = 'verdict'),
+        v1 AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY n) AS sequence, CASE WHEN over OR level NOT IN ('medium', 'high') THEN 0 WHEN level = 'high' THEN 3 ELSE 2 END AS due FROM v0),
+        v AS (SELECT *, coalesce(max(due) OVER (PARTITION BY call_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v1),
+        tu AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY call_id ORDER BY n), 'ringing') AS was FROM life WHERE kind = 'status')
+        SELECT call_id, n, 'created' AS kind, NULL::VARCHAR AS id, 'ringing' AS status, NULL::DOUBLE AS score, NULL::VARCHAR AS level, NULL::VARCHAR AS rules, NULL::BIGINT AS sequence FROM life WHERE kind = 'created'
+        UNION ALL SELECT call_id, n, 'segment', speaker || '-tw-' || number, NULL, NULL, NULL, NULL, NULL FROM seg
+        UNION ALL SELECT call_id, n, 'verdict', NULL, NULL, round(score + 1e-9, 6), level, rules, sequence FROM v
+        UNION ALL SELECT call_id, n, 'alert', NULL, NULL, round(score + 1e-9, 6), level, NULL, sequence FROM v WHERE due > before
+        UNION ALL SELECT call_id, n, CASE WHEN status = 'completed' THEN 'ended' ELSE 'status' END, NULL, status, NULL, NULL, NULL, NULL FROM tu WHERE status = 'completed' OR status <> was""",
     "transcript_render": f"""
         WITH {_SEG}, t AS (SELECT call_id, ord, CASE WHEN speaker = 'caller' THEN 'Caller' ELSE 'You' END AS label, trim(text) AS text FROM seg WHERE trim(text) <> ''),
         g AS (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY call_id ORDER BY ord) THEN 0 ELSE 1 END AS new FROM t),

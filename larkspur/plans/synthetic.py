@@ -156,3 +156,26 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").repartition(cores, key) for t, key in (("orders", "o_orderkey"), ("conversations", "conv_id"))}
     sql = lines_sql(spark=True).replace("{", "{{").replace("}", "}}")
     return spark.sql(sql.replace("FROM orders", "FROM {orders}").replace("FROM conversations", "FROM {conversations}"), **tables).drop("k")
+
+
+STATUSES = ("connecting", "in_progress", "in_progress", "ringing", "connecting", "in_progress", "ringing", "connecting", "in_progress", "connecting", "in_progress", "completed")
+
+
+def session_events_sql(spark: bool) -> str:
+    """The orders of ten customers as the events of a call, a hundred or so; k is the place of a segment's line in ``LINES``."""
+    k, kind = "o_orderkey", "VARCHAR(40)" if spark else "VARCHAR"
+    at = "timestamp_millis({})" if spark else "make_timestamp({} * 1000)"
+    said = f"({k} * 7 + o_custkey) % 12"
+    return (
+        f"SELECT 's' || CAST(o_custkey {'DIV' if spark else '//'} 10 AS {kind}) AS call_id, {k} AS n, {at.format(f'1700000000000 + {k} * 100')} AS at, {said} AS k, "
+        f"CASE WHEN {k} % 8 = 0 THEN 'created' WHEN {k} % 8 <= 5 THEN 'segment' WHEN {k} % 8 = 6 THEN 'status' ELSE 'verdict' END AS kind, "
+        f"CASE WHEN {k} % 8 BETWEEN 1 AND 5 THEN CASE WHEN {k} % 3 = 0 THEN 'user' ELSE 'caller' END END AS speaker, "
+        f"CASE WHEN {k} % 8 BETWEEN 1 AND 5 THEN CASE WHEN {k} % 17 = 0 THEN '  ' ELSE {pick(LINES, said, spark)} END END AS text, "
+        f"{k} % 5 <> 0 AS final, CASE WHEN {k} % 13 <> 0 THEN {k} * 7 % 50 END AS sequence, "
+        f"CASE WHEN {k} % 8 = 6 THEN {pick(STATUSES, f'({k} {"DIV" if spark else "//"} 8 % 12)', spark)} END AS status, "
+        f"CASE WHEN {k} % 8 = 7 THEN {k} % 101 / 100.0{'D' if spark else '::DOUBLE'} END AS score FROM orders"
+    )
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir, session_events_sql(spark=True)).drop("k")
