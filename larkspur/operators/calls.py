@@ -16,6 +16,12 @@ USER_FACTOR = 0.5
 CODE_RULES = ("call.otp_or_credentials", "call.user_sharing_sensitive")
 ALERT_MINIMUM = "medium"
 
+# fixed values
+SHARED = "You said: something that sounds like a card number, a code or a password was read out."
+NOTHING_FOUND = "No signs of a scam so far."
+LIKE_PHISHING = "like an attempt to get your codes or passwords"
+LIKE_SCAM = "like a scam"
+
 
 def short(rule_id: str) -> str:
     return rule_id.removeprefix("call.")
@@ -57,10 +63,39 @@ def signals(lines: DataFrame) -> DataFrame:
     names = [short(r[0]) for r in CALL_RULES]
     fired = F.array_compact(F.array(*[F.when(F.col(n), F.lit(i)) for i, n in enumerate(names)]))
     best = flags.select("call_id", "ord", "speaker", F.explode(fired).alias("i")).groupBy("call_id", "i").agg(F.min(F.struct((F.col("speaker") == "user").alias("user"), "ord")).alias("b"))
-    table = F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.lit(r[2]).alias("severity"), F.lit(r[3]).alias("weight"), F.lit(r[6]).alias("users")) for r in CALL_RULES])
+    return _catalogued(best, "severity").select("call_id", "rule", "severity", "weight", "speaker", "ord")
+
+
+def _catalogued(best: DataFrame, *columns: str) -> DataFrame:
+    """Adds rule, weight, speaker, ord and columns of the catalogue to rows (call_id, i, b with user and ord)."""
+    table = F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("title"), F.lit(r[2]).alias("severity"), F.lit(r[3]).alias("weight"), F.lit(r[6]).alias("users")) for r in CALL_RULES])
     rows = best.withColumn("r", F.element_at(table, F.col("i") + 1))
     weight = F.when(F.col("b.user") & ~F.col("r.users"), F.round(F.col("r.weight") * USER_FACTOR, 4)).otherwise(F.col("r.weight"))
-    return rows.select("call_id", F.col("r.rule").alias("rule"), F.col("r.severity").alias("severity"), weight.alias("weight"), F.when(F.col("b.user"), "user").otherwise("caller").alias("speaker"), F.col("b.ord").alias("ord"))
+    return rows.select("call_id", "b", "b.ord", F.col("r.rule").alias("rule"), weight.alias("weight"), F.when(F.col("b.user"), "user").otherwise("caller").alias("speaker"), *[F.col(f"r.{c}").alias(c) for c in columns])
+
+
+def evidence(lines: DataFrame) -> DataFrame:
+    """``signals`` with title and detail: who said it, and a quote around the first match with its digits masked."""
+    flags = line_flags(lines)
+    numbers = F.array_compact(F.array(*[F.when(F.col(short(r[0])), F.lit(i)) for i, r in enumerate(CALL_RULES)]))
+    said = flags.select("call_id", "ord", "speaker", numbers.alias("fired"), text.normal_line(F.coalesce("text", F.lit(""))).alias("line")).filter(F.size("fired") > 0)
+    rows = said.select("call_id", "ord", "speaker", "fired", F.explode(call_matching.evidence(F.col("line"))).alias("e")).filter(F.array_contains("fired", F.col("e.rule")))
+    who = F.when(F.col("speaker") == "caller", "Caller said: “").otherwise("You said: “")
+    fixed = F.when(F.col("e.rule").isin([i for i, r in enumerate(CALL_RULES) if r[6]]), SHARED)
+    detail = F.coalesce(fixed, F.concat(who, text.truncate(text.mask_digits(F.col("e.quote")), call_matching.QUOTE + 2), F.lit("”")))
+    best = rows.groupBy("call_id", F.col("e.rule").alias("i")).agg(F.min(F.struct((F.col("speaker") == "user").alias("user"), "ord", detail.alias("detail"))).alias("b"))
+    return _catalogued(best, "title", "severity").withColumn("detail", F.col("b.detail")).select("call_id", "rule", "title", "severity", "weight", "speaker", "ord", "detail")
+
+
+def summaries(found: DataFrame) -> DataFrame:
+    """found: ``evidence``.  call_id and a sentence: the category of each call, and its two severest and heaviest signals by title."""
+    place = F.array_position(F.array(*[F.lit(r[0]) for r in CALL_RULES]), F.col("rule"))
+    order = F.struct((-scoring.rank(F.col("severity"))).alias("s"), (-F.col("weight")).alias("w"), place.alias("i"), F.col("title").alias("title"))
+    calls = found.groupBy("call_id").agg(F.round(scoring.noisy_or_agg(F.col("weight")), 9).alias("score"), F.bool_and(F.col("rule").isin(list(CODE_RULES))).alias("codes"), F.array_sort(F.collect_list(order)).alias("by"))
+    titles = F.array_join(F.transform(F.slice("by", 1, 2), lambda x: x["title"]), "; ")
+    level = scoring.level(F.col("score"))
+    like = F.when(F.col("codes"), LIKE_PHISHING).otherwise(LIKE_SCAM)
+    return calls.select("call_id", level.alias("level"), F.when(level == "safe", NOTHING_FOUND).otherwise(F.concat(F.lit("This call looks "), like, F.lit(": "), titles, F.lit("."))).alias("summary"))
 
 
 def verdicts(lines: DataFrame) -> DataFrame:

@@ -61,3 +61,17 @@ def chunks(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """Adds ``chunk``, from 0: each n rows of a key in order."""
     at = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return rows.withColumn("chunk", F.floor((at - 1) / n))
+
+
+def with_latest(rows: DataFrame, states: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """``rows`` with the columns of the latest of ``states`` at or before each, null where there is none.
+
+    Both have ``key`` and ``order``.  One sort of their union per key; no range
+    join, so a key with many of both costs no product.  Of states at one place
+    the greatest counts; null keys are a key of their own.
+    """
+    both = rows.withColumns({"_of": F.lit(1), "_s": F.lit(None)}).withColumn("_s", F.col("_s").cast(states.select(F.struct(*columns).alias("s")).schema["s"].dataType))
+    both = both.unionByName(states.select(key, order, F.lit(0).alias("_of"), F.struct(*columns).alias("_s")), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(order, "_of", "_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("_last", F.last("_s", ignorenulls=True).over(w)).filter("_of = 1")
+    return out.select(*rows.columns, *[F.col(f"_last.{c}").alias(c) for c in columns])

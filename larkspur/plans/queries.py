@@ -9,7 +9,7 @@ from larkspur.functions import brands, lexicon, scoring, text, urls
 from larkspur.functions import catalogs as cat
 from larkspur.functions.html import links_of as html_links_of
 from larkspur.functions.html import plain_text
-from larkspur.operators import calls, debounce, mail, sessions, state, transcripts
+from larkspur.operators import calls, debounce, evaluation, mail, scans, sessions, state, transcripts
 from larkspur.plans import synthetic as syn
 from larkspur.plans.sql import ORACLE_SQL  # noqa: F401
 
@@ -240,6 +240,14 @@ def call_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.verdicts(syn.lines(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
+def call_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls.evidence(syn.lines(spark, sf_dir))
+
+
+def call_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls.summaries(calls.evidence(syn.lines(spark, sf_dir)))
+
+
 def call_running_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = calls.running_verdicts(syn.lines(spark, sf_dir))
     return out.select("call_id", "ord", F.round(F.col("score") + 1e-9, 6).alias("score"), "level", "sequence")  # ties go up
@@ -255,6 +263,30 @@ def call_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
+def segment_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last twenty segments of each session, each with the verdict that stood when it came."""
+    log = sessions.session_log(syn.session_events(spark, sf_dir), window=4, retain_ms=60_000)
+    newest = transcripts.newest(log.filter("kind = 'segment'").select("call_id", "n", "id"), "call_id", "n", 20)
+    return transcripts.with_latest(newest, log.filter("kind = 'verdict'").select("call_id", "n", "level", "sequence"), "call_id", "n", ["level", "sequence"])
+
+
+def follow_up_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, e = F.col("user_id"), F.col("event_id")
+    accounts = F.when(e % 41 == 0, F.lit(None)).when(e % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.array(u.cast("bigint"), (e % 7).cast("bigint")))
+    out = scans.merged_scopes(table(spark, sf_dir, "events").select((u % 89).alias("scan_id"), accounts.alias("accounts")), "scan_id")
+    return out.select("scan_id", "every", F.array_join(F.transform("accounts", lambda a: a.cast("string")), ",").alias("accounts"))
+
+
+def cursor_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each account fetches five messages behind its cursor; a thirteenth of the messages fail."""
+    from larkspur.sources.mailboxes import uid_scan
+
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("account_id"), F.col("event_id").alias("uid"))
+    fetched = uid_scan(rows, F.lit(100), 5).select("account_id", F.col("uid").alias("message_id"), F.col("next_uid").alias("next_cursor"))
+    cursors = rows.filter("uid % 3 <> 0").select("account_id", F.lit(100).cast("long").alias("cursor")).distinct()
+    return scans.advanced_cursors(cursors, fetched, rows.filter("uid % 13 <> 0").select("account_id", F.col("uid").alias("message_id")))
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").filter("role <> 'system'")
     return rows.select(F.col("conv_id").alias("call_id"), F.col("turn").alias("ord"), F.when(F.col("role") == "user", "user").otherwise("caller").alias("speaker"), "text")
@@ -313,13 +345,23 @@ def last_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debounce_sends(spark, sf_dir).groupBy("account_key").agg(F.max("sent_at").alias("last_sent_at"), F.count("*").alias("n_sends"))
 
 
-def eval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+def _risk_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with a score of contact data and shouting; bad or toxic ones are the positive class."""
     t = F.coalesce("text", F.lit(""))
-    marks = F.regexp_count(t, F.lit("[!#$%&*|]"))
-    flagged = docs.select("doc_id", (marks * 20 > F.length(t)).alias("flagged"))
-    rows = table(spark, sf_dir, "labels").join(flagged, "doc_id")
-    return rows.groupBy("quality").agg(F.count_if("flagged").alias("n_flagged"), F.count_if(~F.col("flagged")).alias("n_passed"))
+    letters, upper = F.regexp_count(t, F.lit("[A-Za-z]")), F.regexp_count(t, F.lit("[A-Z]"))
+    phone, address = text.first_match(t, text.PHONE).isNotNull(), t.rlike(text.ADDRESS)
+    parts = ((phone, 0.4), (address, 0.2), (text.shouts(t), 0.25), (upper * 10 > letters, 0.1))
+    score = F.round(sum((F.when(c, w).otherwise(0.0) for c, w in parts), F.lit(0.0)), 6)
+    docs = table(spark, sf_dir, "documents").select("doc_id", score.alias("score"))
+    return table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("positive")).join(docs, "doc_id")
+
+
+def eval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.bounds(_risk_of_documents(spark, sf_dir), 0.3)
+
+
+def eval_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.sweep(_risk_of_documents(spark, sf_dir))
 
 
 def day_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +404,7 @@ QUERIES = {
     for f in (
         url_host_features, link_risk_score, host_rollup, html_links, html_link_table, html_plain_text, phone_probe, digit_mask, caps_ratio, token_estimate, email_domain_class,
         lexicon_hits, auth_signals, sender_signals, attachment_signals, link_signals, content_signals, mail_score, fused_verdict, reason_rank, ensemble_combine, model_json_parse,
-        homoglyph_typosquat, call_signals, call_verdicts, call_running_verdict, call_alert_on_rise, call_sessions, transcript_render, last_n_segments, catch_up, dedupe_processed,
+        homoglyph_typosquat, call_signals, call_verdicts, call_running_verdict, call_alert_on_rise, call_sessions, call_evidence, call_summaries, segment_verdicts, follow_up_scopes, cursor_commit, eval_sweep, transcript_render, last_n_segments, catch_up, dedupe_processed,
         retention_prune, upsert_latest, push_targets_join, account_key, debounce_sends, last_push, eval_confusion, day_sections, unread_count, org_domains, calls_page,
         size_budget, incremental_scan, text_urls, clear_tokens, kept_calls, calls_in_progress_first,
         late_partials, uid_chunks, loop_guard, model_breaker, safety_ids, max_severity,

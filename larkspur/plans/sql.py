@@ -210,8 +210,35 @@ _RUNNING = f"""{_CALLS}, f AS (SELECT call_id, ord FROM l WHERE final),
     st AS (SELECT f.call_id, f.ord, coalesce(1 - product(1 - w), 0) AS s, coalesce(string_agg(rule || w::VARCHAR, ',' ORDER BY rule), '') AS rules FROM f LEFT JOIN sofar USING (call_id, ord) GROUP BY ALL),
     lv AS (SELECT *, {_LEVEL.format('round(s, 9)')} AS level FROM st),
     ch AS (SELECT *, (level, round(s, 2), rules) IS DISTINCT FROM lag((level, round(s, 2), rules)) OVER (PARTITION BY call_id ORDER BY ord) AS changed FROM lv)"""
+# where the first match of a rule begins in a synthetic line, and its length, by hand
+_SPOTS = _table("spots", "k, rule, title, severity, full_weight, place, off, len", [(k, rule, *next((r[1], r[2], r[3], i) for i, r in enumerate(CALL_RULES) if r[0] == rule), off, n) for k, rule, off, n in (
+    (1, "call.gift_cards", 4, 64), (2, "call.government_threat", 9, 9), (3, "call.secrecy", 0, 18), (4, "call.secrecy", 7, 16), (6, "call.safe_account", 0, 15), (6, "call.urgency", 34, 9),
+    (7, "call.otp_or_credentials", 4, 17), (8, "call.user_sharing_sensitive", 0, 14), (10, "call.remote_access", 61, 7), (10, "call.tech_support", 0, 31), (11, "call.gift_card_errand", 0, 19),
+)])
+_EVIDENCE = f"""l AS ({syn.lines_sql(spark=False)}), {_SPOTS}, says AS (SELECT k0, said0 FROM (VALUES {', '.join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(syn.LINES))}) t(k0, said0)),
+    f0 AS (SELECT l.call_id, l.ord, l.speaker, s.*, said0, trim(regexp_replace(regexp_replace(translate(l.text, '‘’ʼ“”–—', '""--'), '\\p{{Cc}}', ' ', 'g'), '\\s+', ' ', 'g')) AS line
+           FROM l JOIN spots s ON l.k = s.k JOIN says ON k0 = l.k WHERE final AND (s.rule <> 'call.user_sharing_sensitive' OR l.speaker = 'user')),
+    f1 AS (SELECT * FROM f0 QUALIFY row_number() OVER (PARTITION BY call_id, rule ORDER BY speaker = 'user', ord) = 1),
+    f2 AS (SELECT *, strpos(line, said0) - 1 + off AS first, length(line) AS n FROM f1),
+    f3 AS (SELECT *, greatest(0, first - (120 - len) // 2) AS s0 FROM f2),
+    f4 AS (SELECT *, least(n, s0 + 120) AS e0 FROM f3),
+    f5 AS (SELECT *, CASE WHEN e0 - s0 < 120 THEN greatest(0, e0 - 120) ELSE s0 END AS s1 FROM f4),
+    f6 AS (SELECT *, strpos(substr(line, s1 + 1), ' ') - 1 + s1 AS gap, CASE WHEN strpos(reverse(substr(line, 1, e0 + 1)), ' ') > 0 THEN least(n, e0 + 1) - strpos(reverse(substr(line, 1, e0 + 1)), ' ') ELSE -1 END AS back FROM f5),
+    f7 AS (SELECT *, CASE WHEN s1 > 0 AND gap >= s1 AND gap < first THEN gap + 1 ELSE s1 END AS s2, CASE WHEN e0 < n AND back > first + len THEN back ELSE e0 END AS e2 FROM f6),
+    f8 AS (SELECT *, CASE WHEN n <= 120 THEN line ELSE CASE WHEN s2 > 0 THEN '…' ELSE '' END || trim(substr(line, s2 + 1, e2 - s2)) || CASE WHEN e2 < n THEN '…' ELSE '' END END AS quote FROM f7),
+    ev AS (SELECT call_id, rule, title, severity, CASE WHEN speaker = 'user' AND rule <> 'call.user_sharing_sensitive' THEN round(full_weight * 0.5, 4) ELSE full_weight END::DOUBLE AS weight, speaker, ord, place,
+                  CASE WHEN rule = 'call.user_sharing_sensitive' THEN 'You said: something that sounds like a card number, a code or a password was read out.'
+                       ELSE CASE WHEN speaker = 'caller' THEN 'Caller said: “' ELSE 'You said: “' END || quote || '”' END AS detail FROM f8)"""
 _SEG = "seg AS (SELECT conv_id AS call_id, turn AS ord, CASE WHEN role = 'user' THEN 'user' ELSE 'caller' END AS speaker, text FROM conversations WHERE role <> 'system')"
 
+_RISK = r"""t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    q AS (SELECT doc_id, regexp_matches(substr(t, 1, 30000), '(?:^|[^0-9])((?:\+?[0-9]{1,2}[\s.-]?)?\(?[0-9]{3}\)?[\s.-]?[0-9]{3}[\s.-]?[0-9]{4})(?:$|[^0-9])') AS phone,
+                 regexp_matches(t, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+') AS address,
+                 length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+                 length(regexp_replace(t, '\P{L}', '', 'g')) AS letters, length(regexp_replace(t, '\P{Lu}', '', 'g')) AS upper, length(regexp_replace(t, '[^!]', '', 'g')) AS bangs FROM t),
+    risk AS (SELECT doc_id, quality = 0 OR toxic = 1 AS positive, round(CASE WHEN phone THEN 0.4 ELSE 0 END::DOUBLE + CASE WHEN address THEN 0.2 ELSE 0 END + CASE WHEN (letters >= 10 AND upper >= 0.6 * letters) OR bangs >= 2 THEN 0.25 ELSE 0 END
+                    + CASE WHEN n_upper * 10 > n_letters THEN 0.1 ELSE 0 END, 6) AS score FROM labels JOIN q USING (doc_id))"""
+
 ORACLE_SQL: dict[str, str] = {
     "url_host_features": f"""
         SELECT page_id, host, list_extract(string_split(host, '.'), -1) AS suffix, {_REG} AS registrable, CAST(len(string_split(host, '.')) - 2 AS INT) AS depth, false AS is_ip,
@@ -338,9 +365,31 @@ ORACLE_SQL: dict[str, str] = {
               FROM (SELECT e.account_key, e.i, e.tm, s.last, s.pending, s.sends, s.pending IS NOT NULL AS open, s.last + 21600000 AS due FROM s JOIN e ON e.account_key = s.account_key AND e.i = s.i + 1)),
         z AS (SELECT account_key, list_concat(sends, CASE WHEN pending IS NOT NULL THEN [{'sent_at': last + 21600000, 'request_at': pending, 'kind': 'trailing'}] ELSE [] END) AS sends FROM s QUALIFY row_number() OVER (PARTITION BY account_key ORDER BY i DESC) = 1)
         SELECT account_key, u.sent_at AS sent_at, u.request_at AS request_at, u.kind AS kind FROM (SELECT account_key, unnest(sends) AS u FROM z)""",
-    "eval_confusion": """
-        WITH f AS (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^!#$%&*|]', '', 'g')) * 20 > length(coalesce(text, '')) AS flagged FROM documents)
-        SELECT quality, count(*) FILTER (WHERE flagged) AS n_flagged, count(*) FILTER (WHERE NOT flagged) AS n_passed FROM labels JOIN f USING (doc_id) GROUP BY quality""",
+    "eval_confusion": f"""
+        WITH {_RISK} SELECT positive, count(*) AS n, min(score) AS floor, max(score) AS ceiling, count(*) FILTER (WHERE positive = (score >= 0.3)) AS n_right FROM risk GROUP BY positive""",
+    "eval_sweep": f"""
+        WITH {_RISK}, th AS (SELECT DISTINCT score AS threshold FROM risk),
+        c AS (SELECT threshold, count(*) FILTER (WHERE positive AND score = threshold) AS n_positive, count(*) FILTER (WHERE NOT positive AND score = threshold) AS n_negative,
+                     count(*) FILTER (WHERE positive AND score >= threshold) AS tp, count(*) FILTER (WHERE NOT positive AND score >= threshold) AS fp,
+                     count(*) FILTER (WHERE positive AND score < threshold) AS fn, count(*) FILTER (WHERE NOT positive AND score < threshold) AS tn FROM th, risk GROUP BY threshold)
+        SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) END AS recall FROM c""",
+    "call_evidence": f"WITH {_EVIDENCE} SELECT call_id, rule, title, severity, weight, speaker, ord, detail FROM ev",
+    "call_summaries": f"""
+        WITH {_EVIDENCE}, o AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY list_position(['high', 'medium', 'low'], severity), weight DESC, place) AS k FROM ev),
+        v AS (SELECT call_id, round(1 - product(1 - weight), 9) AS score, bool_and(rule IN ('call.otp_or_credentials', 'call.user_sharing_sensitive')) AS codes, string_agg(title, '; ' ORDER BY k) FILTER (WHERE k <= 2) AS titles FROM o GROUP BY call_id)
+        SELECT call_id, {_LEVEL.format('score')} AS level, CASE WHEN score < 0.3 THEN 'No signs of a scam so far.'
+               ELSE 'This call looks ' || CASE WHEN codes THEN 'like an attempt to get your codes or passwords' ELSE 'like a scam' END || ': ' || titles || '.' END AS summary FROM v""",
+    "follow_up_scopes": """
+        WITH r AS (SELECT user_id % 89 AS scan_id, event_id % 41 = 0 AS everything, CASE WHEN event_id % 5 = 0 THEN []::BIGINT[] ELSE [CAST(user_id AS BIGINT), CAST(event_id % 7 AS BIGINT)] END AS accounts FROM events),
+        e AS (SELECT scan_id, bool_or(everything) AS every FROM r GROUP BY scan_id),
+        u AS (SELECT DISTINCT scan_id, unnest(accounts) AS a FROM r WHERE NOT everything)
+        SELECT e.scan_id, every, CASE WHEN NOT every THEN coalesce(string_agg(CAST(a AS VARCHAR), ',' ORDER BY a), '') END AS accounts FROM e LEFT JOIN u USING (scan_id) GROUP BY e.scan_id, every""",
+    "cursor_commit": """
+        WITH f AS (SELECT user_id AS account_id, event_id AS id FROM events WHERE event_id > 100 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 5),
+        a AS (SELECT account_id, max(id) AS next, bool_or(id % 13 = 0) AS failed FROM f GROUP BY account_id),
+        c AS (SELECT DISTINCT user_id AS account_id, CAST(100 AS BIGINT) AS cursor FROM events WHERE event_id % 3 <> 0),
+        m AS (SELECT * FROM a WHERE NOT failed)
+        SELECT account_id, coalesce(next, cursor) AS cursor, next IS NOT NULL AS advanced FROM c FULL JOIN m USING (account_id)""",
     "day_sections": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_errors, max(event_id) AS newest FROM events GROUP BY 1",
     "unread_count": "SELECT user_id, count(*) FILTER (WHERE event_type <> 'view') AS n_unread FROM events GROUP BY user_id",
     "org_domains": f"WITH {_JOINED} SELECT DISTINCT registrable AS domain FROM j WHERE NOT free",
@@ -405,3 +454,7 @@ ORACLE_SQL["mail_score"] = f"""
                       - (coalesce(known, 0) * 0.25::DOUBLE + CASE WHEN coalesce(free, false) THEN 0 ELSE coalesce(passed, 0) * 0.08::DOUBLE END + coalesce(listed, 0) * 0.1::DOUBLE))), 9), 6) AS score
                FROM j LEFT JOIN rolled USING (message_id))
     SELECT message_id, score, {_LEVEL.format('score')} AS level, n_signals FROM scored"""
+ORACLE_SQL["segment_verdicts"] = f"""
+    WITH x AS ({ORACLE_SQL['call_sessions']}), s AS (SELECT call_id, n, id FROM x WHERE kind = 'segment' QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY n DESC) <= 20),
+    v AS (SELECT call_id, n, level, sequence FROM x WHERE kind = 'verdict')
+    SELECT s.call_id, s.n, s.id, v.level, v.sequence FROM s ASOF LEFT JOIN v ON s.call_id = v.call_id AND s.n >= v.n"""
