@@ -202,6 +202,16 @@ def text_urls(text: Column) -> Column:
     return F.slice(F.filter(F.transform(found, _trimmed_url), lambda u: u != ""), 1, 2 * MOST_LINKS)
 
 
+def addresses(text: str) -> list[str]:
+    """``text_urls`` for one text, inside a task."""
+    out = []
+    for m in re.finditer(TEXT_URL, text[:LINK_CHARS], re.ASCII):
+        bare = m[0].rstrip(".,;:!?'\"")
+        unopened = min(len(bare) - len(bare.rstrip(")")), bare.count(")") - bare.count("("))
+        out.append(bare[: len(bare) - max(unopened, 0)])
+    return list(filter(None, out))[: 2 * MOST_LINKS]
+
+
 def message_links(anchors: Column, text: Column) -> Column:
     """A message's links (href, anchor): those of its HTML, then those of its text; the first of equal targets counts, ``MOST_LINKS`` at most.
 

@@ -88,7 +88,9 @@ def domain_facts(domains: DataFrame) -> DataFrame:
 
 
 def context(messages: DataFrame, organisation: tuple[str, ...] = ()) -> DataFrame:
-    """Messages with the context columns that the rules use."""
+    """Messages with the context columns that the rules use; where ``links`` is null, they are found in both bodies."""
+    found = urls.message_links(html.links_of(F.when(F.col("links").isNull(), F.coalesce("html_body", F.lit("")))), F.when(F.col("links").isNull(), F.col("text_body")))
+    messages = messages.withColumn("links", F.coalesce("links", found))
     none = F.array().cast("array<string>")
     body = F.coalesce(F.when(F.trim("text_body") != "", F.trim("text_body")), F.when(F.length("html_body") > 0, html.plain_text(F.col("html_body"))), F.lit(""))
     scan = F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.substring(body, 1, BODY_CHARS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions import brands, lexicon, scoring, text, urls
+from larkspur.functions import brands, lexicon, scoring, tables, text, urls
 from larkspur.functions import catalogs as cat
 from larkspur.functions.html import links_of as html_links_of
 from larkspur.functions.html import plain_text
@@ -62,6 +62,30 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first
 
 
+def page_links_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function over pages as messages whose plain body names their own address."""
+    tables.register(spark)
+    sql = "SELECT page_id, l.pos, l.href, l.anchor FROM {pages}, LATERAL extract_links(html, concat('see (', url, ').')) l"
+    return spark.sql(sql, pages=table(spark, sf_dir, "pages"))
+
+
+def auth_results_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function over the dealt headers of each customer."""
+    tables.register(spark)
+    sql = "SELECT c_custkey, a.method, a.result, a.domain FROM {rows}, LATERAL parse_auth_results(names, header_values, 'shop.example') a"
+    return spark.sql(sql, rows=syn.auth_headers(spark, sf_dir))
+
+
+def raw_link_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``link_signals`` of the same messages, whose links now stand in their HTML only."""
+    link = F.element_at("links", 1)
+    anchor = F.concat(F.lit('<a href="'), link["href"], F.lit('">'), F.coalesce(link["anchor"], F.lit("")), F.lit("</a>"))
+    bodies = F.concat(F.lit("<html><body><p>See "), F.when(F.size("links") > 0, anchor).otherwise(""), F.lit("</p></body></html>"))
+    raw = syn.messages(spark, sf_dir).withColumn("html_body", bodies).withColumn("links", F.lit(None).cast("array<struct<href:string,anchor:string>>"))
+    rows = mail.context(raw).select("message_id", F.explode(mail.signals(mail.FAMILIES["link"]())).alias("s"))
+    return rows.select("message_id", F.col("s.id").alias("signal"), F.col("s.severity").alias("severity"), F.col("s.weight").alias("weight"))
+
+
 def text_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(urls.text_urls(F.col("html"))).alias("pos", "href"))
     return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "href")
@@ -406,7 +430,7 @@ QUERIES = {
         lexicon_hits, auth_signals, sender_signals, attachment_signals, link_signals, content_signals, mail_score, fused_verdict, reason_rank, ensemble_combine, model_json_parse,
         homoglyph_typosquat, call_signals, call_verdicts, call_running_verdict, call_alert_on_rise, call_sessions, call_evidence, call_summaries, segment_verdicts, follow_up_scopes, cursor_commit, eval_sweep, transcript_render, last_n_segments, catch_up, dedupe_processed,
         retention_prune, upsert_latest, push_targets_join, account_key, debounce_sends, last_push, eval_confusion, day_sections, unread_count, org_domains, calls_page,
-        size_budget, incremental_scan, text_urls, clear_tokens, kept_calls, calls_in_progress_first,
+        size_budget, incremental_scan, text_urls, page_links_sql, auth_results_sql, raw_link_signals, clear_tokens, kept_calls, calls_in_progress_first,
         late_partials, uid_chunks, loop_guard, model_breaker, safety_ids, max_severity,
     )
 }

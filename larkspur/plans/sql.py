@@ -458,3 +458,18 @@ ORACLE_SQL["segment_verdicts"] = f"""
     WITH x AS ({ORACLE_SQL['call_sessions']}), s AS (SELECT call_id, n, id FROM x WHERE kind = 'segment' QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY n DESC) <= 20),
     v AS (SELECT call_id, n, level, sequence FROM x WHERE kind = 'verdict')
     SELECT s.call_id, s.n, s.id, v.level, v.sequence FROM s ASOF LEFT JOIN v ON s.call_id = v.call_id AND s.n >= v.n"""
+ORACLE_SQL["raw_link_signals"] = ORACLE_SQL["link_signals"]
+_PLAIN = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+ORACLE_SQL["page_links_sql"] = f"""
+    WITH t AS (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS tags FROM pages),
+    a AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS i FROM t),
+    h AS (SELECT page_id, i, trim({_PLAIN.format("regexp_extract(tag, '<a href=\"([^\"]*)\"', 1)")}) AS href, trim(regexp_replace({_PLAIN.format("regexp_extract(tag, '>([^<]*)<', 1)")}, '\\s+', ' ', 'g')) AS anchor FROM a
+          UNION ALL SELECT page_id, 1000000, url, NULL FROM pages WHERE regexp_matches(url, '^(?i)https?://')),
+    f AS (SELECT * FROM h WHERE href <> '' QUALIFY row_number() OVER (PARTITION BY page_id, lower(href) ORDER BY i) = 1)
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS pos, href, anchor FROM f"""
+ORACLE_SQL["auth_results_sql"] = """
+    WITH c AS (SELECT c_custkey, c_custkey % 5 AS part, c_custkey % 6 AS s, c_custkey % 4 AS d, c_custkey % 3 = 0 AS m FROM customer)
+    SELECT c_custkey, 'spf' AS method, CASE WHEN part = 0 THEN 'pass' WHEN part = 1 THEN 'softfail' ELSE ['pass', 'fail', 'softfail', 'none', 'temperror', 'unknown'][s + 1] END AS result,
+           CASE WHEN part = 0 THEN 'relay.example' WHEN part > 1 THEN 'mail.example' END AS domain FROM c
+    UNION ALL SELECT c_custkey, 'dkim', 'pass', 'shop.example' FROM c WHERE part > 1
+    UNION ALL SELECT c_custkey, 'dmarc', CASE WHEN part > 1 AND m THEN 'fail' ELSE 'pass' END, NULL FROM c WHERE part <> 1"""

@@ -179,3 +179,16 @@ def session_events_sql(spark: bool) -> str:
 
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir, session_events_sql(spark=True)).drop("k")
+
+
+def auth_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of a message for each customer: results of the own server, of a server that is not trusted, sealed ones and Received-SPF."""
+    k, results = F.col("c_custkey"), [F.lit(x) for x in ("pass", "fail", "softfail", "none", "temperror", "odd")]
+    spf, dkim = F.get(F.array(*results), (k % 6).cast("int")), F.get(F.array(*results[:4]), (k % 4).cast("int"))
+    own = F.concat(F.lit("mx.own.example (a; b); spf="), spf, F.lit(" smtp.mailfrom=bounce@Mail.Example; dkim="), dkim, F.lit(' header.d=other.example; dkim=pass header.d="shop.example"'), F.when(k % 3 == 0, "; dmarc=fail (p=reject) header.from=shop.example").otherwise(""))
+    sealed = F.lit("i=2; mx.list.example; dmarc=pass; spf=pass smtp.helo=relay.example")
+    names = F.array(F.lit("Authentication-Results"), F.lit("authentication-results"), F.lit("ARC-Authentication-Results"), F.lit("Received-SPF"))
+    values = F.array(own, F.lit("evil.example; spf=pass; dmarc=pass"), sealed, F.lit("softfail (mx.own.example)"))
+    first = F.when(k % 5 == 0, 2).when(k % 5 == 1, 4).otherwise(1)  # some have sealed results only, some Received-SPF only
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select("c_custkey", F.when(first == 2, F.array(names[2])).when(first == 4, F.array(names[3])).otherwise(names).alias("names"), F.when(first == 2, F.array(values[2])).when(first == 4, F.array(values[3])).otherwise(values).alias("header_values"))
