@@ -252,7 +252,8 @@ def patterns(projected: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     """lang, words, a of the phrases of two words and more that occur ``least`` times in ``projected`` pointers."""
     names = [f"w{k + 1}" for k in range(longest)]
     prefix = ["lang", "w1", "w2"]
-    dealt = projected.withColumn("h", F.xxhash64(*prefix)).repartition(*prefix).sortWithinPartitions("h", "lang", *names)
+    # the hash makes the sort cheap; it is made behind the shuffle, where it costs no bytes
+    dealt = projected.repartition(*prefix).withColumn("h", F.xxhash64(*prefix)).sortWithinPartitions("h", "lang", *names)
     return dealt.select("lang", *names, "n").mapInArrow(_grow(least, longest), "lang string, words array<string>, a long")
 
 
