@@ -68,7 +68,8 @@ def op9_golomb_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_radix_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = suffix_dedup.cut(table(spark, sf_dir, "documents"))
+    """Only doc_id and text are read, so other columns may have any names; see ``suffix_dedup.cut``."""
+    rows = suffix_dedup.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     return rows.select(
         "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.coalesce("cut.n_removed", F.lit(0).cast("long")).alias("n_removed"),

@@ -38,3 +38,28 @@ def test_op6(spark, rows):
     root, sizes = components_of([t for _, t in rows], 2, 80)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in QUERIES["op6_chosen_path_join"](spark, DATA).collect()}
     assert got == {i: (n, rows[c][0], k == c) for k, ((i, _), c, n) in enumerate(zip(rows, root, sizes, strict=True))}
+
+
+#: Names that the operators give their own columns.
+CLASHING = ("cut", "k1", "k2", "n", "h", "row", "rank", "group", "salt", "length", "piece", "start", "words", "word", "phrase", "a", "l", "r", "k", "score", "best", "form", "output", "keep_id", "kept", "component_id", "n_shingles", "sequence_id", "TEXT_SHA256", "anchor", "line", "key", "Doc.Id")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("op") and n not in ("op4_url_trees", "op5_content_addressed_warc")))
+def test_columns_with_clashing_names(spark, tmp_path, name):
+    """Other columns of documents stop no query and change no result, whatever they are called."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id < 60")
+    docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)]).write.parquet(f"{tmp_path}/more/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/plain/documents.parquet")
+    for part in ("more", "plain"):
+        spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/{part}/labels.parquet")
+    more = QUERIES[name](spark, f"{tmp_path}/more")
+    if name == "op12_pattern_growth":
+        assert more.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and more.count()
+    elif name in ("op6_chosen_path_join", "op9_golomb_exchange", "op10_radix_suffixes"):
+        plain = QUERIES[name](spark, f"{tmp_path}/plain")
+        rows = [sorted(str(tuple(r)) for r in df.select(*plain.columns).collect()) for df in (more, plain)]
+        assert rows[0] == rows[1] and rows[0]
+    else:
+        assert {r["doc_id"] for r in more.select("doc_id").collect()} <= set(range(60)) and more.count() > 20
