@@ -18,36 +18,55 @@ a thirty-second of its documents.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrow import slices, texts
+from larkspur.llm.bpe import byte_symbols
 from larkspur.llm.workspace import stage
 
 SIZE = 4096
 END_ID = 2
 GROUP = 4096
 FILLER = 32
-#: Chunks whose ids a worker keeps; the cache starts anew when full.
-CACHE = 400_000
+#: Chunks whose ids a worker keeps: all until there are so many, and frequent ones in a dictionary that stays in the processor's cache.
+CACHE, HOT = 1_000_000, 30_000
 PLACED = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SPACES = regex.compile(r"\s+")
 #: str.split takes these for white space, the tokenizers do not.
 _NO_SPACES = frozenset("\x1c\x1d\x1e\x1f")
+#: Marks that normalisation may compose with an ASCII letter, differently for its two cases.
+_MARKS = regex.compile("[\u0300-\u036f]")
+_ENDS = frozenset(".,;:!?")
+#: The one letter whose lower case ends in a mark, which is no letter.
+_DOTTED = "\u0130"
+#: A word of one token.
+MARK = "|"
 _encoders: dict = {}
 
 
+def _is_word(chunk: str) -> bool:
+    """Letters of the alphabets that every Unicode version has, which normalising leaves as they are."""
+    return chunk.isalpha() and chunk == chunk.lower() and (chunk.isascii() or (max(chunk) < "\u0530" and unicodedata.is_normalized("NFC", chunk)))
+
+
 class Encoder:
     """Ids of texts, as little-endian numbers of 32 bits, by the tokenizers library.
 
-    White space never reaches a token of the tokenizers that this serves, so a
-    text is the sequence of its white-space-separated chunks, and each chunk
-    is encoded by the library once while it stays in the cache.
+    It serves tokenizers that lower their input, drop white space and split
+    words from punctuation.  A text is then the sequence of its
+    white-space-separated chunks; each is encoded by the library once while it
+    stays in the cache.  What would only fill the cache is folded first: the
+    case of ASCII letters, and one mark behind a letter, which is always a word of its own.
     """
 
     def __init__(self, path: str):
@@ -59,21 +78,76 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.opening = {t.content[:2] for t in self.library.get_added_tokens_decoder().values()}
+        (self.mark_id,) = self.ids(MARK)
+        self.model, self.symbols = self.library.model, dict(enumerate(byte_symbols()))
         self.cache: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}
+
+    def plain(self, text: str) -> bool:
+        """Whether a text has none of the special tokens, nor the beginning of one."""
+        return not any(o in text for o in self.opening)
+
+    def chunks(self, text: str) -> list[str]:
+        if self.plain(text) and (text.isascii() or not _MARKS.search(text)):
+            text = text.encode().lower().decode()
+        return text.split() if not any(c in text for c in _NO_SPACES) else [c for c in _SPACES.split(text) if c]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Adds the ids of chunks.
+
+        A word of lower-case letters needs no normalising or splitting, and
+        goes to the library's model as it is; all others are encoded together,
+        with a mark between any two that none of them has.
+        """
+        words = [c for c in chunks if _is_word(c)]
+        self.cache.update((c, array("I", [t.id for t in self.model.tokenize(c if c.isascii() else c.encode().decode("latin-1").translate(self.symbols))]).tobytes()) for c in words)
+        chunks = list(set(chunks).difference(words))
+        for at in range(0, len(chunks), 2048):
+            part = chunks[at : at + 2048]
+            text = "".join(part)
+            if MARK in text or not self.plain(text):
+                odd = [c for c in part if MARK in c or not self.plain(c)]
+                self.cache.update((c, self.ids(c).tobytes()) for c in odd)
+                part = list(set(part).difference(odd))
+            ids = self.ids(f" {MARK} ".join(part))
+            data, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
+            for c, a, b in zip(part, [-4, *ends], [*ends, len(data)], strict=bool(part)):
+                self.cache[c] = data[a + 4 : b]
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode(self, batch: list[str]) -> Iterator[bytes]:
-        """Ids of each text; long chunks are not kept."""
-        split = [t.split() if not any(c in t for c in _NO_SPACES) else [c for c in _SPACES.split(t) if c] for t in batch]
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        new = {c: None for chunks in split for c in chunks if c not in self.cache}
-        found = dict(zip(new, (b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.library.encode_batch_fast(list(new), add_special_tokens=False)), strict=True))
-        self.cache.update((c, ids) for c, ids in found.items() if len(c) < 64)
-        for chunks in split:
-            try:
-                yield b"".join(map(self.cache.__getitem__, chunks))
-            except KeyError:
-                yield b"".join([found[c] if c in found else self.cache[c] for c in chunks])
+        """Ids of each text.  What the first texts say most moves to the small dictionary; long chunks are kept no longer than that."""
+        hot, cold = self.hot, self.cache
+        if len(cold) > CACHE:
+            cold.clear()
+        found, open_, new = [], [], set()
+        for t in batch:
+            chunks = self.chunks(t)
+            parts = list(map(hot.get, chunks))
+            for i in [i for i, p in enumerate(parts) if p is None]:
+                c = chunks[i]
+                if (ids := cold.get(c)) is None:
+                    new.add(c)
+                    open_.append((parts, i, c))
+                else:
+                    parts[i] = ids
+            found.append(parts)
+        ended = [c for c in new if c[-1] in _ENDS and c[-2:-1].isalpha() and c[-2] != _DOTTED]
+        wanted = new.difference(ended).union(_ENDS, [c[:-1] for c in ended])
+        self.learn([c for c in wanted if c not in cold])
+        for c in ended:
+            cold[c] = cold[c[:-1]] + cold[c[-1]]
+        for parts, i, c in open_:
+            parts[i] = cold[c]
+        if len(hot) < HOT:
+            said = Counter(c for _, _, c in open_).most_common(HOT - len(hot))
+            hot.update((c, cold[c]) for c, n in said if n > 1)
+        for c in [c for c in new | wanted if len(c) >= 64]:
+            del cold[c]
+        yield from map(b"".join, found)
 
 
 def encoder(path: str) -> Encoder:

@@ -176,6 +176,17 @@ def test_first_fit_decreasing():
         assert place == want and rooms == [size - used for used in bins]
 
 
+def test_folded_chunks_are_encoded_as_the_library_does():
+    rng = random.Random(3)
+    parts = [*"abcABCxyzJK .,;:!?'\n\t|<>-_0123", "é", "É", "Σ", "ς", "İ", "ı", "J\u030c", "\u0301", "\u0307", "漢", "🙂", "\x85", "\xa0", "\x1c", "\u200b", "ẞ", "\u2126", "\u212a", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "I'LL", "x" * 70]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(4000)]
+    encoder = group_packing.Encoder(word_bpe())
+    for at in range(0, len(texts), 500):
+        lot = texts[at : at + 500]
+        want = [np.array(e.ids, "<u4").tobytes() for e in encoder.library.encode_batch(lot, add_special_tokens=False)]
+        assert list(encoder.encode(lot)) == want
+
+
 @pytest.mark.parametrize("group", [50, 4096])
 def test_group_packing(spark, docs, empty, texts, group):
     from tokenizers import Tokenizer
