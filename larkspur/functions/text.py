@@ -40,7 +40,8 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 3.5)
 
 
-_CJK = r"[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]"
+# fixed value: Hangul, CJK radicals, symbols, kana, ideographs and full-width forms
+_CJK = r"[\x{1100}-\x{11FF}\x{2E80}-\x{2FDF}\x{3000}-\x{318F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{2FA1F}]"
 
 
 def wide_token_estimate(text: Column) -> Column:

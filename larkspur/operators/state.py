@@ -39,6 +39,30 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old: tuple[str,
     return joined.select(*[value(c).alias(c) for c in old.columns])
 
 
+def folded(rows: DataFrame, keys: list[str], order: list[str], keep_old: tuple[str, ...] = (), sticky: tuple[str, ...] = (), fill: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each key: what ``upsert`` leaves of its rows when they are written in ``order``.
+
+    Partial results merge in each task, so a hot key is one row there.  The
+    order columns take the last row's value.  Folding a fold with the rows
+    that went into it, at their places in the order, changes nothing.
+    """
+    at = F.struct(*order)
+
+    def value(c: str) -> Column:
+        own = F.col(c)
+        if c in keep_old:
+            out = F.min_by(own, F.when(own.isNotNull(), at))
+        elif c in sticky:
+            out = F.bool_or(F.coalesce(own, F.lit(False)))
+        elif c in fill:
+            out = F.max_by(own, F.when(own.isNotNull(), at))
+        else:
+            out = F.max_by(own, at)
+        return out.alias(c)
+
+    return rows.groupBy(*keys).agg(*[value(c) for c in rows.columns if c not in keys]).select(*rows.columns)
+
+
 def take_over(lines: DataFrame, claims: DataFrame) -> DataFrame:
     """lines (line_id, device_id, guard_number, created_at): a claim removes every other holder of its guard number, then upserts its line."""
     claimed = claims.select(F.col("guard_number"), F.col("line_id").alias("_claimer"))

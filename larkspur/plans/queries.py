@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions import brands, lexicon, scoring, tables, text, urls
+from larkspur.functions import brands, lexicon, payloads, prompts, scoring, tables, text, urls
 from larkspur.functions import catalogs as cat
 from larkspur.functions.html import links_of as html_links_of
 from larkspur.functions.html import plain_text
@@ -69,6 +69,13 @@ def page_links_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql, pages=table(spark, sf_dir, "pages"))
 
 
+def payload_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of parts made of the pages, as messages; every eleventh is cut off and gives none."""
+    m = payloads.tree_messages(syn.tree_payloads(spark, sf_dir))
+    file = F.try_element_at("attachments", F.lit(1))
+    return m.select("message_id", "subject", F.col("from.name").alias("name"), F.col("from.address").alias("address"), F.unix_millis("received_at").alias("received_ms"), "text_body", F.sha2("html_body", 256).alias("html_sha256"), file["filename"].alias("filename"), file["size_bytes"].alias("size_bytes"))
+
+
 def auth_results_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table function over the dealt headers of each customer."""
     tables.register(spark)
@@ -177,6 +184,21 @@ def caps_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", letters.alias("n_letters"), upper.alias("n_upper"), text.shouts(t).alias("shouts"))
 
 
+def document_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the bodies of mails, in prompts for a window of 1500 tokens of which 300 are instructions."""
+    people = "array<struct<name:string,address:string>>"
+    none = F.lit(None).cast("struct<name:string,address:string>")
+    t, auth = F.coalesce("text", F.lit("")), F.struct(F.when(F.col("doc_id") % 2 == 0, "pass").alias("spf"), F.lit(None).cast("string").alias("dkim"), F.lit(None).cast("string").alias("dmarc"), F.lit(None).cast("string").alias("dkim_domain"))
+    signals = F.when(F.col("doc_id") % 3 == 0, F.array(*[F.struct(F.lit(w).alias("weight"), F.lit(s).alias("severity"), F.lit(x).alias("title"), t.alias("detail")) for w, s, x in ((0.1, "low", "Low"), (0.0, "info", "None"), (0.5, "high", "High"))])).otherwise(F.array().cast("array<struct<weight:double,severity:string,title:string,detail:string>>"))
+    head = prompts.mail_head(
+        F.struct(F.col("lang").alias("name"), F.concat("source", F.lit("@site.example")).alias("address")), none, F.array().cast(people), F.array().cast(people), t, F.lit("2024-05-01T00:00:00Z"), auth, F.lit("site.example"),
+        F.array().cast("array<struct<filename:string,mime_type:string>>"), signals, F.array().cast("array<struct<href:string,anchor:string>>"),
+    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", head.alias("head"), t.alias("body")).withColumn("n_body", prompts.fitted_body(F.col("head"), F.col("body"), 1500 - prompts.HEADROOM_TOKENS - 300))
+    out = prompts.with_body(F.col("head"), F.col("body"), F.col("n_body"))
+    return rows.select("doc_id", "n_body", F.length(out).alias("n_chars"), F.sha2(out, 256).alias("prompt_sha256"))
+
+
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.coalesce("text", F.lit(""))).alias("n_tokens"))
 
@@ -345,6 +367,13 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
 
 
+def upsert_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a table of users holds after all events are written over it in order."""
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(e % 4 != 0, F.col("event_type")).alias("first_type"), F.when(e % 3 == 0, F.col("event_type")).alias("last_known"), (F.col("event_type") == "error").alias("failed"), F.when(e % 5 != 0, F.col("value")).alias("value"))
+    return state.folded(rows, ["user_id"], ["event_id"], keep_old=("first_type",), sticky=("failed",), fill=("last_known",))
+
+
 def push_targets_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     accounts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("account_key"), F.col("o_custkey").alias("device_id"), F.col("o_orderpriority").alias("provider"))
     devices = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device_id"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("apns_token"), F.col("c_mktsegment").alias("environment"))
@@ -429,8 +458,8 @@ QUERIES = {
         url_host_features, link_risk_score, host_rollup, html_links, html_link_table, html_plain_text, phone_probe, digit_mask, caps_ratio, token_estimate, email_domain_class,
         lexicon_hits, auth_signals, sender_signals, attachment_signals, link_signals, content_signals, mail_score, fused_verdict, reason_rank, ensemble_combine, model_json_parse,
         homoglyph_typosquat, call_signals, call_verdicts, call_running_verdict, call_alert_on_rise, call_sessions, call_evidence, call_summaries, segment_verdicts, follow_up_scopes, cursor_commit, eval_sweep, transcript_render, last_n_segments, catch_up, dedupe_processed,
-        retention_prune, upsert_latest, push_targets_join, account_key, debounce_sends, last_push, eval_confusion, day_sections, unread_count, org_domains, calls_page,
-        size_budget, incremental_scan, text_urls, page_links_sql, auth_results_sql, raw_link_signals, clear_tokens, kept_calls, calls_in_progress_first,
+        retention_prune, upsert_latest, upsert_fold, push_targets_join, account_key, debounce_sends, last_push, eval_confusion, day_sections, unread_count, org_domains, calls_page,
+        size_budget, incremental_scan, text_urls, document_prompts, payload_messages, page_links_sql, auth_results_sql, raw_link_signals, clear_tokens, kept_calls, calls_in_progress_first,
         late_partials, uid_chunks, loop_guard, model_breaker, safety_ids, max_severity,
     )
 }

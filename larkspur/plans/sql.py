@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from larkspur.functions import catalogs as cat
+from larkspur.functions import prompts
 from larkspur.functions.call_patterns import CALL_RULES
 from larkspur.plans import synthetic as syn
 
@@ -349,6 +350,10 @@ ORACLE_SQL: dict[str, str] = {
     "dedupe_processed": "SELECT event_id, user_id FROM events WHERE NOT (user_id % 3 = 0 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'view'))",
     "retention_prune": "SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY",
     "upsert_latest": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
+    "upsert_fold": """
+        SELECT user_id, max(event_id) AS event_id, first(event_type ORDER BY event_id) FILTER (WHERE event_id % 4 <> 0 AND event_type IS NOT NULL) AS first_type,
+               last(event_type ORDER BY event_id) FILTER (WHERE event_id % 3 = 0 AND event_type IS NOT NULL) AS last_known, bool_or(coalesce(event_type = 'error', false)) AS failed,
+               last(CASE WHEN event_id % 5 <> 0 THEN value END ORDER BY event_id) AS value FROM events GROUP BY user_id""",
     "push_targets_join": """
         SELECT o_custkey AS device_id, o_orderkey AS account_key, o_orderpriority AS provider, c_name AS apns_token, c_mktsegment AS environment
         FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0""",
@@ -473,3 +478,22 @@ ORACLE_SQL["auth_results_sql"] = """
            CASE WHEN part = 0 THEN 'relay.example' WHEN part > 1 THEN 'mail.example' END AS domain FROM c
     UNION ALL SELECT c_custkey, 'dkim', 'pass', 'shop.example' FROM c WHERE part > 1
     UNION ALL SELECT c_custkey, 'dmarc', CASE WHEN part > 1 AND m THEN 'fail' ELSE 'pass' END, NULL FROM c WHERE part <> 1"""
+_LINE = "CASE WHEN length({0}) > {1} THEN substr({0}, 1, {1} - 1) || '…' ELSE {0} END"
+_ONE = r"replace(replace(substr(trim(regexp_replace({0}, '[\p{{Cc}}\p{{Z}}\x{{200B}}\x{{FEFF}}\x{{00AD}}]+', ' ', 'g')), 1, {1} + 1), '<<<', '‹‹‹'), '>>>', '›››')"
+ORACLE_SQL["document_prompts"] = rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS body, {_ONE.format("coalesce(text, '')", 200)} AS subject, {_ONE.format("coalesce(text, '')", 140)} AS detail, lang, source FROM documents),
+    h AS (SELECT doc_id, body, concat_ws(chr(10), {', '.join("'" + x.replace("'", "''") + "'" for x in (*prompts.TASK, "", prompts.START))}, 'From: ' || source || '@site.example',
+                 CASE WHEN lang <> '' THEN 'From display name: "' || lang || '"' END, 'Subject: ' || {_LINE.format("subject", 200)}, 'Received: 2024-05-01T00:00:00Z',
+                 'Authentication: ' || CASE WHEN doc_id % 2 = 0 THEN 'spf=pass dkim=missing dmarc=missing' ELSE 'no authentication results reported' END, 'Attachments: none',
+                 CASE WHEN doc_id % 3 = 0 THEN 'Heuristic findings (2 of 2, computed on device):' || chr(10) || '- [high] High: ' || {_LINE.format("detail", 140)} || chr(10) || '- [low] Low: ' || {_LINE.format("detail", 140)}
+                      ELSE 'Heuristic findings: none' END, 'Links: none') AS head FROM d),
+    s(n_body) AS (VALUES (2500), (1875), (1407), (1056), (792), (594), (446), (335), (235), (200)),
+    p AS (SELECT doc_id, n_body, concat_ws(chr(10), head, 'Body (plain text, ' || least(length(body), n_body) || ' of ' || length(body) || ' characters):', '{prompts.FENCE}',
+                 replace(replace(replace(regexp_replace(substr(body, 1, n_body), '[\x00-\x09\x0B-\x1F\x7F-\x{{9F}}\x{{200B}}\x{{FEFF}}]', '', 'g'), '<<<', '‹‹‹'), '>>>', '›››'), '{prompts.FENCE}', '" " "'),
+                 CASE WHEN length(body) > n_body THEN '[truncated]' END, '{prompts.FENCE}', '{prompts.END}', '', '{prompts.LAST}') AS prompt FROM h, s),
+    f AS (SELECT *, ceil(length(prompt) / 3.5) <= 500 AS fits FROM p)
+    SELECT doc_id, n_body, CAST(length(prompt) AS INT) AS n_chars, sha256(prompt) AS prompt_sha256 FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY NOT fits, CASE WHEN fits THEN -n_body ELSE n_body END) = 1"""
+ORACLE_SQL["payload_messages"] = """
+    SELECT 'm' || page_id AS message_id, 'Page ' || page_id AS subject, 'Shop, ' || page_id AS name, 's' || page_id || '@shop.example' AS address, CAST(page_id * 1000 AS BIGINT) AS received_ms, url AS text_body,
+           sha256(html) AS html_sha256, CASE WHEN page_id % 3 = 0 THEN 'bill ' || page_id || '.pdf' END AS filename, CASE WHEN page_id % 3 = 0 THEN CAST(page_id * 10 AS BIGINT) END AS size_bytes
+    FROM pages WHERE page_id % 11 <> 10"""

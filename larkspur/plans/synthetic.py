@@ -192,3 +192,16 @@ def auth_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(k % 5 == 0, 2).when(k % 5 == 1, 4).otherwise(1)  # some have sealed results only, some Received-SPF only
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return rows.select("c_custkey", F.when(first == 2, F.array(names[2])).when(first == 4, F.array(names[3])).otherwise(names).alias("names"), F.when(first == 2, F.array(values[2])).when(first == 4, F.array(values[3])).otherwise(values).alias("header_values"))
+
+
+def tree_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as the JSON of a mail whose payload is a tree: address as text, markup as HTML, every third with a file, every fourth a level deeper."""
+    k = F.col("page_id")
+    coded = lambda t: F.rtrim(F.translate(F.base64(t.cast("binary")), "+/\r\n", "-_"), F.lit("="))
+    leaf = lambda kind, t: F.concat(F.lit(f'{{"mimeType":"{kind}","body":{{"data":"'), coded(t), F.lit('"}}'))
+    both = F.concat(F.lit('{"mimeType":"multipart/alternative","parts":['), leaf("text/plain", F.col("url")), F.lit(","), leaf("TEXT/HTML; charset=utf-8", F.col("html")), F.lit("]}"))
+    deeper = F.when(k % 4 == 0, F.concat(F.lit('{"mimeType":"multipart/related","parts":['), both, F.lit("]}"))).otherwise(both)
+    file = F.when(k % 3 == 0, F.concat(F.lit(',{"mimeType":"application/pdf","filename":"bill '), k.cast("string"), F.lit('.pdf","body":{"size":'), (k * 10).cast("string"), F.lit("}}"))).otherwise("")
+    headers = F.concat(F.lit('[{"name":"FROM","value":"\\"Shop, '), k.cast("string"), F.lit('\\" <s'), k.cast("string"), F.lit('@shop.example>"},{"name":"Subject","value":" Page '), k.cast("string"), F.lit(' "}]'))
+    body = F.concat(F.lit('{"id":"m'), k.cast("string"), F.lit('","internalDate":"'), (k * 1000).cast("string"), F.lit('","payload":{"mimeType":"multipart/mixed","headers":'), headers, F.lit(',"parts":['), deeper, file, F.lit("]}}"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("a").alias("account_id"), F.when(k % 11 == 10, F.substring(body, 1, 40)).otherwise(body).alias("body"))
