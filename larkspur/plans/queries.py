@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions import brands, lexicon, payloads, prompts, scoring, tables, text, urls
+from larkspur.functions import answers, brands, lexicon, payloads, prompts, scoring, tables, text, urls
 from larkspur.functions import catalogs as cat
 from larkspur.functions.html import links_of as html_links_of
 from larkspur.functions.html import plain_text
@@ -174,8 +174,8 @@ def phone_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digit_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\d{4}"))
-    return docs.select("doc_id", F.sha2(F.regexp_replace("text", r"[0-9]", "#"), 256).alias("all_masked"), F.length(text.mask_digits(F.col("text"))).alias("n_masked_chars"))
+    masked = text.mask_digits(F.col("text"))
+    return table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\d{4}")).select("doc_id", F.length(masked).alias("n_chars"), F.sha2(masked, 256).alias("masked_sha256"))
 
 
 def caps_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,11 +266,8 @@ def ensemble_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = syn.answers(spark, sf_dir)
-    j = F.from_json("raw", "risk_score double, category string, is_scam boolean")
-    score = F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), j["risk_score"]))).cast("long")
-    known = F.when(j["category"].isin("phishing", "scam", "spam", "safe"), j["category"]).when(score >= 50, "scam").otherwise("safe")
-    return rows.select("message_id", score.alias("risk_score"), known.alias("category"), F.coalesce(j["is_scam"], score >= 50).alias("is_scam"))
+    rows = syn.answers(spark, sf_dir).select("message_id", answers.assessment(F.col("raw")).alias("a"))
+    return rows.select("message_id", F.col("a.risk_score").cast("long").alias("risk_score"), "a.category", "a.is_suspicious", F.array_join("a.reasons", "|").alias("reasons"))
 
 
 def homoglyph_typosquat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,8 +255,11 @@ ORACLE_SQL: dict[str, str] = {
     "phone_probe": r"""
         WITH p AS (SELECT doc_id, regexp_extract(substr(coalesce(text, ''), 1, 30000), '(?:^|[^0-9])((?:\+?[0-9]{1,2}[\s.-]?)?\(?[0-9]{3}\)?[\s.-]?[0-9]{3}[\s.-]?[0-9]{4})(?:$|[^0-9])', 1) AS phone FROM documents)
         SELECT doc_id, phone FROM p WHERE phone <> ''""",
-    "digit_mask": """
-        SELECT doc_id, sha256(regexp_replace(text, '[0-9]', '#', 'g')) AS all_masked, CAST(length(text) AS INT) AS n_masked_chars FROM documents WHERE regexp_matches(text, '[0-9]{4}')""",
+    "digit_mask": r"""
+        WITH d AS (SELECT doc_id, string_split_regex(text, '[0-9](?:[\s-]?[0-9]){3,}') AS rest, regexp_extract_all(text, '[0-9](?:[\s-]?[0-9]){3,}') AS runs FROM documents WHERE regexp_matches(text, '[0-9]{4}')),
+        p AS (SELECT doc_id, unnest(rest) AS part, generate_subscripts(rest, 1) AS i, runs FROM d),
+        m AS (SELECT doc_id, string_agg(part || coalesce(regexp_replace(runs[i], '[0-9]', '•', 'g'), ''), '' ORDER BY i) AS masked FROM p GROUP BY doc_id)
+        SELECT doc_id, CAST(length(masked) AS INT) AS n_chars, sha256(masked) AS masked_sha256 FROM m""",
     "caps_ratio": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         c AS (SELECT doc_id, CAST(length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS INT) AS n_letters, CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS INT) AS n_upper,
@@ -288,9 +291,13 @@ ORACLE_SQL: dict[str, str] = {
         one AS (SELECT *, CASE WHEN b IS NOT NULL AND ok AND (a IS NULL OR b > a) THEN 'second' WHEN a IS NOT NULL THEN 'local' END AS w1, CASE WHEN b IS NOT NULL AND ok AND (a IS NULL OR b > a) THEN b ELSE a END AS v1 FROM s)
         SELECT message_id, CASE WHEN ok AND (v1 IS NULL OR c > v1) THEN 'third' ELSE w1 END AS winner, CAST(CASE WHEN ok AND (v1 IS NULL OR c > v1) THEN c ELSE v1 END AS BIGINT) AS risk_score FROM one""",
     "model_json_parse": """
-        WITH a AS (SELECT o_orderkey AS message_id, o_orderkey % 5 AS k FROM orders),
-        t(k, risk_score, category, is_scam) AS (VALUES (0, 82, 'phishing', true), (1, 100, 'scam', true), (2, 12, 'safe', false), (3, 51, 'spam', true), (4, 0, 'safe', false))
-        SELECT message_id, CAST(risk_score AS BIGINT) AS risk_score, category, is_scam FROM a JOIN t USING (k)""",
+        WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 <> 0 THEN greatest(0, least(100, o_orderkey * 7 % 160 - 20)) END AS score,
+                          ['phishing', 'scam', 'safe', 'spam', NULL, 'safe'][o_orderkey % 6 + 1] AS said, o_orderkey // 6 % 6 = 5 AS none FROM orders),
+        c AS (SELECT *, coalesce(said, CASE WHEN score >= 50 THEN 'scam' WHEN score < 50 THEN 'safe' END) AS category FROM o),
+        f AS (SELECT *, CASE WHEN score IS NOT NULL THEN score >= 50 ELSE category <> 'safe' END AS flag FROM c),
+        r AS (SELECT *, coalesce(score, CASE category WHEN 'spam' THEN 60 WHEN 'safe' THEN 5 ELSE 80 END) AS risk, none OR category IS NULL AS void FROM f)
+        SELECT k AS message_id, CASE WHEN NOT void THEN CAST(risk AS BIGINT) END AS risk_score, CASE WHEN NOT void THEN category END AS category,
+               CASE WHEN NOT void THEN flag END AS is_suspicious, CASE WHEN NOT void THEN 'reason ' || k || '|second' END AS reasons FROM r""",
     "homoglyph_typosquat": """
         WITH t(host, brand, kind, label) AS (VALUES ('paypa1.com', 'paypal', 'homoglyph', 'paypa1'), ('rnicrosoft.com', 'microsoft', 'homoglyph', 'rnicrosoft'), ('amazom.com', 'amazon', 'typosquat', 'amazom'),
             ('mypaypal.net', 'paypal', 'embedded', 'mypaypal'), ('apple-id-verify.com', 'apple', 'brand_token', 'apple'), ('netflix.account-update.co.uk', 'netflix', 'brand_token', 'netflix'),
@@ -497,3 +504,8 @@ ORACLE_SQL["payload_messages"] = """
     SELECT 'm' || page_id AS message_id, 'Page ' || page_id AS subject, 'Shop, ' || page_id AS name, 's' || page_id || '@shop.example' AS address, CAST(page_id * 1000 AS BIGINT) AS received_ms, url AS text_body,
            sha256(html) AS html_sha256, CASE WHEN page_id % 3 = 0 THEN 'bill ' || page_id || '.pdf' END AS filename, CASE WHEN page_id % 3 = 0 THEN CAST(page_id * 10 AS BIGINT) END AS size_bytes
     FROM pages WHERE page_id % 11 <> 10"""
+ORACLE_SQL["html_link_table"] = f"""
+    WITH t AS (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS tags FROM pages),
+    a AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS i FROM t),
+    h AS (SELECT page_id, i, trim({_PLAIN.format("regexp_extract(tag, '<a href=\"([^\"]*)\"', 1)")}) AS href, trim(regexp_replace({_PLAIN.format("regexp_extract(tag, '>([^<]*)<', 1)")}, '\\s+', ' ', 'g')) AS anchor FROM a)
+    SELECT page_id, href, anchor FROM h WHERE href <> '' QUALIFY row_number() OVER (PARTITION BY page_id, lower(href) ORDER BY i) = 1"""

@@ -126,14 +126,17 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("message_id", "heuristic", F.array(member("primary", "local", "a"), member("corroborator", "second", "b"), member("corroborator", "third", "c")).alias("members"))
 
 
-RAW = (
-    '{"risk_score": 82, "category": "phishing", "is_scam": true}', '{"risk_score": 140, "category": "scam"}', '{"risk_score": 12.4, "category": "other"}', '{"category": "spam", "risk_score": 51}',
-    '{"risk_score": -3, "category": "safe", "is_scam": false}',
-)
+SAID = ("Phishing", "SCAM attempt", "not spam", "spam", "unsure", "legitimate")
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir, f"SELECT o_orderkey AS message_id, {pick(RAW, '(o_orderkey % 5)', True)} AS raw FROM orders")
+    """Raw answers of a model: an object for each order, bare, fenced, among words, after thinking, cut off, or none at all; some without a score."""
+    k = "o_orderkey"
+    shown = f"CASE WHEN {k} % 7 <> 0 THEN concat('\"riskScore\": ', CAST({k} * 7 % 160 - 20 AS STRING), ', ') ELSE '' END"
+    obj = f"concat('{{', {shown}, '\"category\": \"', {pick(SAID, f'({k} % 6)', True)}, '\", \"reasons\": [\"reason ', CAST({k} AS STRING), '\", \" \", \"- second\"]')"
+    forms = (f"concat({obj}, '}}')", f"concat('```json\n', {obj}, ',}}\n```')", f"concat('My verdict: ', {obj}, '}} Stay safe.')", f"concat('<think>maybe {{}}</think>', {obj}, '}}')", obj, "'I cannot say.'")
+    cases = " ".join(f"WHEN {i} THEN {form}" for i, form in enumerate(forms))
+    return _orders(spark, sf_dir, f"SELECT {k} AS message_id, CASE {k} DIV 6 % 6 {cases} END AS raw FROM orders")
 
 
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
