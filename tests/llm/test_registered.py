@@ -63,3 +63,56 @@ def test_columns_with_clashing_names(spark, tmp_path, name):
         assert rows[0] == rows[1] and rows[0]
     else:
         assert {r["doc_id"] for r in more.select("doc_id").collect()} <= set(range(60)) and more.count() > 20
+
+
+def test_op1_and_op3(spark, rows):
+    """Ids of the registered queries against the tokenizers library itself."""
+    import zlib
+
+    import numpy as np
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    byte, word = (Tokenizer.from_file(path(name)) for name in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    for t in (byte, word):
+        t.no_truncation()
+        t.no_padding()
+    packed = QUERIES["op1_pattern_packing"](spark, DATA).collect()
+    ids = {i: np.array([*byte.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in rows}
+    seen = {i: 0 for i, _ in rows}
+    for r in sorted(packed, key=lambda r: (r["doc_id"], r["piece"])):
+        own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["start"] == seen[r["doc_id"]] and r["ids_crc32"] == zlib.crc32(own.tobytes())
+        seen[r["doc_id"]] += r["length"]
+    assert seen == {i: len(x) for i, x in ids.items()}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in QUERIES["op3_rank_array_bpe"](spark, DATA).collect()}
+    for i, t in rows:
+        found = word.encode(t or "", add_special_tokens=False).ids
+        assert got[i] == (len(found), sha(" ".join(map(str, found))), sha(word.decode(found, skip_special_tokens=False)))
+
+
+def test_op2(spark, rows):
+    texts = {i: t or "" for i, t in rows}
+    down = sorted(texts, reverse=True)
+    after = dict(zip(down, [*down[1:], down[0]], strict=True))
+    for r in QUERIES["op2_lz_fingerprint"](spark, DATA).collect():
+        own, other = texts[r["doc_id"]], texts[after[r["doc_id"]]]
+        edited = own[: len(own) - len(own) // 3] + other[: len(own) // 3]
+        assert r["n_chars"] == len(own) and r["edited_sha256"] == sha(edited)
+        assert 0 <= r["near_edited"] <= 1 and (r["near_next"] == 1 if own == other else True)
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == (r["near_edited"] == 1) or own != edited
+
+
+def test_pipeline_on_an_odd_table(spark, tmp_path):
+    """Nulls, very long texts, repeated and null ids, clashing columns; and an empty table."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id < 80")
+    odd = [(900, None), (901, ""), (902, " " * 200_000), (903, "word " * 60_000), (904, "x" * 300_000), (None, "a text without an id"), (905, "twice"), (905, "twice")]
+    more = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in odd], docs.schema)
+    for part, df in (("odd", docs.unionByName(more)), ("empty", docs.limit(0))):
+        df.select("*", *[F.lit(1).alias(c) for c in ("cut", "row", "kept", "k1", "length")]).write.parquet(f"{tmp_path}/{part}/documents.parquet")
+        spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/{part}/labels.parquet")
+        out = QUERIES["pipeline"](spark, f"{tmp_path}/{part}")
+        assert (out.count() == 0) == (part == "empty")
+        assert {r["doc_id"] for r in out.select("doc_id").collect()} <= {*range(80), *range(900, 906), None}
