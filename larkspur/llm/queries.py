@@ -30,40 +30,49 @@ def word_bpe() -> str:
 
 
 def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text is its end token; repeated and null ids are packed row by row; no rows for an empty table. See ``packing.pack``."""
     return packing.pack(table(spark, sf_dir, "documents"), **byte_bpe())
 
 
 def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text has an empty fingerprint; rows of one id follow each other by a hash of the text; no rows for an empty table. See ``fingerprints.compare_neighbours``."""
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
 def op3_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text has no ids; rows are independent, so ids may be null or repeat. See ``bpe.encode``."""
     return bpe.digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
 def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null url, or one without ``://``, has an empty host and path; rows are independent. See ``url_filter.judge``."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op5_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null html is an empty payload; of equal payloads the smallest page_id responds, and one of rows that are alike. See ``warc``."""
     archive = warc.write(table(spark, sf_dir, "pages"), least=0)
     return warc.read(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text, or one without words, is linked with nothing; a component is named by its smallest id. See ``minhash_dedup.near_duplicates``."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
 def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text has no lines and null sources count as none; a line that goes, goes from every row. See ``line_dedup.remove_boilerplate``."""
     out = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have weight 1; rows alike in id, text and language are drawn together, as are ties of the last key. See ``quality.judge``."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_golomb_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text is empty; of equal texts the longest original stays, then the smallest id, and one of rows that are alike. See ``exact_dedup.deduplicate``."""
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
@@ -97,6 +106,7 @@ def op13_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of ``corpus_pipeline``, each of which states how it takes odd rows."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
