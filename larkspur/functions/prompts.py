@@ -28,7 +28,9 @@ def _harmless(t: Column) -> Column:
 
 def sanitized(t: Column, most: int) -> Column:
     """One line of at most ``most`` characters: controls and white space become single blanks, fences look-alikes; null counts as empty."""
-    one = F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), r"[\p{Cc}\p{Z}\x{200B}\x{FEFF}\x{00AD}]+", " "))
+    blank = r"\p{Cc}\p{Z}\x{200B}\x{FEFF}\x{00AD}"
+    enough = F.regexp_extract(F.coalesce(t, F.lit("")), f"^(?:[{blank}]*+[^{blank}]){{0,{most + 1}}}", 0)  # however long the text is
+    one = F.trim(F.regexp_replace(enough, f"[{blank}]+", " "))
     cut = _harmless(F.substring(one, 1, most + 1))
     return F.when(F.length(cut) > most, F.concat(F.substring(cut, 1, most - 1), F.lit("…"))).otherwise(cut)
 
@@ -134,5 +136,12 @@ def fitted_body(head: Column, body: Column, budget: Column | int) -> Column:
     """The first of ``body_steps`` whose prompt is within ``budget`` tokens; the last where none is."""
     steps = body_steps()
     budget = budget if isinstance(budget, Column) else F.lit(budget)
-    fits = urls.let(head, lambda h: F.filter(F.array(*map(F.lit, steps)), lambda n: text.wide_token_estimate(with_body(h, body, n)) <= budget))
-    return F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(steps[-1]))
+
+    def first_fit(h: Column) -> Column:
+        """Branches are tried in order, so a prompt that fits at once is rendered once."""
+        out = F
+        for n in steps[:-1]:
+            out = out.when(text.wide_token_estimate(with_body(h, body, n)) <= budget, n)
+        return out.otherwise(steps[-1])
+
+    return urls.let(head, first_fit)
