@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import brands, html, lexicon, scoring, text, urls
 from larkspur.functions import catalogs as cat
+from larkspur.operators import facts
 
 ADDRESS = "struct<name:string,address:string>"
 SCHEMA = (
@@ -29,6 +30,7 @@ SCHEMA = (
     "auth struct<spf:string,dkim:string,dmarc:string,arc:string,dkim_domain:string,spf_domain:string>"
 )
 SIGNAL = "struct<ord:int,id:string,title:string,severity:string,weight:double,credit:double>"
+DANGEROUS = "^(?:javascript:|data:|vbscript:)"
 BODY_CHARS, MENTION_CHARS, GREETING_CHARS, STRANGER_CHARS = 100_000, 400, 300, 600
 
 
@@ -87,32 +89,46 @@ def domain_facts(domains: DataFrame) -> DataFrame:
     return out.join(alike.select(F.col("host").alias("domain"), F.col("brand").alias("lookalike")), "domain", "left")
 
 
-def context(messages: DataFrame, organisation: tuple[str, ...] = ()) -> DataFrame:
-    """Messages with the context columns that the rules use; where ``links`` is null, they are found in both bodies."""
+def context(messages: DataFrame, organisation: tuple[str, ...] = (), linked: bool = True) -> DataFrame:
+    """Messages with the context columns that the rules use; where ``links`` is null, they are found in both bodies.
+
+    Only link and content rules ask what the links show; without ``linked`` that is left out.
+    Facts of domains and hosts come first, while rows are as narrow as they arrive; texts are searched behind the last join.
+    """
     found = urls.message_links(html.links_of(F.when(F.col("links").isNull(), F.coalesce("html_body", F.lit("")))), F.when(F.col("links").isNull(), F.col("text_body")))
     messages = messages.withColumn("links", F.coalesce("links", found))
-    none = F.array().cast("array<string>")
+    none, no = F.array().cast("array<string>"), F.lit(False)
+    replies = F.filter(F.transform(F.coalesce("reply_to", F.array().cast(f"array<{ADDRESS}>")), lambda a: domain_of(a["address"])), lambda d: d != "")
+    senders = F.coalesce(domain_of(F.col("from.address")), F.lit(""))
+    domains = facts.distinct(messages.select(F.explode(F.concat(replies, F.array(senders))).alias("domain")).filter("domain <> ''"), "domain")
+    known = facts.staged(domain_facts(domains.select("domain")).join(domains, "domain"))
+    own = known.select(F.col("domain").alias("from_domain"), "n", "registrable", "free", "brand", F.col("legit").alias("from_legit"), F.col("lookalike").alias("from_lookalike"))
+    sent = facts.with_facts(messages.withColumn("from_domain", senders), own, "from_domain", "message_id").withColumn("registrable", F.coalesce("registrable", F.lit("")))
+    base = sent.withColumns({
+        "free": F.coalesce("free", F.lit(False)),
+        "from_legit": F.coalesce("from_legit", F.array(F.lit(""))),
+        "recipients": F.array_distinct(F.filter(F.transform(F.coalesce("to", F.array().cast(f"array<{ADDRESS}>")), lambda a: urls.registrable(domain_of(a["address"]))), lambda d: d != "")),
+    })
+    strange = lambda r: (r != F.col("registrable")) & ~F.array_contains("recipients", r)
+    odd = F.filter(F.slice(replies, 1, 3), lambda d: urls.let(urls.registrable(d), strange))
+    theirs = known.select(F.col("domain").alias("odd_reply"), "n", F.col("lookalike").alias("reply_lookalike"), F.col("free").alias("reply_free"))
+    base = facts.with_facts(base.withColumn("odd_reply", F.try_element_at(odd, F.lit(1))), theirs, "odd_reply", "message_id")
+    if linked:
+        base = base.join(_links(messages, sent), "message_id", "left")
     body = F.coalesce(F.when(F.trim("text_body") != "", F.trim("text_body")), F.when(F.length("html_body") > 0, html.plain_text(F.col("html_body"))), F.lit(""))
     scan = F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.substring(body, 1, BODY_CHARS))
-    base = messages.withColumns({
-        "body": body, "scan": scan, "from_domain": F.coalesce(domain_of(F.col("from.address")), F.lit("")), "name": F.coalesce("from.name", F.lit("")),
+    base = base.withColumns({
+        "none": none, "body": body, "scan": scan, "name": F.coalesce("from.name", F.lit("")),
         "hits": lexicon.matches(scan), "name_hits": lexicon.matches(F.coalesce("from.name", F.lit(""))), "hidden": html.hidden_text(F.coalesce("html_body", F.lit(""))), "subject_hits": lexicon.matches(F.coalesce("subject", F.lit(""))),
         "greeting_hits": lexicon.matches(F.substring(body, 1, GREETING_CHARS)),
         "spf": F.col("auth.spf"), "dkim": F.col("auth.dkim"), "dmarc": F.col("auth.dmarc"), "arc": F.col("auth.arc"),
     })
-    replies = F.filter(F.transform(F.coalesce("reply_to", F.array().cast(f"array<{ADDRESS}>")), lambda a: domain_of(a["address"])), lambda d: d != "")
-    facts = domain_facts(messages.select(F.explode(F.concat(replies, F.array(F.coalesce(domain_of(F.col("from.address")), F.lit(""))))).alias("domain")).filter("domain <> ''").distinct())
-    base = base.join(facts.select(F.col("domain").alias("from_domain"), "registrable", "free", "brand", F.col("legit").alias("from_legit"), F.col("lookalike").alias("from_lookalike")), "from_domain", "left")
     base = base.withColumns({
-        "registrable": F.coalesce("registrable", F.lit("")),
-        "free": F.coalesce("free", F.lit(False)),
-        "from_legit": F.coalesce("from_legit", F.array(F.lit(""))),
         "list_headers": header("List-Unsubscribe").isNotNull() | header("List-Id").isNotNull(),
-        "recipients": F.array_distinct(F.filter(F.transform(F.coalesce("to", F.array().cast(f"array<{ADDRESS}>")), lambda a: urls.registrable(domain_of(a["address"]))), lambda d: d != "")),
         "mentioned": brands.mentions(F.concat_ws("\n", "name", "subject", F.substring("body", 1, MENTION_CHARS))),
         "name_brands": brands.mentions(F.col("name")),
     })
-    reg, no = F.col("registrable"), F.lit(False)
+    reg = F.col("registrable")
     base = base.withColumns({
         "dkim_aligned": F.coalesce((F.col("dkim") == "pass") & (reg != "") & (urls.registrable(F.col("auth.dkim_domain")) == reg), no),
         "auth_failed": F.coalesce(F.col("spf").isin("fail", "softfail"), no) | F.coalesce(F.col("dkim") == "fail", no) | F.coalesce(F.col("dmarc") == "fail", no),
@@ -126,17 +142,15 @@ def context(messages: DataFrame, organisation: tuple[str, ...] = ()) -> DataFram
         "has_auth": F.coalesce("spf", "dkim", "dmarc").isNotNull(),
         "acts": (F.col("n_links") > 0) | (F.size("files") > 0) | (F.size(lexicon.found(F.col("hits"), "action_request")) > 0) | (F.size(lexicon.found(F.col("hits"), "attachment_request")) > 0),
     })
-    odd = F.filter(F.slice(replies, 1, 3), lambda d: (urls.registrable(d) != F.col("registrable")) & ~F.array_contains("recipients", urls.registrable(d)))
-    base = base.withColumn("odd_reply", F.try_element_at(odd, F.lit(1)))
-    base = base.join(facts.select(F.col("domain").alias("odd_reply"), F.col("lookalike").alias("reply_lookalike"), F.col("free").alias("reply_free")), "odd_reply", "left")
-    base = base.withColumn("none", none).join(_links(base), "message_id", "left")
+    if not linked:
+        return base
     stray = F.exists("l_strays", lambda legit: ~F.arrays_overlap("mentioned", legit["keys"]))
     return base.withColumn("l_stray", F.when((F.size("mentioned") > 0) & F.coalesce(stray, no), 1).otherwise(0))
 
 
-def _links(base: DataFrame) -> DataFrame:
-    """Counts of what a message's links show, one row per message with links."""
-    rows = base.select("message_id", "registrable", "brand", F.posexplode("links").alias("pos", "link")).select(
+def _links(messages: DataFrame, sent: DataFrame) -> DataFrame:
+    """Counts of what a message's links show, one row per message with links; sent: the messages with the facts of their sender's domain."""
+    rows = sent.select("message_id", "registrable", "brand", F.posexplode("links").alias("pos", "link")).select(
         "message_id", "registrable", "brand", "pos", "link.href", F.trim(F.coalesce("link.anchor", F.lit(""))).alias("anchor")
     )
     lower = F.lower("anchor")
@@ -145,13 +159,14 @@ def _links(base: DataFrame) -> DataFrame:
     tld = F.substring_index(bare, ".", -1)
     is_bare = bare.rlike(r"^[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+$") & (F.length(lower) <= 100) & urls.listed(tld, cat.ANCHOR_TLDS)
     rows = rows.withColumns({
-        "dangerous": F.lower("href").rlike("^(?:javascript:|data:|vbscript:)"), "host": urls.host_of(F.col("href")), "pq": urls.path_and_query(F.col("href")), "userinfo": urls.has_userinfo(F.col("href")),
+        "dangerous": F.lower("href").rlike(DANGEROUS), "host": urls.host_of(F.col("href")), "pq": urls.path_and_query(F.col("href")), "userinfo": urls.has_userinfo(F.col("href")),
         "bare_host": F.when(is_bare, bare), "bare_reg": urls.registrable(F.when(is_bare, bare)),
     })
     shows = ~F.col("anchor").contains("@") & (F.length("anchor") <= 200) & (url_like | (F.col("bare_host").isNotNull() & brands.is_brand_host(F.col("bare_host"), F.col("bare_reg"))))
     rows = rows.withColumn("anchor_host", F.when(shows, urls.host_of(F.col("anchor")))).withColumn("anchor_reg", urls.registrable(F.col("anchor_host")))
-    hosts = rows.filter("host is not null and not dangerous").select("host").distinct()
-    rows = rows.join(host_features(hosts), "host", "left")
+    linked = messages.select(F.explode("links.href").alias("href")).filter(~F.lower("href").rlike(DANGEROUS)).select(urls.host_of(F.col("href")).alias("host"))
+    hosts = facts.distinct(linked.filter("host is not null"), "host")
+    rows = facts.with_facts(rows, facts.staged(host_features(hosts.select("host")).join(hosts, "host")), "host", "message_id")
     reg, no = F.col("h_registrable"), F.lit(False)
     on = F.col("host").isNotNull() & ~F.col("dangerous")
     aligned = F.coalesce((F.col("registrable") != "") & (reg == F.col("registrable")), no)
@@ -178,7 +193,7 @@ def _links(base: DataFrame) -> DataFrame:
     }
     legit = F.struct(F.coalesce("h_legit", F.array().cast("array<string>")).alias("keys"))  # of the few links of a message, judged beside what it mentions
     return rows.groupBy("message_id").agg(
-        F.collect_set(F.when(F.coalesce(stray, no), legit)).alias("l_strays"), *[F.count_if(F.coalesce(c, no)).alias(n) for n, c in flags.items()], F.count_distinct(F.when(on & ~aligned, reg)).alias("l_sites"), F.count_if(~aligned).alias("l_unaligned"), F.bool_and(stays).alias("links_stay")
+        F.collect_set(F.when(F.coalesce(stray, no), legit)).alias("l_strays"), *[F.count_if(F.coalesce(c, no)).alias(n) for n, c in flags.items()], F.size(F.collect_set(F.when(on & ~aligned, reg))).cast("long").alias("l_sites"), F.count_if(~aligned).alias("l_unaligned"), F.bool_and(stays).alias("links_stay")
     )
 
 

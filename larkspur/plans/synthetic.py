@@ -37,6 +37,9 @@ LINES = (
     "my password is sunflower", "I was thinking of soup for dinner.", "Your computer has been infected with a virus, please install AnyDesk.", "Pick up a gift card for the birthday party.",
 )
 
+#: Most keys of a part, on average, when they are spread.
+KEYS = 200_000
+
 
 def _text(x: str | None) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
@@ -67,8 +70,9 @@ def _orders(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat messages in the mail rules' schema."""
-    # a small table is one file and so one task: its keys are spread over the cores before anything is made of them
-    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    # a table may be one file and so one task: its keys are spread over the cores before anything is made of them, in parts that do not grow with it
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    keys = keys.repartition(max(spark.sparkContext.defaultParallelism, -(-keys.count() // KEYS)), "o_orderkey")
     flat = spark.sql(messages_sql(spark=True).replace("FROM orders", "FROM {orders}"), orders=keys)
 
     def address(a, name=None):
