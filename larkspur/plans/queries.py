@@ -236,7 +236,7 @@ def content_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _family(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ctx = mail.context(syn.messages(spark, sf_dir))
+    ctx = mail.context(syn.messages(spark, sf_dir), linked=name in ("link", "content"))
     rows = ctx.select("message_id", F.explode(mail.signals(mail.FAMILIES[name]())).alias("s"))
     return rows.select("message_id", F.col("s.id").alias("signal"), F.col("s.severity").alias("severity"), F.col("s.weight").alias("weight"))
 
