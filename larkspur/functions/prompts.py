@@ -37,7 +37,7 @@ def sanitized(t: Column, most: int) -> Column:
 
 def sanitized_body(t: Column) -> Column:
     """Lines stay, other controls go; neither fence can be closed from inside."""
-    kept = F.regexp_replace(t, r"[\x00-\x09\x0B-\x1F\x7F-\x{9F}\x{200B}\x{FEFF}]", "")
+    kept = F.regexp_replace(t, r"[\p{Cc}\x{200B}\x{FEFF}&&[^\n]]", "")
     return F.replace(_harmless(kept), F.lit(FENCE), F.lit(BROKEN_FENCE))
 
 

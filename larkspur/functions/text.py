@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larkspur.functions import urls
+
 # fixed values
 PHONE = r"(?<![0-9])(?:\+?\d{1,2}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}(?![0-9])"
 WALLET = r"(?<![A-Za-z0-9])(?:bc1[a-z0-9]{25,62}|0x[a-fA-F0-9]{40})(?![A-Za-z0-9])"
@@ -29,10 +31,26 @@ def first_match(text: Column, pattern: str) -> Column:
     return F.regexp_substr(F.substring(text, 1, SCAN_CHARS), F.lit(pattern))
 
 
+def count_of(text: Column, kind: str) -> Column:
+    """How many characters are of a regular expression's class; runs of all others are passed at once."""
+    return F.length(F.regexp_replace(text, f"[^{kind}]+", ""))
+
+
+def has_phone(text: Column) -> Column:
+    """``PHONE`` is within the scanned part; most texts lack its last seven digits, which are looked for first."""
+    scanned = F.substring(text, 1, SCAN_CHARS)
+    return scanned.rlike(r"\d{3}[\s.-]?\d{4}") & scanned.rlike(PHONE)
+
+
+def has_address(text: Column) -> Column:
+    """``ADDRESS`` is somewhere in the text: an at sign with one character of the local part before it, and a label, a dot and the first of another behind."""
+    return text.rlike(r"@(?<=[A-Za-z0-9._%+-]@)[A-Za-z0-9-]{1,63}\.[A-Za-z0-9-]")
+
+
 def shouts(subject: Column) -> Column:
     """At least ten letters, most of them upper case, or two exclamation marks."""
-    letters, upper = F.regexp_count(subject, F.lit(r"\p{L}")), F.regexp_count(subject, F.lit(r"\p{Lu}"))
-    return ((letters >= 10) & (upper / letters >= 0.6)) | (F.regexp_count(subject, F.lit("!")) >= 2)
+    letters, upper = count_of(subject, r"\p{L}"), count_of(subject, r"\p{Lu}")
+    return ((letters >= 10) & (upper / letters >= 0.6)) | subject.rlike("![^!]*!")
 
 
 def token_estimate(text: Column) -> Column:
@@ -46,8 +64,8 @@ _CJK = r"[\x{1100}-\x{11FF}\x{2E80}-\x{2FDF}\x{3000}-\x{318F}\x{3400}-\x{4DBF}\x
 
 def wide_token_estimate(text: Column) -> Column:
     """As ``token_estimate``, with a token for each Chinese, Japanese or Korean character."""
-    wide = F.regexp_count(text, F.lit(_CJK))
-    return wide + F.ceil((F.length(text) - wide) / 3.5)
+    late = F.regexp_replace(text, r"[\x00-\x{10FF}]+", "")  # all of them are, and most texts have none
+    return urls.let(F.regexp_count(late, F.lit(_CJK)), lambda wide: wide + F.ceil((F.length(text) - wide) / 3.5))
 
 
 def mask_digits(text: Column) -> Column:
