@@ -76,7 +76,7 @@ def mask_digits(text: Column) -> Column:
     sep, d = r"[\s-]?", r"\d"
     after = [rf"(?={(sep + d) * k})" for k in range(4)]
     before = [rf"(?<={(d + sep) * k})" if k else "" for k in range(4)]
-    return F.regexp_replace(text, "|".join(f"{before[k]}{d}{after[3 - k]}" for k in range(4)), "•")
+    return F.when(text.rlike(d), F.regexp_replace(text, "|".join(f"{before[k]}{d}{after[3 - k]}" for k in range(4)), "•")).otherwise(text)
 
 
 def truncate(text: Column, most: int) -> Column:

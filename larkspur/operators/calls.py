@@ -77,9 +77,9 @@ def _catalogued(best: DataFrame, *columns: str) -> DataFrame:
 def evidence(lines: DataFrame) -> DataFrame:
     """``signals`` with title and detail: who said it, and a quote around the first match with its digits masked."""
     flags = line_flags(lines)
-    numbers = F.array_compact(F.array(*[F.when(F.col(short(r[0])), F.lit(i)) for i, r in enumerate(CALL_RULES)]))
-    said = flags.select("call_id", "ord", "speaker", numbers.alias("fired"), text.normal_line(F.coalesce("text", F.lit(""))).alias("line")).filter(F.size("fired") > 0)
-    rows = said.select("call_id", "ord", "speaker", "fired", F.explode(call_matching.evidence(F.col("line"))).alias("e")).filter(F.array_contains("fired", F.col("e.rule")))
+    bits = sum((F.when(F.col(short(r[0])), F.lit(1 << i).cast("bigint")).otherwise(0) for i, r in enumerate(CALL_RULES)), F.lit(0).cast("bigint"))
+    said = flags.select("call_id", "ord", "speaker", bits.alias("fired"), text.normal_line(F.coalesce("text", F.lit(""))).alias("line")).filter("fired <> 0")
+    rows = said.select("call_id", "ord", "speaker", F.explode(call_matching.evidence(F.col("line"), F.col("fired"))).alias("e"))
     who = F.when(F.col("speaker") == "caller", "Caller said: “").otherwise("You said: “")
     fixed = F.when(F.col("e.rule").isin([i for i, r in enumerate(CALL_RULES) if r[6]]), SHARED)
     detail = F.coalesce(fixed, F.concat(who, text.truncate(text.mask_digits(F.col("e.quote")), call_matching.QUOTE + 2), F.lit("”")))

@@ -68,11 +68,14 @@ def _orders(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """A table may be one file and so one task: its rows are spread over the cores before anything is made of them, in parts that do not grow with it."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // KEYS)), key)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat messages in the mail rules' schema."""
-    # a table may be one file and so one task: its keys are spread over the cores before anything is made of them, in parts that do not grow with it
-    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
-    keys = keys.repartition(max(spark.sparkContext.defaultParallelism, -(-keys.count() // KEYS)), "o_orderkey")
+    keys = _spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey")
     flat = spark.sql(messages_sql(spark=True).replace("FROM orders", "FROM {orders}"), orders=keys)
 
     def address(a, name=None):
@@ -159,8 +162,8 @@ def lines_sql(spark: bool) -> str:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cores = spark.sparkContext.defaultParallelism  # small tables are one file each
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").repartition(cores, key) for t, key in (("orders", "o_orderkey"), ("conversations", "conv_id"))}
+    # as in messages
+    tables = {t: _spread(spark.read.parquet(f"{sf_dir}/{t}.parquet"), key) for t, key in (("orders", "o_orderkey"), ("conversations", "conv_id"))}
     sql = lines_sql(spark=True).replace("{", "{{").replace("}", "}}")
     return spark.sql(sql.replace("FROM orders", "FROM {orders}").replace("FROM conversations", "FROM {conversations}"), **tables).drop("k")
 
