@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions import catalogs as cat
 from larkspur.functions import urls
+from larkspur.functions.per_text import per_text
 
 _OWNER: dict[str, str] = {}
 for _key, _, _domains in cat.BRANDS:
@@ -197,9 +197,7 @@ def _mentioned(lower: str) -> list[str]:
     return [key for i, key in keys if key not in cat.QUALIFIED_MENTIONS or i in qualified]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _mentions(lower: pd.Series) -> pd.Series:
-    return lower.map(lambda t: _mentioned(t) if t else [])
+_mentions = per_text(_mentioned, T.ArrayType(T.StringType()))
 
 
 def mentions(text: Column) -> Column:

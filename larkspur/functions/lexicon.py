@@ -9,12 +9,12 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions.catalogs import LEXICONS
+from larkspur.functions.per_text import per_text
 
 _FOLD = str.maketrans({"‘": "'", "’": "'", "ʼ": "'", "“": '"', "”": '"'})
 
@@ -52,9 +52,7 @@ def scan(text: str, most: int = 4) -> dict[str, list[str]]:
     return out
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
-def _matches(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: scan(t) if t else {})
+_matches = per_text(lambda t: list(scan(t).items()), T.MapType(T.StringType(), T.ArrayType(T.StringType())))
 
 
 def matches(text: Column) -> Column:
