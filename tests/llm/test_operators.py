@@ -154,6 +154,33 @@ def test_fingerprints(docs, empty, texts):
     assert abs(fingerprints.likeness(one, other) - len(a & b) / len(a | b)) < 0.15
 
 
+def test_fingerprints_are_hashed_by_slices(monkeypatch):
+    """All texts of a slice are hashed and sorted together, and slices, repeated halos and buckets of one row change no fingerprint."""
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    own = ["", None, "a", "aa", "abab" * 300, "é\U0001F600" * 90, "", *("".join(rng.choice("abé") for _ in range(rng.randint(0, 300))) for _ in range(60))]
+    rows = [(b, False, 10 * b + k, t) for b in range(7) for k, t in enumerate(own[10 * b : 10 * b + (1 if b == 3 else 10)])]
+    firsts = {b: next(r for r in rows if r[0] == b) for b in range(7)}
+    rows = sorted([*rows, *[(b, True, *firsts[(b + 1) % 7][2:]) for b in range(7) for _ in range(1 + b % 2)]], key=lambda r: r[:2])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.int64(), pa.string()), strict=True)], ["bucket", "halo", "doc_id", "text"])
+    want = []
+    for x, y in zip(rows, rows[1:], strict=False):
+        if x[0] == y[0] and not x[1]:
+            text, after = x[3] or "", y[3] or ""
+            edited = fingerprints.edit(text, after)
+            a, b, c = map(fingerprints.fingerprint, (text, edited, after))
+            near = [fingerprints.likeness(fingerprints.from_text(a), fingerprints.from_text(z)) for z in (b, c)]
+            want.append((x[2], len(text), sha(edited), a, b, *near))
+    calls = []
+    monkeypatch.setattr(fingerprints, "spans", lambda *x, f=fingerprints.spans: (calls.append(1), f(*x))[1])
+    for step in (len(rows), 3, 1):
+        calls.clear()
+        out = fingerprints._compare(batch.slice(i, step) for i in range(0, len(rows), step))
+        assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+        assert len(calls) <= -(-len(rows) // step)
+
+
 def test_fingerprints_of_odd_rows(spark):
     odd = spark.createDataFrame([(None, "a"), (1, "bb"), (1, "bb"), (1, None)], "doc_id long, text string")
     assert fingerprints.compare_neighbours(odd).count() == 4
