@@ -44,7 +44,9 @@ GROUP_ROWS = 16_384
 #: Most texts whose keys are broadcast to pick them from all others (16 bytes each).
 BROADCAST_ROWS = 500_000
 #: Longest piece of a text that is looked at at once; pieces overlap by a window.
-PIECE = 1 << 22
+PIECE = 1 << 18
+#: Symbols around anchors that are hashed at once, and rows of them that are looked at at once.
+SYMBOLS, ROWS = 1 << 17, 512
 _POS = U64((1 << 24) - 1)
 _WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)
@@ -100,7 +102,7 @@ def anchors(data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _anchor_rows(window: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             found = [anchors(symbols(t, words), window) for t in utf8(batch["text"])]
             n = [len(x[0]) for x in found]
             doc = np.repeat(np.arange(len(n)), n)
@@ -133,7 +135,20 @@ def _contexts(window: int, words: bool):
 
 
 def _window_keys(anchor: np.ndarray, pos: np.ndarray, lo: np.ndarray, parts: list[bytes], window: int, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key of each window of each row (its anchor, its offset from it and its content), its row and its start."""
+    """Key of each window of each row (its anchor, its offset from it and its content), its row and its start.
+
+    Only the 16 bytes that it returns for a window are held for all rows; a row has fewer than two windows' symbols.
+    """
+    step = max(1, SYMBOLS // (2 * window))
+    found = [_some_keys(anchor[i : i + step], pos[i : i + step], lo[i : i + step], parts[i : i + step], window, words) for i in range(0, len(parts), step)]
+    if not found:
+        return np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    for i, (_, row, _) in enumerate(found):
+        row += i * step
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _some_keys(anchor: np.ndarray, pos: np.ndarray, lo: np.ndarray, parts: list[bytes], window: int, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind = np.dtype(U64 if words else np.uint8)
     sizes = np.array([len(x) // kind.itemsize for x in parts], np.int64)
     n = sizes - window + 1
@@ -143,12 +158,12 @@ def _window_keys(anchor: np.ndarray, pos: np.ndarray, lo: np.ndarray, parts: lis
     start = np.repeat(np.cumsum(sizes) - sizes, n) + k
     key = spans(pre, start, start + window)
     at = lo[row] + k
-    return mix(key + anchor[row].view(U64)) ^ mix((pos[row] - at).astype(U64)), row, at
+    return mix(key + anchor[row].view(U64)) ^ mix((pos[row] - at).astype(U64)), row.astype(np.int32), at.astype(np.int32)
 
 
 def _repeats(key: np.ndarray) -> np.ndarray:
     """Which keys occur more than once."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     same = np.diff(key[order]) == 0
     twice = np.zeros(len(key), bool)
     twice[order[1:]] |= same
@@ -190,8 +205,8 @@ def _sort_groups(window: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = _read(whole.slice(start, 2048))
+            for start in range(0, whole.num_rows, ROWS):
+                batch = _read(whole.slice(start, ROWS))
                 a = batch["anchor"]
                 cut = int(np.searchsorted(a, a[-1]))  # the last group may go on
                 if held and cut == 0 and held[-1]["anchor"][-1] != a[0]:

@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 def bound_batches(spark: SparkSession) -> None:
     """Keeps the Arrow batches of this session's Python operators small, unless its configuration states a size."""
     if spark.sparkContext.getConf().get(_BATCH) is None:
-        spark.conf.set(_BATCH, "8m")
+        spark.conf.set(_BATCH, "2m")
 
 
 class Scratch:

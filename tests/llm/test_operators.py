@@ -351,6 +351,45 @@ def test_repeated_passages_in_words(spark, group_rows, monkeypatch):
     assert corpus_pipeline.repeated_passages(spark, docs, "").filter("doc_id = 0").first()["text"] == got[0]
 
 
+@pytest.mark.parametrize("words_", [False, True])
+def test_memory_of_sorted_groups(words_):
+    """A task that sorts groups of anchors holds a few MB beside its rows, and finds the windows that repeat."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    window = 51 if words_ else 400
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 1 << 62, 100, np.uint64).tobytes() if words_ else rng.integers(97, 122, 700, np.uint8).tobytes() for _ in range(4096)]
+    parts[4000] = parts[9]
+    anchor = np.arange(4096) // 8
+    anchor[4000] = anchor[9]
+    order = np.argsort(anchor, kind="stable")
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(order), pa.array(order), pa.array(anchor[order]), pa.array(np.full(4096, 300, np.int32)), pa.array(np.zeros(4096, np.int32)), pa.array([parts[i] for i in order], pa.binary())],
+        ["k1", "k2", "anchor", "pos", "lo", "part"],
+    )
+    suffix_dedup.prefix(np.zeros(1, np.uint8))
+    tracemalloc.start()
+    out = [r for b in suffix_dedup._sort_groups(window, words_)([batch]) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted((r["k1"], r["start"], r["stop"]) for r in out) == [(9, 0, len(parts[9]) // (8 if words_ else 1)), (4000, 0, len(parts[9]) // (8 if words_ else 1))]
+    assert peak < 30e6
+
+
+def test_repeats_across_pieces_of_a_long_text(monkeypatch):
+    """Anchors of a text are those of its pieces, and each window belongs to one."""
+    data = np.random.default_rng(6).integers(97, 100, 5000, np.uint8)
+    found = {}
+    for piece in (1 << 22, 700):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        h, pos, lo, hi = suffix_dedup.anchors(data, 60)
+        found[piece] = [(w, int(a), int(p)) for a, p, x, y in zip(h, pos, lo, hi, strict=True) for w in range(x, y + 1)]
+        assert [w for w, _, _ in found[piece]] == list(range(len(data) - 59))
+    assert found[700] == found[1 << 22]
+
+
 def test_removal_keeps_columns(docs, empty, texts):
     rows = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, 60).collect()}
     assert len(rows) == len(texts) and rows[0]["text"] is None and set(rows[0].asDict()) == {"doc_id", "text", "source", "n_chars", "extra"}
