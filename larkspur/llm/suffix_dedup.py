@@ -23,7 +23,8 @@ rows that are counted by hash with map-side combining, so no task holds them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -329,45 +330,56 @@ def _without(text: bytes, gone: list[list[int]]) -> bytes:
 
 
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
-_CUT = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("rest", T.BinaryType()), T.StructField("clean", T.BinaryType())])
+_CUT = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("rest", T.BinaryType()), T.StructField("clean", T.BinaryType()), T.StructField("less", T.BinaryType())])
+
+
+def _merged(ranges: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """Ranges in order, those that touch or overlap made one."""
+    out: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 @F.arrow_udf(_CUT)
 def _cut(text: pa.Array, ranges: pa.Array) -> pa.Array:
     """What is left of each text without its ranges."""
-    removed, spans_, rest, clean = [], [], [], []
+    removed, spans_, rest, clean, less = [], [], [], [], []
     for data, found in zip(utf8(text), ranges.to_pylist(), strict=True):
-        keep, gone, at = [], [], 0
+        keep, at = [], 0
         first, end = word_bounds(data) if any(r["words"] for r in found) else ((), ())
-        for r in sorted((int(first[r["start"]]), int(end[r["stop"] - 1])) if r["words"] else (r["start"], r["stop"]) for r in found):
-            if gone and r[0] <= gone[-1][1]:
-                gone[-1][1] = max(gone[-1][1], r[1])
-            else:
-                gone.append(list(r))
+        places = [(int(first[r["start"]]), int(end[r["stop"] - 1])) if r["words"] else (r["start"], r["stop"]) for r in found]
+        gone = _merged(x for x, r in zip(places, found, strict=True) if not r["beside"])
         for a, b in gone:
             keep.append(data[at:a])
             at = b
         keep.append(data[at:])
         clean.append(_without(data, gone))
+        less.append(_without(data, _merged(places)) if any(r["beside"] for r in found) else None)
         removed.append(sum(b - a for a, b in gone))
         spans_.append([{"start": a, "stop": b} for a, b in gone])
         rest.append(b"".join(keep))
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(spans_, span), pa.array(rest, pa.binary()), pa.array(clean, pa.binary())], ["n_removed", "spans", "rest", "clean"])
+    return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(spans_, span), *(pa.array(x, pa.binary()) for x in (rest, clean, less))], ["n_removed", "spans", "rest", "clean", "less"])
 
 
-def cut(docs: DataFrame, window: int | None = WINDOW, words: int | None = None, name: str = "cut") -> DataFrame:
-    """``docs`` (doc_id, text and others) with a struct ``name``, null where a text stays whole: n_removed, spans (maximal removed runs), rest (bytes left), clean (those of whole characters).
+def cut(docs: DataFrame, window: int | None = WINDOW, words: int | None = None, name: str = "cut", beside: int | None = None) -> DataFrame:
+    """``docs`` (doc_id, text and others) with a struct ``name``, null where a text stays whole: n_removed, spans (maximal removed runs), rest (bytes left), clean (those of whole characters), less.
 
     Bytes go that are covered by a string of ``window`` bytes which occurs
     elsewhere, and words that are covered by a passage of ``words`` words which
-    does; None: no such search.  Only the texts that lose something are shuffled.
+    does; None: no such search.  Passages of ``beside`` words count in the
+    field ``less`` only: ``clean`` without them too, or null where there are
+    none.  Only the texts that lose something are shuffled.
     Windows are compared by hashes of 64 bits that cover all their content.
     """
     with Scratch(docs.sparkSession) as scratch:
-        found = [repeated_ranges(docs, n, kind, scratch).withColumn("words", F.lit(kind)) for n, kind in ((window, False), (words, True)) if n]
-        ranges = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-        ranges = scratch.keep(scratch.stage(ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop", "words")).alias("ranges"))))
+        found = [repeated_ranges(docs, n, kind, scratch).withColumns({"words": F.lit(kind), "beside": F.lit(more)}) for n, kind, more in ((window, False, False), (words, True, False), (beside, True, True)) if n]
+        ranges = reduce(DataFrame.unionByName, found)
+        ranges = scratch.keep(scratch.stage(ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop", "words", "beside")).alias("ranges"))))
     a, b, r = (fresh(c, [*docs.columns, name]) for c in ("k1", "k2", "ranges"))
     ranges = ranges.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("ranges").alias(r))
     k1, k2 = keys(docs)

@@ -34,6 +34,25 @@ def test_op10(spark, rows):
         assert got[i] == (len((t or "").encode()), gone, spans, sha(rest), rest.decode("utf-8", "ignore"))
 
 
+def test_op10_passages_of_words(spark, tmp_path):
+    """A passage of 51 words below 400 bytes goes from clean_text; the contract's columns keep to 400 bytes."""
+    import random
+
+    from test_operators import words
+
+    rng = random.Random(31)
+    passage, short, long = words(rng, 51), words(rng, 50), words(rng, 90)
+    assert len(passage) < 400 < len(long)
+    own = [words(rng, 30) for _ in range(10)]
+    texts = [f"{own[0]} {passage} {own[1]}", f"{own[2]}\n{passage}\té {own[3]}", f"{own[4]} {short} {own[5]}", f"{own[6]} {short} {own[7]}", f"{long} {own[8]} {passage}", f"{long} {own[9]}", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op10_radix_suffixes"](spark, str(tmp_path)).collect()}
+    for i, (gone, spans, rest) in enumerate(cut(texts, 400)):
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["text"]) == (len((texts[i] or "").encode()), gone, spans, sha(rest), rest.decode())
+        assert r["clean_text"].split() == (texts[i] or "").replace(passage, "").replace(long, "").split()
+
+
 def test_op6(spark, rows):
     root, sizes = components_of([t for _, t in rows], 2, 80)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in QUERIES["op6_chosen_path_join"](spark, DATA).collect()}
