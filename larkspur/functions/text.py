@@ -36,10 +36,14 @@ def count_of(text: Column, kind: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{kind}]+", ""))
 
 
+def phone_anywhere(text: Column) -> Column:
+    """``PHONE`` is somewhere in the text; most texts lack its last seven digits, which are looked for first."""
+    return text.rlike(r"\d{3}[\s.-]?\d{4}") & text.rlike(PHONE)
+
+
 def has_phone(text: Column) -> Column:
-    """``PHONE`` is within the scanned part; most texts lack its last seven digits, which are looked for first."""
-    scanned = F.substring(text, 1, SCAN_CHARS)
-    return scanned.rlike(r"\d{3}[\s.-]?\d{4}") & scanned.rlike(PHONE)
+    """``PHONE`` is within the scanned part."""
+    return phone_anywhere(F.substring(text, 1, SCAN_CHARS))
 
 
 def has_address(text: Column) -> Column:

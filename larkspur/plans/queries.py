@@ -399,7 +399,7 @@ def _risk_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a score of contact data and shouting; bad or toxic ones are the positive class."""
     t = F.coalesce("text", F.lit(""))
     letters, upper = text.count_of(t, "A-Za-z"), text.count_of(t, "A-Z")
-    parts = ((text.has_phone(t), 0.4), (text.has_address(t), 0.2), (text.shouts(t), 0.25), (upper * 10 > letters, 0.1))
+    parts = ((text.phone_anywhere(t), 0.4), (text.has_address(t), 0.2), (text.shouts(t), 0.25), (upper * 10 > letters, 0.1))
     score = F.round(sum((F.when(c, w).otherwise(0.0) for c, w in parts), F.lit(0.0)), 6)
     docs = table(spark, sf_dir, "documents").select("doc_id", score.alias("score"))
     return table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("positive")).join(docs, "doc_id")
