@@ -30,3 +30,8 @@ def labelled(spark, path):
 def test_eval_confusion_reads_whole_texts(spark, tmp_path):
     got = sorted(tuple(r) for r in queries.eval_confusion(spark, labelled(spark, tmp_path)).collect())
     assert got == [(False, 1, 0.4, 0.4, 0), (True, 4, 0.0, 0.4, 3)]
+
+
+def test_eval_sweep_reads_whole_texts(spark, tmp_path):
+    got = sorted(tuple(r)[:7] for r in queries.eval_sweep(spark, labelled(spark, tmp_path)).collect())
+    assert got == [(0.0, 1, 0, 4, 1, 0, 0), (0.4, 3, 1, 3, 1, 1, 0)]
